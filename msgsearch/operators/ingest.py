@@ -18,14 +18,18 @@ def dedupe_by_id(documents: DataFrame) -> DataFrame:
     return kept.select("id", "kept.*").select(*DOCUMENT_COLUMNS)
 
 
-def new_by_id(documents: DataFrame, indexed: DataFrame) -> DataFrame:
+def new_by_id(
+    documents: DataFrame, indexed: DataFrame, small: bool = False, on: list[str] = ["id"]
+) -> DataFrame:
     """Documents whose id is not indexed yet.
 
-    The index is first reduced to the ids that come again. For a small batch that is a
-    scan of one column against a broadcast set, without a shuffle of the index.
+    For a batch of checked, ``small`` size the index is first reduced to the ids that come
+    again: a scan of the key columns against a broadcast set, without a shuffle of the index.
     """
-    again = indexed.select("id").join(documents.select("id"), "id", "left_semi")
-    return documents.join(again, "id", "left_anti")
+    known = indexed.select(*on)
+    if small:
+        known = known.join(F.broadcast(documents.select(*on)), on, "left_semi")
+    return documents.join(known, on, "left_anti")
 
 
 def high_water_mark(documents: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def new_by_watermark(documents: DataFrame, indexed: DataFrame) -> DataFrame:
     """
     marks = high_water_mark(indexed)
     beyond = F.col("max_message_id").isNull() | (F.col("message_id") > F.col("max_message_id"))
-    return documents.join(marks, CHAT, "left").filter(beyond).select(*DOCUMENT_COLUMNS)
+    return documents.join(marks, CHAT, "left").filter(beyond).select(*documents.columns)
 
 
 def ingest_counts(documents: DataFrame) -> DataFrame:

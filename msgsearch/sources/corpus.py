@@ -89,17 +89,18 @@ class IndexCorpus:
         """Join the documents of the hits on ``id``.
 
         A few hits are computed first and fetched by their slabs and ids, which prunes
-        buckets and row groups of the document table instead of reading its texts.
+        buckets and row groups of the document table instead of reading its texts. Many hits
+        meet the documents where these lie.
         """
         documents = self.index.documents()
-        kept = stored(hits, "hits")
+        kept = stored(hits.withColumn("slab", _slab_of(F.col("id"))), "hits")
         if not bounded:
-            return documents.join(kept, "id")
+            return documents.join(kept, ["slab", "id"])
         if kept.count() <= PUSHED_KEYS:
-            keys = kept.select("id", _slab_of(F.col("id")).alias("slab")).distinct().collect()
+            keys = kept.select("id", "slab").distinct().collect()
             ids, slabs = sorted({k.id for k in keys}), sorted({k.slab for k in keys})
             documents = documents.filter(F.col("slab").isin(slabs) & F.col("id").isin(ids))
-        return documents.join(F.broadcast(kept), "id")
+        return documents.join(F.broadcast(kept), ["slab", "id"])
 
     def message_keys(self) -> DataFrame:
         return self.index.documents().select("session_name", "chat_id", "message_id", "slab")

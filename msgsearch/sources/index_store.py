@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import ingest
 from ..operators import postings as terms
 from ..operators.sequence import slab_key
-from ..schemas import DOCUMENT_COLUMNS
+from ..session import stored
 
 # Sized for tests. At scale choose about one bucket per gigabyte of text, and at least a
 # few per core.
 DEFAULT_BUCKETS = 8
+# A batch of up to this many documents sends its ids to the index instead of a join.
+SMALL_BATCH = 500_000
 
 _OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
@@ -130,18 +132,22 @@ class MessageIndex:
             raise ValueError("mode must be 'id' or 'watermark'")
         batch = batch_id or uuid.uuid4().hex
         indexed = self._read("documents").filter(F.col("batch_id") != batch)
-        unique = ingest.dedupe_by_id(documents)
-        fresh = (
-            ingest.new_by_id(unique, indexed)
-            if mode == "id"
-            else ingest.new_by_watermark(unique, indexed)
-        )
-        located = fresh.select(*DOCUMENT_COLUMNS).withColumn(
+        fresh = ingest.dedupe_by_id(documents).withColumn(
             "slab", slab_key(F.col("session_name"), F.col("chat_id"), F.col("message_id"))
         )
-        self._replace("documents", batch, located.repartition(self.buckets, "slab"))
+        if not indexed.isEmpty():
+            fresh = self._unindexed(fresh, indexed, mode)
+        self._replace("documents", batch, fresh.repartition(self.buckets, "slab"))
         return self._derive(batch)
 
+    @staticmethod
+    def _unindexed(documents: DataFrame, indexed: DataFrame, mode: str) -> DataFrame:
+        if mode == "watermark":
+            return ingest.new_by_watermark(documents, indexed)
+        # Stored first: the batch is both looked up in the index and reduced by the answer.
+        batch = stored(documents, "batch")
+        return ingest.new_by_id(batch, indexed, batch.count() <= SMALL_BATCH, ["slab", "id"])
+
     def _derive(self, batch: str) -> int:
         """Postings and statistics of a batch, from its written documents and postings."""
         documents = self._batch("documents", batch)
@@ -166,8 +172,10 @@ class MessageIndex:
         table = self.table_name(kind)
         columns = [c for c in self.spark.table(table).columns if c != "batch_id"]
         located = rows.select(*columns, F.lit(batch).alias("batch_id"))
-        with _overwrite_mode(self.spark, "dynamic"):
+        with _overwrite_mode(rows.sparkSession, "dynamic"):
             located.write.insertInto(table, overwrite=True)
+        # A micro-batch writes in a session of its own.
+        self.spark.catalog.refreshTable(table)
 
 
 @contextmanager
