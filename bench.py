@@ -60,7 +60,7 @@ def timed(run, runs: int = RUNS) -> float:
 def measure(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     times: dict[str, float] = {}
     times["enrich_messages"] = timed(lambda: drain(v.enriched(spark, sf_dir)))
-    documents, messages = v.documents_as_messages(spark, sf_dir), v.messages(spark, sf_dir)
+    documents, messages = v.documents(spark, sf_dir), v.messages(spark, sf_dir)
     built: list[MessageIndex] = []
 
     def build() -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.flags import TOTAL_MAX, context_budget
 from ..functions.names import doc_id
 from ..session import stored
-from .sequence import CHAT, GROUP_BITS, SLAB_BITS, message_sequence
+from .sequence import CHAT, GROUP_BITS, SLAB_BITS, sequence_in, slab_offsets, slabs_around
 
 # Width of the position ranges on which hits and messages meet. A hit with its context
 # touches at most two of them.
@@ -19,6 +19,7 @@ def _band(position):
 def neighbours(
     hits: DataFrame,
     message_keys: DataFrame,
+    directory: DataFrame,
     bounded: bool = False,
     slab_bits: int = SLAB_BITS,
     group_bits: int = GROUP_BITS,
@@ -26,16 +27,20 @@ def neighbours(
     """Ids of the nearest messages before and after each hit, in its chat and account.
 
     ``hits`` carry the chat columns, ``message_id, before, after`` and any further columns,
-    which are kept; ``message_id`` comes back as ``hit_message_id``. Positions are computed
-    for the chats with hits only. Hits meet messages on narrow position bands, so that many
+    which are kept; ``message_id`` comes back as ``hit_message_id``. ``directory`` counts the
+    messages per slab: it tells which slabs can hold context, and only those are read and
+    ranked, however long the chat. Hits meet messages on narrow position bands, so that many
     hits in one chat are not compared with all its messages. Messages with a negative id
     count only where they follow the hit.
     """
     small = F.broadcast if bounded else (lambda df: df)
     chats = hits.select(*CHAT).distinct()
-    in_chats = message_keys.join(small(chats), CHAT, "left_semi")
+    offsets = stored(
+        slab_offsets(directory.join(small(chats), CHAT, "left_semi"), group_bits), "offsets"
+    )
+    slabs = slabs_around(hits, offsets, TOTAL_MAX, slab_bits, bounded)
     positions = stored(
-        message_sequence(in_chats, slab_bits, group_bits).select(*CHAT, "message_id", "seq"),
+        sequence_in(message_keys, slabs, slab_bits, bounded).select(*CHAT, "message_id", "seq"),
         "positions",
     )
     before, after = context_budget(F.col("before"), F.col("after"))
@@ -59,7 +64,7 @@ def neighbours(
     )
 
 
-def context(corpus, hits: DataFrame, bounded: bool = False, **bits) -> DataFrame:
+def context(corpus, hits: DataFrame, bounded: bool = False) -> DataFrame:
     """The documents around each hit, the hit included."""
-    near = neighbours(hits, corpus.message_keys(), bounded, **bits)
+    near = neighbours(hits, corpus.message_keys(), corpus.slab_directory(), bounded)
     return corpus.fetch(near, bounded)

@@ -8,7 +8,7 @@ BM25 weights of its terms to the document's score.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from .postings import SENDER, TEXT, TITLE
+from .postings import KEY, SENDER, TEXT, TITLE
 
 # BM25 parameters.
 K1 = 1.2
@@ -88,7 +88,7 @@ def score(
     ``bounded`` says that the caller has checked the size of ``wanted``.
     Scope columns of ``wanted``, where given, must equal those of the document.
     """
-    at = [c for c in ("slab",) if c in found.columns] + ["id"]
+    at = [c for c in ("slab",) if c in found.columns] + KEY
     scope = [c for c in SCOPE if c in wanted.columns]
     weighted = wanted.join(weights, ["field", "term"])
     rows = found.join(F.broadcast(weighted) if bounded else weighted, ["field", "term"])

@@ -7,8 +7,8 @@ from ..functions.names import present
 
 # The searchable fields. The sender is matched as a whole value.
 TEXT, SENDER, TITLE = "text", "sender_name", "chat_title"
-# Columns a search may filter on; they travel with each posting.
-FILTERS = ["session_name", "chat_id", "sender_id"]
+# The key of a document, from which its id follows, and what a search may filter on besides.
+KEY = ["session_name", "chat_id", "message_id"]
 
 
 def _field_tokens() -> dict[str, Column]:
@@ -23,8 +23,8 @@ def _field_tokens() -> dict[str, Column]:
 
 
 def token_occurrences(documents: DataFrame) -> DataFrame:
-    """One row per token occurrence: ``field, term, dl`` with the document's id and filters."""
-    keep = ["id", *FILTERS] + [c for c in ("slab",) if c in documents.columns]
+    """One row per token occurrence: ``field, term, dl`` with the document's key and sender."""
+    keep = [*KEY, "sender_id"] + [c for c in ("slab",) if c in documents.columns]
     fields = F.array(
         *[
             F.struct(F.lit(name).alias("field"), tokens.alias("tokens"))

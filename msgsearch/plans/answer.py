@@ -17,12 +17,12 @@ HIT = ["request_id", "rank", "n_results", "session_name", "chat_id", "message_id
 
 
 def contextual_hits(
-    corpus, prepared: DataFrame, hits: DataFrame, bounded: bool = False, **bits
+    corpus, prepared: DataFrame, hits: DataFrame, bounded: bool = False
 ) -> DataFrame:
     """Hits of requests with their context rows, one row per request, hit and message."""
     asked = prepared.select("request_id", "full_text", "before", "after")
     wanted = hits.select(*HIT).join(asked, "request_id")
-    return context(corpus, wanted, bounded, **bits)
+    return context(corpus, wanted, bounded)
 
 
 def answer(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.names import doc_id
 from ..operators import matching
+from ..operators.postings import KEY
 from ..operators.topk import top_k
 from ..schemas import DOCUMENT_COLUMNS
 from . import requests as rq
@@ -40,7 +42,7 @@ def ranked_searches(
     small = F.broadcast if bounded else (lambda df: df)
     found, weights = corpus.lookup(wanted, bounded)
     scored = matching.score(found, wanted, weights, match, bounded)
-    scored = scored.select("search_id", "id", "micro")
+    scored = scored.select("search_id", doc_id(*map(F.col, KEY)).alias("id"), "micro")
     if not overfetch:
         best = top_k(scored, ["search_id"], _best_first(), limit, "id")
         hits = corpus.fetch(best, bounded)

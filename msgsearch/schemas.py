@@ -57,19 +57,3 @@ SESSION = _struct(
 
 # A search request as a user typed it.
 REQUEST = _struct(("request_id", _L, False), ("user_id", _L, True), ("raw_text", _S, True))
-
-# Index tables; see sources/index_store.py for their layout.
-POSTING = _struct(
-    ("field", _S, False),
-    ("term", _S, False),
-    ("id", _S, False),
-    ("session_name", _S, False),
-    ("chat_id", _L, False),
-    ("sender_id", _L, True),
-    ("tf", _L, False),
-    ("dl", _L, False),
-    ("slab", _L, False),
-)
-TERM_STAT = _struct(("field", _S, False), ("term", _S, False), ("df", _L, False))
-FIELD_STAT = _struct(("field", _S, False), ("n_docs", _L, False), ("total_len", _L, False))
-REJECT = _struct(("reason", _S, False), ("payload", _S, True))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import matching, postings
-from ..operators.sequence import slab_key
+from ..operators.sequence import slab_directory, slab_key
 from ..session import stored
 from .index_store import MessageIndex
 
@@ -41,14 +41,17 @@ class ScanCorpus:
         weights = matching.term_weights(
             postings.term_stats(counted), postings.field_stats(self.documents)
         )
-        return counted.repartition("id"), weights
+        return counted.repartition(*postings.KEY), weights
 
     def fetch(self, hits: DataFrame, bounded: bool = False) -> DataFrame:
         """Join the documents of the hits on ``id``; bounded hits are broadcast to the scan."""
         return self.documents.join(F.broadcast(hits) if bounded else hits, "id")
 
     def message_keys(self) -> DataFrame:
-        return self.documents.select("session_name", "chat_id", "message_id")
+        return self.documents.select(*postings.KEY)
+
+    def slab_directory(self) -> DataFrame:
+        return slab_directory(self.message_keys())
 
 
 @dataclass(frozen=True)
@@ -73,12 +76,13 @@ class IndexCorpus:
         terms = matching.vocabulary(wanted)
         rows, stats = self.index.postings(), self.index.term_stats()
         if bounded:
-            values = [
-                r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
-            ]
-            if len(values) <= PUSHED_TERMS:
-                rows = rows.filter(F.col("term").isin(values))
-                stats = stats.filter(F.col("term").isin(values))
+            scope = [c for c in ("scope_session_name",) if c in wanted.columns]
+            asked = wanted.select("term", *scope).distinct().limit(PUSHED_TERMS + 1).collect()
+            if len(asked) <= PUSHED_TERMS:
+                rows, stats = (x.filter(F.col("term").isin({a.term for a in asked})) for x in (rows, stats))
+                sessions = {a[c] for a in asked for c in scope}
+                if sessions and None not in sessions:
+                    rows = rows.filter(F.col("session_name").isin(sessions))
             terms = F.broadcast(terms)
         on = ["field", "term"]
         counts = stats.join(terms, on).groupBy(*on).agg(F.sum("df").alias("df"))
@@ -103,7 +107,10 @@ class IndexCorpus:
         return documents.join(F.broadcast(kept), ["slab", "id"])
 
     def message_keys(self) -> DataFrame:
-        return self.index.documents().select("session_name", "chat_id", "message_id", "slab")
+        return self.index.documents().select(*postings.KEY, "slab")
+
+    def slab_directory(self) -> DataFrame:
+        return self.index.slab_stats()
 
 
 def _slab_of(key):

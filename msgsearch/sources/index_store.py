@@ -1,11 +1,12 @@
-"""The index as four tables.
+"""The index as five tables.
 
 ``documents`` and ``postings`` are bucketed by slab (see operators/sequence.py): all rows of
 a document, and of up to 2**16 neighbouring messages of its chat, share a bucket. Building
 postings from documents, matching a query and ranking messages within a chat therefore need
 no shuffle, while a chat of any size is spread over all buckets. Postings are sorted by
-field and term, documents by id, so that literal lookups skip row groups. ``term_stats``
-and ``field_stats`` hold one increment per batch and are summed when read.
+field, term and chat, documents by id, so that literal lookups skip row groups. The other
+three hold one increment per batch and are summed when read: messages per slab, documents
+per term, and documents and lengths per field.
 
 Each batch is one partition of every table, written by replacing it: a batch that is tried
 again replaces its own rows. Tables are re-created over existing files by ``open``.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest
 from ..operators import postings as terms
-from ..operators.sequence import slab_key
+from ..operators.sequence import slab_directory, slab_key
 from ..session import stored
 
 # Sized for tests. At scale choose about one bucket per gigabyte of text, and at least a
@@ -37,12 +38,13 @@ _DOCUMENTS = (
     "chat_title STRING, slab BIGINT"
 )
 _POSTINGS = (
-    "field STRING, term STRING, id STRING, session_name STRING, chat_id BIGINT, "
+    "field STRING, term STRING, session_name STRING, chat_id BIGINT, message_id BIGINT, "
     "sender_id BIGINT, dl BIGINT, slab BIGINT, tf BIGINT"
 )
 _TABLES = {
     "documents": (_DOCUMENTS, "CLUSTERED BY (slab) SORTED BY (id)"),
-    "postings": (_POSTINGS, "CLUSTERED BY (slab) SORTED BY (field, term)"),
+    "postings": (_POSTINGS, "CLUSTERED BY (slab) SORTED BY (field, term, session_name, chat_id)"),
+    "slab_stats": ("session_name STRING, chat_id BIGINT, slab_no BIGINT, n BIGINT", None),
     "term_stats": ("field STRING, term STRING, df BIGINT", None),
     "field_stats": ("field STRING, n_docs BIGINT, total_len BIGINT", None),
 }
@@ -101,6 +103,10 @@ class MessageIndex:
     def postings(self) -> DataFrame:
         return self._read("postings").drop("batch_id")
 
+    def slab_stats(self) -> DataFrame:
+        """Increments; sum ``n`` per chat and slab."""
+        return self._read("slab_stats").drop("batch_id")
+
     def term_stats(self) -> DataFrame:
         """Increments; sum ``df`` per field and term."""
         return self._read("term_stats").drop("batch_id")
@@ -151,6 +157,7 @@ class MessageIndex:
     def _derive(self, batch: str) -> int:
         """Postings and statistics of a batch, from its written documents and postings."""
         documents = self._batch("documents", batch)
+        self._replace("slab_stats", batch, slab_directory(documents))
         self._replace("postings", batch, terms.postings(documents))
         rows = self._batch("postings", batch)
         stats = terms.term_stats(rows).sortWithinPartitions("field", "term")

@@ -68,5 +68,5 @@ def new_index(spark):
 
     yield build
     for index in opened:
-        for kind in ("documents", "postings", "term_stats", "field_stats"):
+        for kind in ("documents", "postings", "slab_stats", "term_stats", "field_stats"):
             spark.sql(f"DROP TABLE IF EXISTS {index.table_name(kind)}")

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from msgsearch.operators.context import context
-from msgsearch.operators.sequence import message_sequence
+from msgsearch.operators.context import context, neighbours
+from msgsearch.operators.sequence import message_sequence, slab_directory
 from msgsearch.operators.topk import top_k
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 
@@ -102,3 +102,24 @@ def test_top_k_against_brute_force(spark, k):
         ranked = sorted((r for r in data if r.key == key), key=lambda r: (-r.score, r.id))[:k]
         want.update({(key, n): r.id for n, r in enumerate(ranked, 1)})
     assert got == want
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_neighbours_across_slabs_against_brute_force(spark, bounded):
+    """Slabs of four ids, many of them almost empty, so that context spans up to 20 slabs."""
+    random.seed(3)
+    rows = [("a", 1, i) for i in random.sample(range(-20, 600), 90)]
+    rows += [("a", 2, i) for i in range(50)] + [("b", 1, 5)]
+    keys = spark.createDataFrame(rows, "session_name string, chat_id bigint, message_id bigint")
+    sizes = [(0, 0), (3, 4), (20, 0), (0, 20), (10, 10)]
+    asked = [(*row, *sizes[n % len(sizes)]) for n, row in enumerate(rows)]
+    hits = spark.createDataFrame(asked, HIT)
+    near = neighbours(hits, keys, slab_directory(keys, 2), bounded, 2, 3)
+    got = sorted((r.id.rsplit(":", 1)[0], r.hit_message_id, int(r.id.rsplit(":", 1)[1])) for r in near.collect())
+    want = []
+    for s, c, hit, before, after in asked:
+        chat = sorted(i for s2, c2, i in rows if (s2, c2) == (s, c))
+        lower = [i for i in chat if 0 <= i < hit][-before:] if before else []
+        upper = [i for i in chat if i > hit][:after]
+        want += [(f"{s}:{c}", hit, i) for i in [*lower, hit, *upper]]
+    assert got == sorted(want)

@@ -42,7 +42,7 @@ def test_retried_batch_replaces_itself(new_index, documents):
 def test_reopened_over_existing_files(spark, new_index, documents):
     index = new_index(buckets=4)
     index.append(documents({}))
-    for kind in ("documents", "postings", "term_stats", "field_stats"):
+    for kind in ("documents", "postings", "slab_stats", "term_stats", "field_stats"):
         spark.sql(f"DROP TABLE {index.table_name(kind)}")
     assert not index.is_open()
     again = MessageIndex(spark, index.path, index.name, 4).open()

@@ -381,7 +381,7 @@ def indexed_documents(spark: SparkSession, sf_dir: str) -> MessageIndex:
 
     def build() -> MessageIndex:
         index = _new_index(spark)
-        index.append(v.documents_as_messages(spark, sf_dir), "all")
+        index.append(v.documents(spark, sf_dir), "all")
         return index
 
     return _once(spark, sf_dir, "document index", build)
@@ -401,6 +401,11 @@ def _(spark, sf_dir):
     return indexed(spark, sf_dir).documents().select(*DOCUMENT_COLUMNS)
 
 
+def _with_id(rows: DataFrame) -> DataFrame:
+    key = names.doc_id(*map(F.col, postings.KEY))
+    return rows.withColumn("id", key).drop("message_id")
+
+
 POSTING = "field, term, id, session_name, chat_id, sender_id, dl, tf"
 
 
@@ -408,14 +413,14 @@ POSTING = "field, term, id, session_name, chat_id, sender_id, dl, tf"
     "postings_build", o.query(["m"], f"SELECT {POSTING} FROM post", **o.postings_ctes("m"))
 )
 def _(spark, sf_dir):
-    return postings.postings(v.messages(spark, sf_dir))
+    return _with_id(postings.postings(v.messages(spark, sf_dir)))
 
 
 @register(
     "index_postings", o.query(["m"], f"SELECT {POSTING} FROM post", **o.postings_ctes("m"))
 )
 def _(spark, sf_dir):
-    return indexed(spark, sf_dir).postings().drop("slab")
+    return _with_id(indexed(spark, sf_dir).postings().drop("slab"))
 
 
 @register(
@@ -423,12 +428,12 @@ def _(spark, sf_dir):
     o.query(["dm"], "SELECT field, term, count(*) AS df FROM post GROUP BY ALL", **o.postings_ctes("dm")),
 )
 def _(spark, sf_dir):
-    return postings.term_stats(postings.postings(v.documents_as_messages(spark, sf_dir)))
+    return postings.term_stats(postings.postings(v.documents(spark, sf_dir)))
 
 
 @register("field_stats", o.query(["dm"], "SELECT * FROM fstat", **o.postings_ctes("dm")))
 def _(spark, sf_dir):
-    return postings.field_stats(v.documents_as_messages(spark, sf_dir))
+    return postings.field_stats(v.documents(spark, sf_dir))
 
 
 @register(
@@ -461,7 +466,7 @@ def _tokenized_sql(src: str) -> str:
 
 @register("tokenize_documents", _tokenized_sql("dm"))
 def _(spark, sf_dir):
-    return _tokenized(v.documents_as_messages(spark, sf_dir))
+    return _tokenized(v.documents(spark, sf_dir))
 
 
 @register("tokenize_mixed_script", _tokenized_sql("mixed"))
@@ -511,7 +516,7 @@ def _register_search(
 ) -> None:
     sources = {
         "m": v.messages,
-        "dm": v.documents_as_messages,
+        "dm": v.documents,
         "mixed": v.mixed_documents,
     }
 
@@ -572,7 +577,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    corpus = ScanCorpus(v.documents_as_messages(spark, sf_dir))
+    corpus = ScanCorpus(v.documents(spark, sf_dir))
     return plans.search(corpus, "the und", filters={"session_name": "en", "ignored": 1})
 
 
@@ -788,7 +793,7 @@ def _(spark, sf_dir):
 @register("preview_text", o.query(["dm"], f"SELECT id, {o.preview('(message_id % 2 = 0)')} AS preview FROM dm"))
 def _(spark, sf_dir):
     body = render.preview(F.col("text"), F.col("message_id") % 2 == 0)
-    return v.documents_as_messages(spark, sf_dir).select("id", body.alias("preview"))
+    return v.documents(spark, sf_dir).select("id", body.alias("preview"))
 
 
 @register("who_label", o.query(["m"], f"SELECT id, {o.WHO} AS who FROM m"))
@@ -813,7 +818,7 @@ def _(spark, sf_dir):
 @register("format_date", o.query(["dm"], f"SELECT id, {o.DATE_TEXT} AS shown FROM dm"))
 def _(spark, sf_dir):
     shown = render.format_date(F.col("date"))
-    return v.documents_as_messages(spark, sf_dir).select("id", shown.alias("shown"))
+    return v.documents(spark, sf_dir).select("id", shown.alias("shown"))
 
 
 @register(

@@ -202,11 +202,6 @@ def mixed_script(column) -> F.Column:
     return F.translate(F.lower(column), LETTERS, IDEOGRAPHS)
 
 
-def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The larger corpus with some letters turned into ideographs, for runs of both scripts."""
-    return documents_as_messages(spark, sf_dir).withColumn("text", mixed_script(F.col("text")))
-
-
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched messages as a plan over the given tables."""
     return enrich(
@@ -217,14 +212,30 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_archives: dict[tuple[str, str], str] = {}
+_archives: dict[tuple, str] = {}
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched messages as a table, written once per application and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _archive(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A derived document table, written once per application and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
     if key not in _archives:
         path = scratch_dir(spark, "archive")
-        enriched(spark, sf_dir).write.parquet(path)
+        files = 2 * spark.sparkContext.defaultParallelism
+        build(spark, sf_dir).repartition(files, "id").write.parquet(path)
         _archives[key] = path
     return spark.read.parquet(_archives[key])
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched messages as a table."""
+    return _archive(spark, sf_dir, enriched)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger corpus as a table."""
+    return _archive(spark, sf_dir, documents_as_messages)
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger corpus with some letters turned into ideographs, for runs of both scripts."""
+    return documents(spark, sf_dir).withColumn("text", mixed_script(F.col("text")))
