@@ -9,6 +9,7 @@ from ..operators import matching
 from ..operators.postings import KEY
 from ..operators.topk import top_k
 from ..schemas import DOCUMENT_COLUMNS
+from ..session import stored
 from . import requests as rq
 
 # Result limits and the factor of the lossy filter mode.
@@ -98,9 +99,9 @@ def batch_search(
     bounded: bool | None = None,
 ) -> DataFrame:
     """Ranked results of a table of prepared requests (see :func:`requests.prepare`)."""
-    keyed = rq.search_key(prepared)
+    keyed = stored(rq.search_key(prepared), "searches")
     if bounded is None:
-        bounded = rq.is_bounded(prepared, per_request=limit * _width(filter_mode))
+        bounded = rq.is_bounded(keyed, per_request=limit * _width(filter_mode))
     searches = rq.distinct_searches(keyed)
     hits = ranked_searches(corpus, searches, limit, match, filter_mode, bounded)
     asked = keyed.filter("allowed") if "allowed" in keyed.columns else keyed
