@@ -79,7 +79,8 @@ class IndexCorpus:
             scope = [c for c in ("scope_session_name",) if c in wanted.columns]
             asked = wanted.select("term", *scope).distinct().limit(PUSHED_TERMS + 1).collect()
             if len(asked) <= PUSHED_TERMS:
-                rows, stats = (x.filter(F.col("term").isin({a.term for a in asked})) for x in (rows, stats))
+                named = F.col("term").isin({a.term for a in asked})
+                rows, stats = rows.filter(named), stats.filter(named)
                 sessions = {a[c] for a in asked for c in scope}
                 if sessions and None not in sessions:
                     rows = rows.filter(F.col("session_name").isin(sessions))

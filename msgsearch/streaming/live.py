@@ -61,9 +61,8 @@ def start_ingest(
 
 
 def _rejects(batch: DataFrame) -> DataFrame:
-    keyless = rejected_rows(batch)
     if CORRUPT not in batch.columns:
-        return keyless
+        return rejected_rows(batch)
     parsed = rejected_rows(batch.filter(F.col(CORRUPT).isNull()))
     return parsed.unionByName(corrupt_rows(batch))
 

@@ -410,7 +410,7 @@ def batch_ctes(src: str, unknown_user: str, limit: int = 10) -> dict[str, str]:
     }
 
 
-def around(src: str, before: str = "before", after: str = "after") -> str:
+def around(src: str) -> str:
     """Rows around ``wanted(… session_name, chat_id, hit_message_id, before, after)``."""
     return (
         f"SELECT w.* EXCLUDE (session_name, chat_id), d.* FROM wanted w JOIN {src} d "
@@ -455,7 +455,7 @@ def response_ctes(src: str, unknown_user: str) -> dict[str, str]:
         "lined": (
             "SELECT request_id, rank, n_results, message_id, hit_message_id, "
             f"CASE WHEN message_id = hit_message_id THEN '🎯 ' || {DATE_TEXT} || chr(10) || '👤 ' || {WHO} "
-            f"|| chr(10) || chr(10) || {preview()} || chr(10) || CASE WHEN false THEN '' ELSE '' END "
+            f"|| chr(10) || chr(10) || {preview()} || chr(10) "
             "ELSE '  ' || CASE WHEN message_id < hit_message_id THEN '⬆️' ELSE '⬇️' END || ' ' || "
             f"{DATE_TEXT} || ' ' || coalesce(nullif(sender_name, ''), 'Unknown') || ': ' || {preview()} || chr(10) END AS line "
             "FROM near"

@@ -715,11 +715,8 @@ def _(spark, sf_dir):
     return message_sequence(keys)
 
 
-# Every message of an account's owner as a hit with uneven context.
-OWN_HITS = f"{HOLES} AND sender_name IS NOT NULL"
-
-
 def _own_hits(spark: SparkSession, sf_dir: str, before, after) -> DataFrame:
+    """Every message of an account's owner as a hit."""
     return (
         v.messages(spark, sf_dir)
         .filter(HOLES)
