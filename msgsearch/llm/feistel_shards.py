@@ -58,18 +58,15 @@ def permute(number, rows: int, seed: int = SEED):
     return left * b + right
 
 
-def shuffled(number: Column, rows: int, seed: int = SEED) -> Column:
-    """The permuted row number, below ``rows``."""
-    a, b = domain(rows)
-    number = number.cast("bigint")
-    if a * b == rows:
-        return permute(number, rows, seed)
-    walked = F.aggregate(
-        F.array_repeat(F.lit(0), WALK - 1),
-        permute(number, rows, seed),
+def walked(number: Column, rows: int, seed: int = SEED) -> Column:
+    """A permuted number brought below ``rows``; only numbers outside are permuted again."""
+    found = F.aggregate(
+        F.array_repeat(F.lit(0), WALK),
+        number,
         lambda x, _: F.when(x < rows, x).otherwise(permute(x, rows, seed)),
     )
-    return walked
+    checked = F.when(found < rows, found).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("bigint"))
+    return F.when(number < rows, number).otherwise(checked)
 
 
 def place(number: int, rows: int, shards: int, seed: int = SEED) -> tuple[int, int]:
@@ -90,12 +87,9 @@ def assign(rows: DataFrame, order: list[str], shards: int = 8, seed: int = SEED)
     """
     kept = numbered(rows.drop("shard", "slot", "_row", "_part", "_at", "_before", "_n"), order, "shards")
     total = kept.count()
-    moved = kept.withColumn("_row", shuffled(F.col("_row"), total, seed))
-    inside = F.when(F.col("_row") < total, F.col("_row")).otherwise(
-        F.raise_error(F.lit("cycle walking did not end")).cast("bigint")
-    )
+    moved = kept.withColumn("_row", permute(F.col("_row").cast("bigint"), total, seed))
     return (
-        moved.withColumn("_row", inside)
+        moved.withColumn("_row", walked(F.col("_row"), total, seed))
         .withColumn("shard", F.pmod("_row", F.lit(shards)).cast("int"))
         .withColumn("slot", F.call_function("div", F.col("_row"), F.lit(shards)))
         .drop("_row")

@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgsearch.llm import feistel_shards, host_rules
+from msgsearch.llm import feistel_shards, histogram_packing, host_rules, token_files
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +25,19 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept", "host_rate")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_rules, op6_feistel_shards)
+    f.__name__: f for f in (op1_host_rules, op2_token_files, op6_feistel_shards, op9_histogram_packing)
 }
 ORACLES: dict[str, str] = {}
