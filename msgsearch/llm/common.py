@@ -108,13 +108,34 @@ def _cut(data: np.ndarray, starts_here: np.ndarray, begin: int) -> int:
     return len(data)
 
 
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, many: int) -> np.ndarray:
+    out = np.full(many, base, np.uint64)
+    if many:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def runs_hash(hashes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """A hash of every ``length`` consecutive words, by the position of the first of them."""
-    many = max(0, len(hashes) - length + 1)
-    out = np.full(many, seed, np.uint64)
-    for k in range(length):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + mix(hashes[k : k + many] + np.uint64(seed))
-    return mix(out)
+    """A hash of every ``length`` consecutive words, by the position of the first of them.
+
+    Differences of one running sum, moved to the same power, so the cost does not depend on the length.
+    """
+    many = len(hashes) - length + 1
+    if many <= 0:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + np.uint64(seed)) * _powers(FACTOR, len(hashes)), dtype=np.uint64, out=sums[1:])
+    return mix((sums[length:] - sums[:many]) * _powers(INVERSE, many))
+
+
+def inside(bounds: np.ndarray, length: int) -> np.ndarray:
+    """Which positions start a run of ``length`` words that stays in its text; one entry per word."""
+    room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(bounds[-1])
+    return room >= length
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgsearch.llm import feistel_shards, histogram_packing, host_rules, token_files
+from msgsearch.llm import feistel_shards, histogram_packing, host_rules, repeat_removal, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -33,11 +33,15 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_rules, op2_token_files, op6_feistel_shards, op9_histogram_packing)
+    f.__name__: f for f in (op1_host_rules, op2_token_files, op6_feistel_shards, op7_repeat_removal, op9_histogram_packing)
 }
 ORACLES: dict[str, str] = {}
