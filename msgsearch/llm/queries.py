@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgsearch.llm import feistel_shards, histogram_packing, host_rules, repeat_removal, token_files
+from msgsearch.llm import feistel_shards, histogram_packing, host_rules, jaccard_groups, repeat_removal, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.linked_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.sharded_documents(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_rules, op2_token_files, op6_feistel_shards, op7_repeat_removal, op9_histogram_packing)
+    f.__name__: f for f in (op1_host_rules, op2_token_files, op4_jaccard_groups, op6_feistel_shards, op7_repeat_removal, op9_histogram_packing)
 }
 ORACLES: dict[str, str] = {}

@@ -19,22 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from msgsearch.llm.common import Words, inside, mix, runs_hash, text_slices
+from msgsearch.llm.cells import may_repeat, power_of_two, repeated
+from msgsearch.llm.common import Words, inside, runs_hash, text_slices
 from msgsearch.session import stored
 
 WINDOW = 35
 ANCHOR = 12
-ROWS = 2
 #: Cells per counted anchor, as far as ``MOST_CELLS`` allows: two bits in memory for each cell. Beyond it
 #: more windows are grouped exactly, none is lost.
 CELLS_EACH = 8
 MOST_CELLS = 1 << 30
 LEAST_CELLS = 1 << 20
-#: Cells that are merged together.
-BLOCK = 1 << 18
 #: A rough count of text bytes per anchor, to choose the number of cells.
 BYTES_EACH = 60
 FOUND = "anchor bigint, k1 bigint, k2 bigint, start bigint, windows binary"
@@ -79,75 +76,20 @@ class Windows:
         return self.grams[(largest == self.grams) & (largest > 0)]
 
 
-def _cells(anchors: np.ndarray, cells: int) -> Iterator[np.ndarray]:
-    """The cell of each anchor in each row."""
-    for row in range(ROWS):
-        yield (mix(anchors + np.uint64(row)) & np.uint64(cells - 1)).astype(np.int64)
-
-
-def _packed(cells: np.ndarray) -> bytes:
-    return zstandard.compress(np.diff(cells, prepend=0).astype("<u4").tobytes(), 1)
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(raw), "<u4"), dtype=np.int64)
-
-
 def sketch(documents: DataFrame, window: int, cells: int) -> np.ndarray:
-    """Per row and cell one bit: counted twice or more. Its size is fixed by ``cells``."""
+    """Which anchors may repeat; its size is fixed by ``cells``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.zeros(0, np.uint64)]
-        for batch in batches:
-            parts += [Windows(some.column("_text"), window).anchor_hashes() for some in text_slices(batch, "_text")]
-        blocks, once, twice = [], [], []
-        for row, own in enumerate(_cells(np.concatenate(parts), cells)):
-            own, times = np.unique(own, return_counts=True)
-            edges = np.searchsorted(own, np.arange(0, cells + BLOCK, BLOCK))
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                part, n = own[edges[k] : edges[k + 1]] - k * BLOCK, times[edges[k] : edges[k + 1]]
-                blocks.append(row * (cells // BLOCK) + k)
-                once.append(_packed(part[n == 1]))
-                twice.append(_packed(part[n > 1]))
-        yield pa.record_batch(
-            [pa.array(blocks, pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"]
-        )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, again = None, None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(again).tobytes()], pa.binary())], ["block", "bits"])
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for some in text_slices(batch, "_text"):
+            yield Windows(some.column("_text"), window).anchor_hashes()
 
-        for batch in batches:
-            for k, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != block:
-                    if block is not None:
-                        yield done()
-                    block, seen, again = k, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-                once, twice = _unpacked(once), _unpacked(twice)
-                again[once[seen[once]]] = True
-                again[twice] = True
-                seen[once] = seen[twice] = True
-        if block is not None:
-            yield done()
-
-    partial = documents.select("_text").mapInArrow(count, "block bigint, once binary, twice binary")
-    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block bigint, bits binary")
-    bits = np.zeros((ROWS * (cells // BLOCK), BLOCK // 8), np.uint8)
-    for row in stored(merged, "sketch").toLocalIterator():
-        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits.reshape(ROWS, cells // 8)
+    return repeated(documents.select("_text"), anchors, cells)
 
 
 def _suspects(windows: Windows, bits: np.ndarray) -> np.ndarray:
     """Positions of windows whose anchor may repeat."""
     at = np.flatnonzero(windows.starts)
-    anchors = windows.anchors[at]
-    hit = np.ones(len(at), bool)
-    for row, cell in enumerate(_cells(anchors, bits.shape[1] * 8)):
-        hit &= (bits[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return at[hit]
+    return at[may_repeat(bits, windows.anchors[at])]
 
 
 def _found(windows: Windows, bits: np.ndarray, window: int, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch | None:
@@ -246,9 +188,7 @@ def remove_repeats(documents: DataFrame, text: str = "text", window: int = WINDO
     own = documents.drop(*added, "_text", "_k1", "_k2", "_runs")
     keyed = _keyed(own, text)
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    cells = LEAST_CELLS
-    while cells < min(MOST_CELLS, CELLS_EACH * total // BYTES_EACH):
-        cells *= 2
+    cells = power_of_two(CELLS_EACH * total // BYTES_EACH, LEAST_CELLS, MOST_CELLS)
     spark = documents.sparkSession
     bits = spark.sparkContext.broadcast(sketch(keyed, window, cells))
 
@@ -283,13 +223,13 @@ def _removed(some: pa.RecordBatch, text: str, bits: np.ndarray, window: int, wit
     """New texts if asked for, numbers of words and of removed ones, digests of the kept words."""
     windows = Windows(some.column("_text"), window)
     words = windows.words
-    repeated = np.zeros(len(words.hashes) + 1, bool)
-    repeated[_suspects(windows, bits)] = True
+    twice = np.zeros(len(words.hashes) + 1, bool)
+    twice[_suspects(windows, bits)] = True
     for i, runs in enumerate(some.column("_runs")):
         for run in runs.as_py() or ():
             begin = words.bounds[i] + run["start"]
-            repeated[begin : begin + run["length"]] = False
-    at = np.flatnonzero(repeated)
+            twice[begin : begin + run["length"]] = False
+    at = np.flatnonzero(twice)
     change = np.zeros(len(words.hashes) + 1, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + window, -1)
