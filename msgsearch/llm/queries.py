@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgsearch.llm import feistel_shards, histogram_packing, host_rules, jaccard_groups, repeat_removal, token_files
+from msgsearch.llm import (
+    block_topk,
+    feistel_shards,
+    histogram_packing,
+    host_rules,
+    jaccard_groups,
+    language_spans,
+    repeat_removal,
+    token_files,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +38,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk.embedding_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.linked_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +58,21 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_spans.predicted_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_rules, op2_token_files, op4_jaccard_groups, op6_feistel_shards, op7_repeat_removal, op9_histogram_packing)
+    f.__name__: f
+    for f in (
+        op1_host_rules,
+        op2_token_files,
+        op3_block_topk,
+        op4_jaccard_groups,
+        op6_feistel_shards,
+        op7_repeat_removal,
+        op9_histogram_packing,
+        op10_language_spans,
+    )
 }
 ORACLES: dict[str, str] = {}
