@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from msgsearch.llm import (
     block_topk,
+    class_model,
     feistel_shards,
     histogram_packing,
     host_rules,
@@ -54,6 +55,10 @@ def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_removal.removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.scored_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_jaccard_groups,
         op6_feistel_shards,
         op7_repeat_removal,
+        op8_class_model,
         op9_histogram_packing,
         op10_language_spans,
     )
