@@ -14,6 +14,7 @@ from msgsearch.llm import (
     host_rules,
     jaccard_groups,
     language_spans,
+    piece_codec,
     repeat_removal,
     token_files,
 )
@@ -47,6 +48,10 @@ def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.linked_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.coded_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.sharded_documents(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_files,
         op3_block_topk,
         op4_jaccard_groups,
+        op5_piece_codec,
         op6_feistel_shards,
         op7_repeat_removal,
         op8_class_model,
