@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from msgsearch.llm.common import numbered, text_slices
 from msgsearch.llm.token_bytes import by_blanks
+from msgsearch.session import stored
 
 SIZE = 1024
 END_ID = 0
@@ -131,5 +132,8 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 
 def packed_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """Where each piece of each document lies: ``PIECES``, sequence_id, offset."""
-    return pack(cut(documents, vocabulary))
+    """Where each piece of each document lies: ``PIECES``, sequence_id, offset.
+
+    The pieces are written first: a range sort reads its input twice, and encoding is the dear part.
+    """
+    return pack(stored(cut(documents, vocabulary), "cut"))
