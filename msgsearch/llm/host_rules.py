@@ -133,8 +133,8 @@ def host_verdicts(judged: DataFrame, host: str) -> DataFrame:
     return hosts.withColumn("host_rate", shrunk).withColumn("host_failed", F.col("host_rate") > MOST_FAILING)
 
 
-def judge(documents: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """Every document (its columns but the text) with measures, base_failed, host_rate, host_failed and kept.
+def judge(documents: DataFrame, host: str = "source", text: str = "text", with_text: bool = False) -> DataFrame:
+    """Every document (its columns, the text ``with_text`` only) with measures, base_failed, host_rate, host_failed and kept.
 
     A null host is no host: only the base rules count, host_rate is null. A null text has no words and
     fails. Repeated rows count each. An empty table gives an empty one. Columns of the result's names in
@@ -143,7 +143,8 @@ def judge(documents: DataFrame, host: str = "source", text: str = "text") -> Dat
     """
     added = ["base_failed", "host_rate", "host_failed", "kept", "docs", "failed"]
     kept = documents.drop(*(x for x in added if x != host))
-    judged = stored(measure(kept, text).drop(*([text] if text != host else [])).withColumn("base_failed", base_failed()), "measures")
+    measured = measure(kept, text).withColumn("base_failed", base_failed())
+    judged = stored(measured if with_text or text == host else measured.drop(text), "measures")
     hosts = host_verdicts(judged, host).select(F.col(host).alias("_host"), "host_rate", "host_failed")
     return (
         judged.join(hosts, F.col(host) == F.col("_host"), "left")
