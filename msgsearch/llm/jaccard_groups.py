@@ -27,11 +27,11 @@ from msgsearch.llm.components import components
 from msgsearch.session import stored
 
 LEVEL_CELLS = 1 << 20
-#: Bits of a signature; each shingle flips one.
+#: Bits of a signature; each shingle flips one. A wide signature has a bit per shingle or more.
 SIGNED = 256
 #: Rounds of pivots in a bucket before its rest is left to the exact pass.
 PIVOTS = 3
-SETS = "doc_id bigint, n bigint, cls bigint, grp bigint, sig binary, prefix binary"
+SETS = "doc_id bigint, n bigint, cls bigint, grp bigint, sig binary, wide binary, prefix binary"
 GROUPS = "grp bigint, n bigint, cls bigint, sig binary, prefix binary"
 POSTINGS = "bucket bigint, entry bigint, n bigint, pos int, sig binary, comp bigint"
 PAIRS = "a bigint, b bigint"
@@ -73,11 +73,20 @@ def _class(members: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def _signature(members: np.ndarray) -> bytes:
-    flips = np.bincount((members & np.uint64(SIGNED - 1)).astype(np.int64), minlength=SIGNED)
+def _signature(members: np.ndarray, bits: int = SIGNED) -> bytes:
+    flips = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(bool)).tobytes()
 
 
+def _wide(members: np.ndarray) -> bytes:
+    return _signature(members, max(SIGNED, 1 << (len(members) - 1).bit_length()))
+
+
+def _folded(sig: np.ndarray, size: int) -> np.ndarray:
+    """A wide signature as it would be with fewer bits."""
+    return np.bitwise_xor.reduce(sig.reshape(-1, size), axis=0)
+
+
 def _sets(documents: DataFrame, rule: Rule, found: Broadcast) -> DataFrame:
     """Class, group and, once per class and task, prefix of each document."""
 
@@ -89,7 +98,7 @@ def _sets(documents: DataFrame, rule: Rule, found: Broadcast) -> DataFrame:
                 for doc_id, members in zip(some.column("doc_id").to_pylist(), shingle_sets(some.column("text"), rule.shingle)):
                     n = len(members)
                     if not n:
-                        out.append((doc_id, 0, None, None, None, None))
+                        out.append((doc_id, 0, None, None, None, None, None))
                         continue
                     cls = _class(members)
                     first = cls not in seen
@@ -97,7 +106,8 @@ def _sets(documents: DataFrame, rule: Rule, found: Broadcast) -> DataFrame:
                     order = np.lexsort((members, level_of(found.value, members)))
                     prefix = members[order[: rule.prefix(n)]]
                     grp = int(mix(runs_hash(prefix, len(prefix), 3) + np.uint64(n)).view(np.int64)[0])
-                    out.append((doc_id, n, cls, grp, *((_signature(members), prefix.tobytes()) if first else (None, None))))
+                    more = (_signature(members), _wide(members), prefix.tobytes()) if first else (None, None, None)
+                    out.append((doc_id, n, cls, grp, *more))
                 yield _batch(out, SETS)
 
     return documents.select("doc_id", "text").mapInArrow(rows, SETS)
@@ -237,9 +247,29 @@ def _bucket_pairs(postings: DataFrame, rule: Rule, pick: Callable[[Bucket], Iter
     return dealt.mapInArrow(pairs, PAIRS).distinct()
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of classes whose sets are similar. Only sets of classes in a pair are sent."""
+def _near(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose wide signatures differ in no more bits than similar sets may."""
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, n, m, one, two in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "wide_a", "wide_b"))):
+                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                size = min(len(x), len(y))
+                differ = np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()
+                if differ <= n + m - 2 * rule.common(n + m):
+                    out.append((a, b))
+            yield _batch(out, PAIRS)
+
+    return pairs.mapInArrow(compare, PAIRS)
+
+
+def _verified(documents: DataFrame, candidates: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of classes whose sets are similar. Only sets of classes in a likely pair are sent."""
     spark = documents.sparkSession
+    pairs = stored(_near(candidates, members, rule), "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -319,7 +349,7 @@ def classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     postings = stored(_postings(groups, bits), "postings")
     mixed = groups.where("cls IS NULL").select("grp")
     members = stored(
-        sets.where("prefix IS NOT NULL").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sig").alias("sig")),
+        sets.where("prefix IS NOT NULL").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide")),
         "members",
     )
     inner = members.join(mixed, "grp", "left_semi").select(
@@ -329,8 +359,8 @@ def classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     lone = members.groupBy("grp").agg(F.min("cls").alias("cls")).withColumn("comp", F.col("cls"))
     heads = lone.join(members.drop("grp"), "cls")
     outer_pairs = _expanded(_bucket_pairs(postings, rule, Bucket.stars), heads, rule, False)
-    candidates = stored(outer_pairs.unionByName(_bucket_pairs(inner, rule, Bucket.stars)).distinct(), "pairs")
-    links = stored(_verified(documents, candidates, rule), "verified")
+    candidates = outer_pairs.unionByName(_bucket_pairs(inner, rule, Bucket.stars)).distinct()
+    links = stored(_verified(documents, candidates, members, rule), "verified")
     roots = components(links).withColumnsRenamed({"node": "cls", "root": "comp"})
 
     placed = stored(members.join(roots, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
@@ -339,8 +369,7 @@ def classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     inside_groups = inner.drop("comp").join(placed.select("cls", "comp"), F.col("entry") == F.col("cls")).drop("cls")
     outer_pairs = _expanded(_bucket_pairs(crossing, rule, Bucket.crossing), placed, rule, True)
     candidates = outer_pairs.unionByName(_bucket_pairs(inside_groups, rule, Bucket.crossing)).distinct()
-    rest = stored(candidates, "pairs")
-    more = stored(_verified(documents, rest, rule), "verified")
+    more = stored(_verified(documents, candidates, members, rule), "verified")
     return sets.select("doc_id", "n", "cls"), components(links.unionByName(more)).withColumnsRenamed({"node": "cls", "root": "comp"})
 
 
@@ -359,3 +388,21 @@ def linked_documents(documents: DataFrame, shingle: int = 4, percent: int = 85)
     ids = placed.join(least, "comp").select("cls", F.col("least").alias("component_id"))
     found = kept.join(ids, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest doc_id stays.
+
+    A null doc_id comes first, equal ones in the order of the rows. Rows without words link with nothing and
+    stay. All columns pass; the rows are written once, with numbers that tell repeated ones apart.
+    """
+    own = documents.drop("_row")
+    rows = stored(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found, roots = classes(rows.select(F.col("_row").alias("doc_id"), "text"), Rule(shingle, percent))
+    keys = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "cls"), "_row").where("cls IS NOT NULL")
+    first = keys.groupBy("cls").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    placed = first.join(roots, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    best = placed.groupBy("comp").agg(F.min("first").alias("best"))
+    kept = placed.join(best, "comp").select("cls", F.col("best")["_row"].alias("kept"))
+    dropped = keys.join(kept, "cls").where(F.col("_row") != F.col("kept")).select("_row")
+    return rows.join(dropped, "_row", "left_anti").drop("_row")
