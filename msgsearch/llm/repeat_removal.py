@@ -203,8 +203,9 @@ def remove_repeats(documents: DataFrame, text: str = "text", window: int = WINDO
     suspects = keyed.select("_text", "_k1", "_k2").mapInArrow(find, FOUND)
     grouped = suspects.repartition("anchor").sortWithinPartitions("anchor")
     unique = grouped.mapInArrow(_unique_runs, UNIQUE)
-    runs = unique.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length")).alias("_runs"))
-    joined = keyed.join(runs, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").drop("k1", "k2", "_k1", "_k2")
+    keys = [F.col("k1").alias("_k1"), F.col("k2").alias("_k2")]
+    runs = unique.groupBy(*keys).agg(F.collect_list(F.struct("start", "length")).alias("_runs"))
+    joined = keyed.join(runs, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     passed = [c for c in own.columns if c != text]
     schema = own.select(*passed, *([text] if with_text else [])).schema
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
