@@ -27,13 +27,10 @@ def with_sender_name(messages: DataFrame, entities: DataFrame) -> DataFrame:
     The people table grows with the archive, so the join carries no broadcast hint: Spark
     broadcasts it while it is below the session's threshold, and beyond that adaptive
     execution splits the partition of a sender, or of the missing sender, that is too big.
+    An entity must be listed once (:func:`resolve.unique_entities`).
     """
-    people = entities.select(
-        F.col("entity_id").alias("sender_id"),
-        names.display_name(F.col("first_name"), F.col("title"), F.col("last_name")).alias(
-            "sender_name"
-        ),
-    )
+    name = names.display_name(F.col("first_name"), F.col("title"), F.col("last_name"))
+    people = entities.select(F.col("entity_id").alias("sender_id"), name.alias("sender_name"))
     return messages.join(people, "sender_id", "left")
 
 

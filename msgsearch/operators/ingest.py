@@ -36,10 +36,10 @@ def high_water_mark(documents: DataFrame) -> DataFrame:
     return documents.groupBy(*CHAT).agg(F.max("message_id").alias("max_message_id"))
 
 
-def new_by_watermark(documents: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Documents newer than the newest indexed one of their chat.
+def beyond_marks(documents: DataFrame, indexed: DataFrame) -> DataFrame:
+    """A report: documents newer than the newest indexed one of their chat.
 
-    Equal to :func:`new_by_id` only when the index has no holes.
+    It leaves out what lies in holes; indexing goes by :func:`new_by_id`.
     """
     marks = high_water_mark(indexed)
     beyond = F.col("max_message_id").isNull() | (F.col("message_id") > F.col("max_message_id"))

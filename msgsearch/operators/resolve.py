@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names
+from ..session import stored
 
 NAME_KEY = "@"
 
@@ -15,6 +16,17 @@ def explode_chats(sessions: DataFrame) -> DataFrame:
     )
 
 
+def unique_entities(entities: DataFrame) -> DataFrame:
+    """Entities listed once each: the smallest of differing rows stays.
+
+    They are written, so that joins with messages see a plain table, whose partner Spark can
+    split where one entity has a large share of the messages.
+    """
+    rest = [c for c in entities.columns if c != "entity_id"]
+    kept = entities.groupBy("entity_id").agg(F.min(F.struct(*rest)).alias("kept"))
+    return stored(kept.select("entity_id", "kept.*").select(*entities.columns), "entities")
+
+
 def require_sessions(sessions: DataFrame) -> DataFrame:
     """The account table, refused when it is empty."""
     if sessions.isEmpty():
@@ -50,12 +62,12 @@ def resolve_refs(session_chats: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def resolved_chats(session_chats: DataFrame, entities: DataFrame) -> DataFrame:
-    """The chats each account follows, once per account."""
+    """The chats each account follows, once per account even if an entity is listed twice."""
     return (
         resolve_refs(session_chats, entities)
         .filter(F.col("chat_id").isNotNull())
-        .select("session_name", "chat_id", "chat_title", "is_private")
-        .distinct()
+        .groupBy("session_name", "chat_id")
+        .agg(F.min("chat_title").alias("chat_title"), F.min("is_private").alias("is_private"))
     )
 
 
@@ -69,12 +81,10 @@ def unresolved_refs(session_chats: DataFrame, entities: DataFrame) -> DataFrame:
 
 def own_names(sessions: DataFrame, entities: DataFrame) -> DataFrame:
     """Id and display name of each account's owner; the name is null if the owner is unknown."""
-    owners = entities.select(
-        F.col("entity_id").alias("own_id"),
-        names.display_name(
-            F.col("first_name"), F.lit(None).cast("string"), F.col("last_name")
-        ).alias("own_name"),
+    name = names.display_name(
+        F.col("first_name"), F.lit(None).cast("string"), F.col("last_name")
     )
+    owners = entities.groupBy(F.col("entity_id").alias("own_id")).agg(F.min(name).alias("own_name"))
     return sessions.select(
         F.col("name").alias("session_name"), F.col("telegram_id").alias("own_id")
     ).join(owners, "own_id", "left")

@@ -30,10 +30,9 @@ def answer(
     requests: DataFrame,
     sessions: DataFrame,
     defaults: rq.Defaults = rq.Defaults(),
-    unknown_user: str = "none",
+    unknown_user: str = "all",
     limit: int = REQUEST_LIMIT,
     match: str = "any",
-    filter_mode: str = "exact",
 ) -> DataFrame:
     """Response chunks ``request_id, chunk_no, chunk`` for every search request."""
     prepared = stored(rq.prepare(requests, sessions, defaults, unknown_user), "requests")
@@ -41,7 +40,7 @@ def answer(
         requests.select(F.col("raw_text").alias("query")), per_request=limit * (TOTAL_MAX + 1)
     )
     hits = stored(
-        batch_search(corpus, prepared, limit, match, filter_mode, bounded).select(*HIT), "hits"
+        batch_search(corpus, prepared, limit, match, bounded).select(*HIT), "hits"
     )
     rows = contextual_hits(corpus, prepared, hits, bounded)
     return response_chunks(responses(prepared, lines(rows)))

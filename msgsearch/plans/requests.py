@@ -56,12 +56,12 @@ def prepare(
     requests: DataFrame,
     sessions: DataFrame,
     defaults: Defaults = Defaults(),
-    unknown_user: str = "none",
+    unknown_user: str = "all",
 ) -> DataFrame:
     """Search requests with words, flags and scope.
 
-    A requester without an account finds nothing by default; ``unknown_user="all"`` lets
-    such a requester search every account.
+    A requester without an account searches every account; with ``unknown_user="none"`` such
+    a requester finds nothing.
     """
     if unknown_user not in ("none", "all"):
         raise ValueError("unknown_user must be 'none' or 'all'")

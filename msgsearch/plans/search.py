@@ -12,10 +12,9 @@ from ..schemas import DOCUMENT_COLUMNS
 from ..session import stored
 from . import requests as rq
 
-# Result limits and the factor of the lossy filter mode.
+# Result limits.
 SEARCH_LIMIT = 20
 REQUEST_LIMIT = 10
-OVERFETCH = 10
 
 
 def _best_first():
@@ -27,57 +26,21 @@ def ranked_searches(
     searches: DataFrame,
     limit: int,
     match: str = "any",
-    filter_mode: str = "exact",
     bounded: bool = False,
 ) -> DataFrame:
-    """The best ``limit`` documents of each search, with ``search_id`` and ``score``.
-
-    ``filter_mode="exact"`` applies the scope before the cut. ``"overfetch"`` ranks the whole
-    archive, takes ten times the limit and filters that, and so may return too few.
-    """
-    if match not in ("any", "all") or filter_mode not in ("exact", "overfetch"):
-        raise ValueError("match is 'any' or 'all'; filter_mode is 'exact' or 'overfetch'")
-    scope = [c for c in matching.SCOPE if c in searches.columns]
-    overfetch = filter_mode == "overfetch"
-    wanted = matching.clauses(searches.select("search_id", "query") if overfetch else searches)
-    small = F.broadcast if bounded else (lambda df: df)
+    """The best ``limit`` documents of each search in its scope, with ``search_id`` and ``score``."""
+    if match not in ("any", "all"):
+        raise ValueError("match is 'any' or 'all'")
+    wanted = matching.clauses(searches)
     found, weights = corpus.lookup(wanted, bounded)
     scored = matching.score(found, wanted, weights, match, bounded)
     scored = scored.select("search_id", doc_id(*map(F.col, KEY)).alias("id"), "micro")
-    if not overfetch:
-        best = top_k(scored, ["search_id"], _best_first(), limit, "id")
-        hits = corpus.fetch(best, bounded)
-    else:
-        unfiltered = scored.join(
-            small(searches.select("search_id", _has_scope(scope).alias("filtered"))), "search_id"
-        )
-        wide = top_k(unfiltered, ["search_id"], _best_first(), limit * OVERFETCH, "id")
-        wide = wide.filter(F.col("filtered") | (F.col("position") <= limit))
-        fetched = corpus.fetch(wide.drop("position"), bounded).join(
-            small(searches.select("search_id", *scope)), "search_id"
-        )
-        for column in scope:
-            fetched = fetched.filter(
-                F.col(column).isNull()
-                | (F.col(column.removeprefix("scope_")) == F.col(column))
-            )
-        hits = top_k(fetched, ["search_id"], _best_first(), limit, "id")
+    hits = corpus.fetch(top_k(scored, ["search_id"], _best_first(), limit, "id"), bounded)
     return hits.select(
         "search_id", *DOCUMENT_COLUMNS, (F.col("micro") / matching.MICRO).alias("score")
     )
 
 
-def _width(filter_mode: str) -> int:
-    return OVERFETCH if filter_mode == "overfetch" else 1
-
-
-def _has_scope(scope: list[str]):
-    filtered = F.lit(False)
-    for column in scope:
-        filtered = filtered | F.col(column).isNotNull()
-    return filtered
-
-
 def with_result_rank(hits: DataFrame, key: str = "request_id") -> DataFrame:
     """Display position of each hit, newest first, and the number of hits.
 
@@ -95,15 +58,14 @@ def batch_search(
     prepared: DataFrame,
     limit: int = REQUEST_LIMIT,
     match: str = "any",
-    filter_mode: str = "exact",
     bounded: bool | None = None,
 ) -> DataFrame:
     """Ranked results of a table of prepared requests (see :func:`requests.prepare`)."""
     keyed = stored(rq.search_key(prepared), "searches")
     if bounded is None:
-        bounded = rq.is_bounded(keyed, per_request=limit * _width(filter_mode))
+        bounded = rq.is_bounded(keyed, per_request=limit)
     searches = rq.distinct_searches(keyed)
-    hits = ranked_searches(corpus, searches, limit, match, filter_mode, bounded)
+    hits = ranked_searches(corpus, searches, limit, match, bounded)
     asked = keyed.filter("allowed") if "allowed" in keyed.columns else keyed
     asked = asked.select("request_id", "search_id")
     return with_result_rank(asked.join(hits, "search_id").drop("search_id"))
@@ -115,7 +77,6 @@ def search(
     limit: int = SEARCH_LIMIT,
     filters: dict | None = None,
     match: str = "any",
-    filter_mode: str = "exact",
 ) -> DataFrame:
     """Results of one query, newest first. Known filter keys: session_name, chat_id, sender_id."""
     types = {"session_name": "string", "chat_id": "bigint", "sender_id": "bigint"}
@@ -124,8 +85,8 @@ def search(
     one = corpus.spark.createDataFrame(
         [("1", query, *scope.values())], ", ".join(["search_id string, query string", *columns])
     )
-    bounded = len(query) <= rq.MAX_CHARS and limit * _width(filter_mode) <= rq.MAX_DERIVED
-    hits = ranked_searches(corpus, one, limit, match, filter_mode, bounded)
+    bounded = len(query) <= rq.MAX_CHARS and limit <= rq.MAX_DERIVED
+    hits = ranked_searches(corpus, one, limit, match, bounded)
     ranked = with_result_rank(hits, "search_id")
     return ranked.select(*DOCUMENT_COLUMNS, "score", "rank").orderBy("rank")
 

@@ -9,7 +9,10 @@ three hold one increment per batch and are summed when read: messages per slab,
 per term, and documents and lengths per field.
 
 Each batch is one partition of every table, written by replacing it: a batch that is tried
-again replaces its own rows. Tables are re-created over existing files by ``open``.
+again replaces its own rows. Its row in ``batches`` is written last. Readers see the batches
+that have one, so a batch that failed halfway is invisible, and its documents are new again.
+A merged batch names the ones it replaces in that row, so readers change over at once. Tables
+are re-created over existing files by ``open``, which reads the bucket count from there.
 """
 
 from __future__ import annotations
@@ -47,14 +50,16 @@ _TABLES = {
     "slab_stats": ("session_name STRING, chat_id BIGINT, slab_no BIGINT, n BIGINT", None),
     "term_stats": ("field STRING, term STRING, df BIGINT", None),
     "field_stats": ("field STRING, n_docs BIGINT, total_len BIGINT", None),
+    "batches": ("n_documents BIGINT, replaces ARRAY<STRING>", None),
 }
+_FORMAT = 1
 
 
 class MessageIndex:
     """Stored documents, postings and statistics under one folder."""
 
     def __init__(
-        self, spark: SparkSession, path: str, name: str, buckets: int = DEFAULT_BUCKETS
+        self, spark: SparkSession, path: str, name: str, buckets: int | None = None
     ):
         self.spark, self.path, self.name, self.buckets = spark, path.rstrip("/"), name, buckets
 
@@ -65,7 +70,12 @@ class MessageIndex:
         return all(self.spark.catalog.tableExists(self.table_name(k)) for k in _TABLES)
 
     def open(self) -> MessageIndex:
-        """Create the tables, or attach them to files written earlier."""
+        """Create the tables, or attach them to files written earlier.
+
+        The bucket count belongs to the files: it is stored with them at first, and another
+        one asked for later is refused.
+        """
+        self.buckets = self._layout()
         for kind, (columns, clustering) in _TABLES.items():
             location = f"{self.path}/{kind}"
             _ensure_folder(self.spark, location)
@@ -78,6 +88,23 @@ class MessageIndex:
             self.spark.sql(f"ALTER TABLE {self.table_name(kind)} RECOVER PARTITIONS")
         return self
 
+    def _layout(self) -> int:
+        """The bucket count of the files; written where there are none yet."""
+        location = f"{self.path}/layout"
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{location}/_SUCCESS")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            asked = self.buckets or DEFAULT_BUCKETS
+            written = self.spark.createDataFrame([(_FORMAT, asked)], "format int, buckets int")
+            written.coalesce(1).write.mode("overwrite").parquet(location)
+            return asked
+        stored_format, buckets = self.spark.read.parquet(location).first()
+        if stored_format != _FORMAT:
+            raise ValueError(f"{self.path} has format {stored_format}, not {_FORMAT}")
+        if self.buckets not in (None, buckets):
+            raise ValueError(f"{self.path} has {buckets} buckets, not {self.buckets}")
+        return buckets
+
     def refresh(self) -> None:
         """Make files written by another application visible here."""
         for kind in _TABLES:
@@ -94,8 +121,17 @@ class MessageIndex:
                 empty = self.spark.createDataFrame([], self.spark.table(table).schema)
                 empty.write.insertInto(table, overwrite=True)
 
+    def live_batches(self) -> list[str]:
+        """Committed batches that no merged one replaces; ``compact`` keeps them few."""
+        rows = self.spark.table(self.table_name("batches")).select("batch_id", "replaces").collect()
+        gone = {name for row in rows for name in row["replaces"] or ()}
+        return sorted({row["batch_id"] for row in rows} - gone)
+
     def _read(self, kind: str) -> DataFrame:
-        return self.spark.table(self.table_name(kind))
+        return self._of(kind, self.live_batches())
+
+    def _of(self, kind: str, batches: list[str]) -> DataFrame:
+        return self.spark.table(self.table_name(kind)).filter(F.col("batch_id").isin(batches))
 
     def documents(self) -> DataFrame:
         return self._read("documents").drop("batch_id")
@@ -124,32 +160,82 @@ class MessageIndex:
     def document_exists(self, doc_id: str) -> bool:
         return not self._read("documents").filter(F.col("id") == doc_id).limit(1).isEmpty()
 
-    def append(
-        self, documents: DataFrame, batch_id: str | None = None, mode: str = "id"
-    ) -> int:
+    def append(self, documents: DataFrame, batch_id: str | None = None) -> int:
         """Index the documents that are new, as one batch; returns their number.
 
-        A caller that may try a batch again gives it a ``batch_id`` of its own.
-
-        ``mode="id"`` compares ids and closes holes. ``mode="watermark"`` takes what is newer
-        than the newest indexed message of the chat, which is right only without holes.
+        A caller that may try a batch again gives it a ``batch_id`` of its own. Ids are
+        compared, so holes that an interrupted run has left are closed. A batch that was
+        merged meanwhile is complete and is left alone.
         """
-        if mode not in ("id", "watermark"):
-            raise ValueError("mode must be 'id' or 'watermark'")
         batch = batch_id or uuid.uuid4().hex
-        indexed = self._read("documents").filter(F.col("batch_id") != batch)
+        batches = self.live_batches()
+        if batch not in batches and self._committed(batch):
+            return 0
+        indexed = self._of("documents", [b for b in batches if b != batch])
         fresh = ingest.dedupe_by_id(documents).withColumn(
             "slab", slab_key(F.col("session_name"), F.col("chat_id"), F.col("message_id"))
         )
         if not indexed.isEmpty():
-            fresh = self._unindexed(fresh, indexed, mode)
+            fresh = self._unindexed(fresh, indexed)
         self._replace("documents", batch, fresh.repartition(self.buckets, "slab"))
-        return self._derive(batch)
+        return self._commit(batch, self._derive(batch))
+
+    def _committed(self, batch: str) -> bool:
+        return not self._of("batches", [batch]).isEmpty()
+
+    def _commit(self, batch: str, many: int, replaces: list[str] | None = None) -> int:
+        """Make a written batch visible, and with it what it replaces invisible."""
+        row = self.spark.createDataFrame([(many, replaces or [])], _TABLES["batches"][0])
+        self._replace("batches", batch, row.coalesce(1))
+        return many
+
+    def compact(self) -> int:
+        """Rewrite all batches as one; returns how many there were.
+
+        Readers change from the old batches to the new one with its commit row. Batches that
+        are appended meanwhile stay by themselves. Files of replaced batches go with ``vacuum``.
+        """
+        batches = self.live_batches()
+        if len(batches) < 2:
+            return len(batches)
+        merged = f"merged-{uuid.uuid4().hex}"
+        for kind in ("documents", "postings"):
+            rows = self._of(kind, batches).drop("batch_id")
+            self._replace(kind, merged, rows.repartition(self.buckets, "slab"))
+        keys = {
+            "slab_stats": (["session_name", "chat_id", "slab_no"], ["n"]),
+            "term_stats": (["field", "term"], ["df"]),
+            "field_stats": (["field"], ["n_docs", "total_len"]),
+        }
+        for kind, (names, sums) in keys.items():
+            rows = self._of(kind, batches).groupBy(*names).agg(*[F.sum(c).alias(c) for c in sums])
+            self._replace(kind, merged, rows.sortWithinPartitions(*names))
+        many = self._of("batches", batches).agg(F.sum("n_documents")).first()[0]
+        self._commit(merged, many, batches)
+        return len(batches)
+
+    def vacuum(self) -> int:
+        """Remove the files of replaced batches; for times when no search of before is running.
+
+        Their commit rows stay, so that a replaced batch that is tried again is known.
+        """
+        rows = self.spark.table(self.table_name("batches")).select("replaces").collect()
+        gone = {name for row in rows for name in row["replaces"] or ()}
+        context = self.spark.sparkContext
+        for kind in _TABLES:
+            if kind == "batches":
+                continue
+            for name in gone:
+                folder = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/batch_id={name}")
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+                self.spark.sql(
+                    f"ALTER TABLE {self.table_name(kind)} DROP IF EXISTS PARTITION (batch_id = '{name}')"
+                )
+            self.spark.catalog.refreshTable(self.table_name(kind))
+        return len(gone)
 
     @staticmethod
-    def _unindexed(documents: DataFrame, indexed: DataFrame, mode: str) -> DataFrame:
-        if mode == "watermark":
-            return ingest.new_by_watermark(documents, indexed)
+    def _unindexed(documents: DataFrame, indexed: DataFrame) -> DataFrame:
         # Stored first: the batch is both looked up in the index and reduced by the answer.
         batch = stored(documents, "batch")
         return ingest.new_by_id(batch, indexed, batch.count() <= SMALL_BATCH, ["slab", "id"])
@@ -172,7 +258,7 @@ class MessageIndex:
         return documents.count()
 
     def _batch(self, kind: str, batch: str) -> DataFrame:
-        return self._read(kind).filter(F.col("batch_id") == batch).drop("batch_id")
+        return self._of(kind, [batch]).drop("batch_id")
 
     def _replace(self, kind: str, batch: str, rows: DataFrame) -> None:
         """Overwrite the batch's partition, and only that."""

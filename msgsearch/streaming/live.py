@@ -1,7 +1,8 @@
 """Keeping the index current, and answering requests, with Structured Streaming.
 
 Every sink replaces the output of its micro-batch, so a batch that is tried again after a
-failure leaves no second copy.
+failure leaves no second copy. A micro-batch is named by the id of its query, which lives in
+the checkpoint, and its number: other queries and renewed checkpoints never meet its name.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.enrich import enrich, rejected_rows, valid_rows
+from ..operators.resolve import unique_entities
 from ..plans.answer import answer
 from ..sources.index_store import MessageIndex
 from ..sources.readers import CORRUPT, corrupt_rows
@@ -26,6 +28,14 @@ def _start(writer, checkpoint: str, follow: str | None) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
+def _feed(batch: DataFrame) -> str:
+    """The id of the query that a micro-batch belongs to."""
+    name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not name:
+        raise RuntimeError("not inside a streaming query")
+    return name
+
+
 def start_ingest(
     raw: DataFrame,
     index: MessageIndex,
@@ -42,33 +52,37 @@ def start_ingest(
     Run without ``follow`` for the backfill and with it, on the same checkpoint, to go on
     live: nothing that arrives in between is lost. Only messages of resolved chats are
     indexed. Ids that come again, in a batch or later, are indexed once. Rows without a key
-    and unparsable records go to ``rejects``. ``source`` keeps the batches of several
-    streams into one index apart.
+    and unparsable records go to ``rejects``, and only there. Any number of streams may fill
+    one index; ``source`` only makes the names of their batches readable.
     """
 
+    entities = unique_entities(entities)
+
     def ingest(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             if rejects:
                 _write_batch(_rejects(batch), rejects, number)
-            rows = valid_rows(batch).drop(CORRUPT)
+            rows = valid_rows(_parsed(batch)).drop(CORRUPT)
             documents = enrich(rows, entities, sessions, session_chats)
-            index.append(documents, f"{source}-{number}")
+            index.append(documents, f"{source}-{_feed(batch)}-{number}")
         finally:
             batch.unpersist()
 
     return _start(raw.writeStream.foreachBatch(ingest), checkpoint, follow)
 
 
+def _parsed(batch: DataFrame) -> DataFrame:
+    return batch.filter(F.col(CORRUPT).isNull()) if CORRUPT in batch.columns else batch
+
+
 def _rejects(batch: DataFrame) -> DataFrame:
-    if CORRUPT not in batch.columns:
-        return rejected_rows(batch)
-    parsed = rejected_rows(batch.filter(F.col(CORRUPT).isNull()))
-    return parsed.unionByName(corrupt_rows(batch))
+    parsed = rejected_rows(_parsed(batch))
+    return parsed.unionByName(corrupt_rows(batch)) if CORRUPT in batch.columns else parsed
 
 
 def _write_batch(rows: DataFrame, path: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+    rows.write.mode("overwrite").parquet(f"{path}/feed={_feed(rows)}/batch_id={number}")
 
 
 def dedup(documents: DataFrame, horizon: str = "1 hour") -> DataFrame:
@@ -97,14 +111,19 @@ def start_counts(
     """Running number of documents per account and chat; read with :func:`latest_counts`."""
     counts = documents.groupBy(*CHAT).agg(F.count("*").alias("n_documents"))
     sink = counts.writeStream.outputMode("update").foreachBatch(
-        lambda batch, number: _write_batch(batch, path, number)
+        lambda batch, number: _write_batch(batch.withColumn("written", F.current_timestamp()), path, number)
     )
     return _start(sink, checkpoint, follow)
 
 
 def latest_counts(updates: DataFrame) -> DataFrame:
-    """The newest count of each chat; ``updates`` is the folder :func:`start_counts` writes."""
-    return updates.groupBy(*CHAT).agg(F.max_by("n_documents", "batch_id").alias("n_documents"))
+    """The newest count of each chat; ``updates`` is the folder :func:`start_counts` writes.
+
+    Newest by the time of writing, so that a query on a renewed checkpoint is believed over
+    the one before it.
+    """
+    order = F.struct("written", "batch_id")
+    return updates.groupBy(*CHAT).agg(F.max_by("n_documents", order).alias("n_documents"))
 
 
 def start_answers(

@@ -38,7 +38,7 @@ def test_order_and_gaps(spark, corpus, documents, bounded):
     source = corpus(numbers(documents, 1, 2, 5, 6, 7, 8))
 
     def near(before, after):
-        return [i for _, _, i in around(spark, source, ("s1", 100, 5), before, after, bounded)]
+        return [i for _, _, i in around(spark, source, ("north", 8801, 5), before, after, bounded)]
 
     assert near(2, 2) == [1, 2, 5, 6, 7]
     assert near(0, 0) == [5]
@@ -50,22 +50,22 @@ def test_isolation(spark, corpus, documents):
     frame = (
         numbers(documents, 1, 2, 3)
         .unionByName(numbers(documents, 2, chat_id=200))
-        .unionByName(numbers(documents, 2, 3, session_name="s2"))
+        .unionByName(numbers(documents, 2, 3, session_name="south"))
     )
-    rows = around(spark, corpus(frame), ("s1", 100, 2), 1, 1)
-    assert rows == [("s1", 100, 1), ("s1", 100, 2), ("s1", 100, 3)]
+    rows = around(spark, corpus(frame), ("north", 8801, 2), 1, 1)
+    assert rows == [("north", 8801, 1), ("north", 8801, 2), ("north", 8801, 3)]
 
 
 def test_negative_ids_only_after_the_hit(spark, corpus, documents):
     source = corpus(numbers(documents, -3, -1, 1, 2))
-    assert [i for *_, i in around(spark, source, ("s1", 100, 1), 5, 5)] == [1, 2]
-    assert [i for *_, i in around(spark, source, ("s1", 100, -3), 5, 2)] == [-3, -1, 1]
+    assert [i for *_, i in around(spark, source, ("north", 8801, 1), 5, 5)] == [1, 2]
+    assert [i for *_, i in around(spark, source, ("north", 8801, -3), 5, 2)] == [-3, -1, 1]
 
 
 def test_budget(spark, documents):
     source = ScanCorpus(numbers(documents, *range(1, 61)))
-    assert [i for *_, i in around(spark, source, ("s1", 100, 30), 15, 15)] == list(range(20, 41))
-    assert [i for *_, i in around(spark, source, ("s1", 100, 30), 4, 30)] == list(range(26, 47))
+    assert [i for *_, i in around(spark, source, ("north", 8801, 30), 15, 15)] == list(range(20, 41))
+    assert [i for *_, i in around(spark, source, ("north", 8801, 30), 4, 30)] == list(range(26, 47))
 
 
 @pytest.mark.parametrize("slab_bits, group_bits", [(2, 1), (1, 3), (4, 2), (16, 22)])

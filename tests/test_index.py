@@ -10,22 +10,20 @@ def ids(frame):
     return sorted(r.id for r in frame.select("id").collect())
 
 
-def test_lifecycle(spark, new_index, documents):
-    index = new_index(buckets=4)
-    assert index.is_open() and index.document_count() == 0
-    frame = documents(*[dict(message_id=i, text=f"message {i}") for i in range(5)])
-    assert index.append(frame.limit(0)) == 0
-    assert index.append(frame) == 5
-    assert index.append(frame) == 0
-    assert index.document_count() == 5
-    assert index.document_exists("s1:100:3") and not index.document_exists("s1:100:999")
+def test_state_over_its_life(spark, new_index, documents):
+    index = new_index(buckets=3)
+    assert index.is_open() and index.live_batches() == []
+    notes = documents(*[dict(message_id=n, text=f"plot {n} watered today") for n in (3, 8, 11)])
+    assert index.append(notes.limit(0)) == 0
+    assert [index.append(notes), index.append(notes)] == [3, 0]
+    assert index.document_exists("north:8801:8") and not index.document_exists("north:8801:9")
     stats = {r.field: (r.n_docs, r.total_len) for r in index.field_stats().collect()}
-    assert stats == {"text": (5, 10), "chat_title": (5, 10), "sender_name": (5, 5)}
+    assert stats == {"text": (3, 12), "chat_title": (3, 6), "sender_name": (3, 3)}
     with pytest.raises(ValueError):
         index.reset()
     index.reset(confirm=True)
-    assert index.document_count() == 0 and index.postings().count() == 0
-    assert index.append(frame) == 5
+    assert index.document_count() == 0 and index.postings().isEmpty()
+    assert index.append(notes) == 3
 
 
 def test_retried_batch_replaces_itself(new_index, documents):
@@ -35,46 +33,73 @@ def test_retried_batch_replaces_itself(new_index, documents):
     assert index.append(second, "b") == 1
     assert index.append(second, "b") == 1
     assert index.append(first, "a") == 1
-    assert ids(index.documents()) == ["s1:100:1", "s1:100:2"]
+    assert ids(index.documents()) == ["north:8801:1", "north:8801:2"]
     assert index.field_stats().filter("field = 'text'").first().n_docs == 2
 
 
 def test_reopened_over_existing_files(spark, new_index, documents):
     index = new_index(buckets=4)
     index.append(documents({}))
-    for kind in ("documents", "postings", "slab_stats", "term_stats", "field_stats"):
+    for kind in ("documents", "postings", "slab_stats", "term_stats", "field_stats", "batches"):
         spark.sql(f"DROP TABLE {index.table_name(kind)}")
     assert not index.is_open()
-    again = MessageIndex(spark, index.path, index.name, 4).open()
-    assert again.document_count() == 1 and again.postings().count() == 5
+    again = MessageIndex(spark, index.path, index.name).open()
+    assert again.buckets == 4 and again.document_count() == 1 and again.postings().count() == 5
     again.refresh()
     assert again.document_count() == 1
+    with pytest.raises(ValueError, match="4 buckets"):
+        MessageIndex(spark, index.path, "other", 8).open()
+
+
+def test_failed_batch_is_invisible_and_new_again(new_index, documents, monkeypatch):
+    index = new_index(buckets=2)
+    frame = documents(dict(message_id=1), dict(message_id=2))
+    with monkeypatch.context() as broken:
+        broken.setattr(index, "_derive", lambda batch: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.append(frame)
+    assert index.document_count() == 0
+    assert index.append(frame) == 2
+    assert index.document_count() == 2 and index.postings().count() == 10
+
+
+def test_merging_changes_nothing(new_index, documents):
+    index = new_index(buckets=2)
+    for n in range(4):
+        index.append(documents(dict(message_id=n, text=f"bed {n} of many")), f"b{n}")
+    before = sorted(map(str, index.postings().collect()))
+    lengths = sorted(map(str, index.field_stats().collect()))
+    assert index.compact() == 4 and len(index.live_batches()) == 1
+    assert sorted(map(str, index.postings().collect())) == before
+    assert sorted(map(str, index.field_stats().collect())) == lengths
+    assert index.vacuum() == 4 and index.compact() == 1
+    assert sorted(map(str, index.postings().collect())) == before
+    assert index.append(documents(dict(message_id=2)), "b2") == 0
+    assert index.append(documents(dict(message_id=9)), "b9") == 1
+    assert index.document_count() == 5
 
 
 def test_large_batch_way_equals_small_batch_way(documents):
     indexed = documents(*[dict(message_id=i) for i in range(0, 20, 3)])
     frame = documents(*[dict(message_id=i) for i in range(20)])
-    want = [f"s1:100:{i}" for i in range(20) if i % 3]
+    want = [f"north:8801:{i}" for i in range(20) if i % 3]
     for small in (True, False):
         assert ids(ingest.new_by_id(frame, indexed, small)) == sorted(want)
 
 
-def test_watermark_equals_anti_join_without_holes(new_index, documents):
+def test_marks_leave_out_holes(documents):
     frame = documents(*[dict(message_id=i) for i in range(1, 9)])
     whole, holes = frame.filter("message_id <= 5"), frame.filter("message_id in (2, 5)")
-    assert ids(ingest.new_by_watermark(frame, whole)) == ids(ingest.new_by_id(frame, whole))
+    assert ids(ingest.beyond_marks(frame, whole)) == ids(ingest.new_by_id(frame, whole))
     assert len(ids(ingest.new_by_id(frame, holes))) == 6
-    assert len(ids(ingest.new_by_watermark(frame, holes))) == 3
-    index = new_index(buckets=4)
-    index.append(whole)
-    assert index.append(frame, mode="watermark") == 3
+    assert len(ids(ingest.beyond_marks(frame, holes))) == 3
 
 
 def test_dedupe_keeps_the_earliest_of_many_copies(documents):
     copies = documents({}).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(999))))
     copies = copies.withColumn("date", F.col("date") + F.col("n") % 10).drop("n")
     kept = ingest.dedupe_by_id(copies.unionByName(documents(dict(message_id=2)))).collect()
-    assert sorted((r.id, r.date) for r in kept) == [("s1:100:1", 1700000000), ("s1:100:2", 1700000000)]
+    assert sorted((r.id, r.date) for r in kept) == [("north:8801:1", 1650000000), ("north:8801:2", 1650000000)]
 
 
 SESSION = "pos int, name string, telegram_id bigint, included_chats array<string>"
@@ -83,22 +108,22 @@ SESSION = "pos int, name string, telegram_id bigint, included_chats array<string
 @pytest.fixture
 def entities(spark):
     rows = [
-        (1234567890, "channel", None, None, None, "News"),
-        (98765, "user", None, "Pat", "Lee", None),
-        (11111, "user", "testuser", "Kim", None, None),
-        (12345, "user", None, "Own", "Er", None),
+        (4455667788, "channel", None, None, None, "Harbour Watch"),
+        (60221, "user", None, "Pat", "Lee", None),
+        (31415, "user", "kimdoe", "Kim", None, None),
+        (27182, "user", None, "Own", "Er", None),
     ]
     return spark.createDataFrame(rows, ENTITY)
 
 
 def sessions(spark, *refs):
-    return spark.createDataFrame([(0, "test_session", 12345, list(refs))], SESSION)
+    return spark.createDataFrame([(0, "desk", 27182, list(refs))], SESSION)
 
 
 def test_chat_resolution(spark, entities):
-    chats = resolve.explode_chats(sessions(spark, "-1001234567890", "98765", "@testuser", "@gone"))
+    chats = resolve.explode_chats(sessions(spark, "-1004455667788", "60221", "@kimdoe", "@gone"))
     found = {r.chat_ref: r.chat_id for r in resolve.resolve_refs(chats, entities).collect()}
-    assert found == {"-1001234567890": 1234567890, "98765": 98765, "@testuser": 11111, "@gone": None}
+    assert found == {"-1004455667788": 4455667788, "60221": 60221, "@kimdoe": 31415, "@gone": None}
     assert resolve.followed_sessions(chats, entities).first().n_chats == 3
     assert [r.chat_ref for r in resolve.unresolved_refs(chats, entities).collect()] == ["@gone"]
 
@@ -109,7 +134,7 @@ def test_no_chat_resolved(spark, entities):
 
 
 def test_a_chat_named_twice_counts_once(spark, entities):
-    chats = resolve.explode_chats(sessions(spark, "@testuser", "11111", "@TestUser"))
+    chats = resolve.explode_chats(sessions(spark, "@kimdoe", "31415", "@KimDoe"))
     assert resolve.followed_sessions(chats, entities).first().n_chats == 1
 
 
@@ -118,28 +143,36 @@ def test_sessions_are_required(spark):
         resolve.require_sessions(spark.createDataFrame([], SESSION))
 
 
+def test_entities_listed_twice_do_not_double_messages(spark, entities):
+    twice = resolve.unique_entities(entities.unionByName(entities.replace({"Pat": "Patricia"}, subset="first_name")))
+    accounts = sessions(spark, "60221", "@kimdoe")
+    rows = [("desk", 60221, 1, "message", "once", 60221, None, None, 10)]
+    found = enrich.enrich(spark.createDataFrame(rows, RAW_MESSAGE), twice, accounts, resolve.explode_chats(accounts))
+    assert [(r.sender_name, r.chat_title) for r in found.collect()] == [("Pat Lee", "Pat")]
+
+
 def test_enrichment_rules(spark, entities):
     rows = [
-        ("test_session", 98765, 1, "message", "to them", 12345, None, None, 10),
-        ("test_session", 98765, 2, "message", "to me", 98765, None, None, 20),
-        ("test_session", 1234567890, 3, "message", "   ", 0, 1234567890, None, None),
-        ("test_session", 98765, 4, "message", "", 12345, None, None, 40),
-        ("test_session", 98765, 5, "message", None, 12345, None, None, 50),
-        ("test_session", 98765, 6, "service", "joined", 12345, None, None, 60),
-        ("test_session", 55555, 7, "message", "elsewhere", 12345, None, None, 70),
-        ("other_session", 98765, 8, "message", "not mine", 12345, None, None, 80),
-        ("test_session", 98765, None, "message", "no key", 12345, None, None, 90),
-        ("test_session", 11111, 9, "message", "stranger", 777, None, None, 95),
+        ("desk", 60221, 1, "message", "to them", 27182, None, None, 10),
+        ("desk", 60221, 2, "message", "to me", 60221, None, None, 20),
+        ("desk", 4455667788, 3, "message", "   ", 0, 4455667788, None, None),
+        ("desk", 60221, 4, "message", "", 27182, None, None, 40),
+        ("desk", 60221, 5, "message", None, 27182, None, None, 50),
+        ("desk", 60221, 6, "service", "joined", 27182, None, None, 60),
+        ("desk", 16180, 7, "message", "elsewhere", 27182, None, None, 70),
+        ("lab", 60221, 8, "message", "not mine", 27182, None, None, 80),
+        ("desk", 60221, None, "message", "no key", 27182, None, None, 90),
+        ("desk", 31415, 9, "message", "stranger", 777, None, None, 95),
     ]
     raw = spark.createDataFrame(rows, RAW_MESSAGE)
-    accounts = sessions(spark, "-1001234567890", "98765", "@testuser", "@gone")
+    accounts = sessions(spark, "-1004455667788", "60221", "@kimdoe", "@gone")
     found = enrich.enrich(raw, entities, accounts, resolve.explode_chats(accounts))
     assert found.columns == DOCUMENT_COLUMNS
     got = {r.message_id: r for r in found.collect()}
     assert sorted(got) == [1, 2, 3, 9]
     assert (got[1].sender_name, got[1].receiver_name) == ("Own Er", "Pat")
     assert (got[2].sender_name, got[2].receiver_name) == ("Pat Lee", "Own Er")
-    assert (got[3].sender_id, got[3].sender_name, got[3].receiver_name) == (1234567890, "News", "News")
+    assert (got[3].sender_id, got[3].sender_name, got[3].receiver_name) == (4455667788, "Harbour Watch", "Harbour Watch")
     assert (got[3].text, got[3].date) == ("   ", 0)
     assert (got[9].sender_id, got[9].sender_name, got[9].chat_title) == (777, None, "Kim")
     rejected = enrich.rejected_rows(raw).collect()
@@ -147,23 +180,23 @@ def test_enrichment_rules(spark, entities):
 
 
 def test_chat_without_messages_resolves(spark, entities):
-    accounts = sessions(spark, "-1001234567890")
+    accounts = sessions(spark, "-1004455667788")
     chats = resolve.explode_chats(accounts)
     empty = enrich.enrich(spark.createDataFrame([], RAW_MESSAGE), entities, accounts, chats)
     assert empty.count() == 0
-    assert resolve.resolved_chats(chats, entities).first().chat_id == 1234567890
+    assert resolve.resolved_chats(chats, entities).first().chat_id == 4455667788
 
 
 def test_counts(spark, documents):
     frame = documents(dict(message_id=1), dict(message_id=4), dict(message_id=2, chat_id=7))
     counts = {(r.session_name, r.chat_id): r.n_documents for r in ingest.ingest_counts(frame).collect()}
-    assert counts == {("s1", None): 3, ("s1", 100): 2, ("s1", 7): 1}
+    assert counts == {("north", None): 3, ("north", 8801): 2, ("north", 7): 1}
     cover = {r.chat_id: r.percent for r in ingest.chat_coverage(frame).collect()}
-    assert cover == {100: 75.0, 7: 0.0}
-    asked = spark.createDataFrame([("s1:100:1",), ("s1:100:9",)], "id string")
+    assert cover == {8801: 75.0, 7: 0.0}
+    asked = spark.createDataFrame([("north:8801:1",), ("north:8801:9",)], "id string")
     assert {r.id: r.exists for r in ingest.documents_exist(asked, frame).collect()} == {
-        "s1:100:1": True,
-        "s1:100:9": False,
+        "north:8801:1": True,
+        "north:8801:9": False,
     }
-    assert ingest.filter_documents(frame, "s1", chat_id=7).count() == 1
+    assert ingest.filter_documents(frame, "north", chat_id=7).count() == 1
     assert ingest.document_count(spark.createDataFrame([], DOCUMENT)).first()[0] == 0

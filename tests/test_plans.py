@@ -54,14 +54,14 @@ def _batch(index):
 
 
 def test_matching_in_the_index_shuffles_no_postings(spark, index):
-    searches = spark.createDataFrame([("a", "word1 common", "s1")], SCOPED)
+    searches = spark.createDataFrame([("a", "word1 common", "north")], SCOPED)
     wanted = matching.clauses(searches)
     found, weights = IndexCorpus(index).lookup(wanted, bounded=True)
     text = plan(matching.score(found, wanted, weights, bounded=True))
     assert "hashpartitioning(search_id" not in text
     assert not re.search(r"Exchange hashpartitioning\(.*message_id", text)
     text = details(found)
-    assert "In(term, [common,word1])" in text and "EqualTo(session_name,s1)" in text
+    assert "In(term, [common,word1])" in text and "EqualTo(session_name,north)" in text
 
 
 def test_best_hits_are_cut_before_the_shuffle(many):
@@ -70,16 +70,16 @@ def test_best_hits_are_cut_before_the_shuffle(many):
 
 
 def test_few_hits_are_fetched_by_bucket_and_id(spark, index):
-    hits = spark.createDataFrame([("s1:100:7", 1)], "id string, micro bigint")
+    hits = spark.createDataFrame([("north:8801:7", 1)], "id string, micro bigint")
     frame = IndexCorpus(index).fetch(hits, bounded=True)
-    assert re.search(r"PushedFilters: .*EqualTo\(slab,-?\d+\), EqualTo\(id,s1:100:7\)", details(frame))
+    assert re.search(r"PushedFilters: .*EqualTo\(slab,-?\d+\), EqualTo\(id,north:8801:7\)", details(frame))
     assert frame.count() == 1
 
 
 def test_many_hits_meet_documents_where_they_lie(spark, index):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hits = spark.createDataFrame([("s1:100:7", 1)], "id string, micro bigint")
+        hits = spark.createDataFrame([("north:8801:7", 1)], "id string, micro bigint")
         text = plan(IndexCorpus(index).fetch(hits, bounded=False))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -97,7 +97,7 @@ def test_batch_search_plan(spark, many, index, kind):
     corpus = ScanCorpus(many) if kind == "scan" else IndexCorpus(index)
     requests = spark.createDataFrame([(1, 5, "common word3"), (2, 6, "word1")], REQUEST)
     sessions = spark.createDataFrame(
-        [(0, "s1", 5), (1, "s1", 6)], "pos int, name string, telegram_id bigint"
+        [(0, "north", 5), (1, "north", 6)], "pos int, name string, telegram_id bigint"
     )
     frame = batch_search(corpus, rq.prepare(requests, sessions))
     text = plan(frame)
@@ -108,7 +108,7 @@ def test_batch_search_plan(spark, many, index, kind):
 
 def test_equal_requests_are_answered_once(spark):
     rows = [(n, 5, "same question") for n in range(50)] + [(99, 5, "another")]
-    sessions = spark.createDataFrame([(0, "s1", 5)], "pos int, name string, telegram_id bigint")
+    sessions = spark.createDataFrame([(0, "north", 5)], "pos int, name string, telegram_id bigint")
     prepared = rq.prepare(spark.createDataFrame(rows, REQUEST), sessions)
     assert rq.distinct_searches(rq.search_key(prepared)).count() == 2
 

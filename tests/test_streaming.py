@@ -59,16 +59,39 @@ def test_batch_that_fails_halfway_is_repaired(spark, new_index, dims, monkeypatc
         broken.setattr(index, "_derive", lambda batch: 1 / 0)
         with pytest.raises(Exception):
             run()
-    assert numbers(index) == [1, 2] and index.postings().count() == 0
+    assert numbers(index) == [] and index.postings().count() == 0
     run()
     assert numbers(index) == [1, 2]
     assert index.postings().filter("field = 'text'").count() == 4
 
 
+def test_feeds_with_default_names_keep_each_others_batches(spark, new_index, dims):
+    index, rejects = new_index(buckets=2), scratch_dir(spark, "r")
+    for first in (1, 5):
+        path = scratch_dir(spark, "f")
+        deliver(spark, path, first, first + 1)
+        spark.createDataFrame([("s1", None, first, "message", "x", 7, None, None, 1)], RAW_MESSAGE).write.mode("append").parquet(path)
+        stream = readers.stream_messages(spark, path)
+        live.start_ingest(stream, index, *dims, checkpoint=scratch_dir(spark, "c"), rejects=rejects).awaitTermination()
+    assert numbers(index) == [1, 2, 5, 6]
+    assert spark.read.parquet(rejects).count() == 2
+
+
+def test_counts_of_a_renewed_checkpoint_win(spark, dims):
+    path, sink = scratch_dir(spark, "f"), scratch_dir(spark, "s")
+    for n in (1, 2, 3):
+        rows = [("s1", 7, f"s1:7:{n}")]
+        spark.createDataFrame(rows, "session_name string, chat_id bigint, id string").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("session_name string, chat_id bigint, id string").option("maxFilesPerTrigger", 1).parquet(path)
+        if n > 1:
+            live.start_counts(stream, sink, scratch_dir(spark, "c")).awaitTermination()
+    assert live.latest_counts(spark.read.parquet(sink)).first().n_documents == 3
+
+
 def test_rejects(spark, new_index, dims, tmp_path):
     index, rejects = new_index(buckets=2), scratch_dir(spark, "r")
     good = {"session_name": "s1", "chat_id": 7, "message_id": 1, "kind": "message", "text": "hi", "date": 5}
-    lines = [json.dumps(good), json.dumps({**good, "message_id": None}), "{broken", ""]
+    lines = [json.dumps(good), json.dumps({**good, "message_id": None}), "{broken", "", json.dumps({**good, "message_id": 2, "date": "soon"})]
     (tmp_path / "feed.json").write_text("\n".join(lines))
     stream = readers.stream_messages(spark, str(tmp_path), "json")
     live.start_ingest(

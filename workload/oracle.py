@@ -26,7 +26,8 @@ def query(needs: list[str], body: str, **extra: str) -> str:
         visit(name)
     ctes = [f"{name} AS (\n{VIEWS[name][1]}\n)" for name in ordered]
     ctes += [f"{name} AS (\n{sql}\n)" for name, sql in extra.items()]
-    head = "WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else ""
+    recursive = "RECURSIVE " if any(f"FROM {name} " in sql for name, sql in extra.items()) else ""
+    head = f"WITH {recursive}" + ",\n".join(ctes) + "\n" if ctes else ""
     return head + body
 
 
@@ -125,15 +126,18 @@ SELECT * REPLACE (translate(lower(text), 'aeious', '今天气真好日') AS text
 
 view("resolution", ["session_chats", "entities"], r"""
 WITH refs AS (
-  SELECT *, TRY_CAST(CASE WHEN regexp_matches(chat_ref, '^-100[0-9]{10,}$') THEN substr(chat_ref, 5)
+  SELECT *, coalesce(CAST(TRY_CAST(CASE WHEN regexp_matches(chat_ref, '^-100[0-9]{10,}$') THEN substr(chat_ref, 5)
                  WHEN regexp_matches(chat_ref, '^-[0-9]+$') THEN substr(chat_ref, 2)
-                 WHEN regexp_matches(chat_ref, '^[0-9]+$') THEN chat_ref END AS BIGINT) AS num
-  FROM session_chats)
-SELECT r.session_name, r.chat_ref, coalesce(i.entity_id, u.entity_id) AS chat_id,
-       coalesce(nullif(coalesce(i.title, u.title), ''), nullif(coalesce(i.first_name, u.first_name), '')) AS chat_title,
-       coalesce(i.kind, u.kind) = 'user' AS is_private
-FROM refs r LEFT JOIN entities i ON i.entity_id = r.num
-            LEFT JOIN entities u ON r.num IS NULL AND lower(u.username) = lower(ltrim(r.chat_ref, '@'))""")
+                 WHEN regexp_matches(chat_ref, '^[0-9]+$') THEN chat_ref END AS BIGINT) AS VARCHAR),
+                 concat('@', lower(ltrim(chat_ref, '@')))) AS key
+  FROM session_chats),
+keyed AS (
+  SELECT CAST(entity_id AS VARCHAR) AS key, * FROM entities
+  UNION ALL
+  SELECT concat('@', lower(username)), * FROM entities WHERE username <> '')
+SELECT r.session_name, r.chat_ref, k.entity_id AS chat_id,
+       coalesce(nullif(k.title, ''), nullif(k.first_name, '')) AS chat_title, k.kind = 'user' AS is_private
+FROM refs r LEFT JOIN keyed k USING (key)""")
 
 view("chats", ["resolution"], """
 SELECT DISTINCT session_name, chat_id, chat_title, is_private FROM resolution WHERE chat_id IS NOT NULL""")
@@ -231,7 +235,7 @@ def postings_ctes(src: str) -> dict[str, str]:
 # --- searching ------------------------------------------------------------------------------
 
 
-def search_ctes(src: str, limit: int, match: str = "any", mode: str = "exact") -> dict[str, str]:
+def search_ctes(src: str, limit: int, match: str = "any") -> dict[str, str]:
     """CTEs up to ``hits`` for a CTE ``searches(search_id, query, scope_session_name, ...)``."""
     scope = " AND ".join(
         f"(s.scope_{c} IS NULL OR {{0}}.{c} = s.scope_{c})"
@@ -252,7 +256,7 @@ def search_ctes(src: str, limit: int, match: str = "any", mode: str = "exact") -
         "UNION ALL SELECT search_id, part_no, 'sender_name', 1, part FROM parts"
     )
     ctes["dfreq"] = "SELECT field, term, count(*) AS df FROM post GROUP BY ALL"
-    filtered = f" AND {scope.format('p')}" if mode == "exact" else ""
+    filtered = f" AND {scope.format('p')}"
     ctes["sat"] = (
         "SELECT c.search_id, c.part_no, c.field, p.id, sum(CAST(round("
         "ln(1 + (CAST(f.n_docs AS DOUBLE) - d.df + 0.5) / (CAST(d.df AS DOUBLE) + 0.5))"
@@ -272,20 +276,8 @@ def search_ctes(src: str, limit: int, match: str = "any", mode: str = "exact") -
     ctes["scored"] = (
         f"SELECT search_id, id, CAST(sum(micro) AS BIGINT) AS micro FROM sat GROUP BY search_id, id{every}"
     )
-    order = "PARTITION BY {0}search_id ORDER BY {0}micro DESC, {0}id"
-    if mode == "exact":
-        ctes["best"] = (
-            f"SELECT * FROM scored QUALIFY row_number() OVER ({order.format('')}) <= {limit}"
-        )
-    else:
-        ctes["wide"] = (
-            f"SELECT scored.* FROM scored JOIN searches s USING (search_id) QUALIFY row_number() OVER "
-            f"({order.format('scored.')}) <= CASE WHEN {no_scope} THEN {limit} ELSE {limit * 10} END"
-        )
-        ctes["best"] = (
-            f"SELECT w.* FROM wide w JOIN {src} d USING (id) JOIN searches s USING (search_id) "
-            f"WHERE {scope.format('d')} QUALIFY row_number() OVER ({order.format('w.')}) <= {limit}"
-        )
+    order = "PARTITION BY search_id ORDER BY micro DESC, id"
+    ctes["best"] = f"SELECT * FROM scored QUALIFY row_number() OVER ({order}) <= {limit}"
     ctes["hits"] = (
         f"SELECT b.search_id, d.*, b.micro / CAST(1000000 AS DOUBLE) AS score FROM best b JOIN {src} d USING (id)"
     )
@@ -314,12 +306,12 @@ def fixed_searches(rows: list[tuple]) -> str:
 HIT_COLUMNS = f"search_id, {M_COLUMNS}, score"
 
 
-def search_sql(src: str, rows: list[tuple], limit: int = 20, match: str = "any", mode: str = "exact"):
+def search_sql(src: str, rows: list[tuple], limit: int = 20, match: str = "any"):
     return query(
         [src],
         f"SELECT {HIT_COLUMNS} FROM hits",
         searches=fixed_searches(rows),
-        **search_ctes(src, limit, match, mode),
+        **search_ctes(src, limit, match),
     )
 
 

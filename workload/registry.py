@@ -286,7 +286,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     documents = v.messages(spark, sf_dir)
-    return ingest.new_by_watermark(documents, documents.filter(HOLES)).select("id")
+    return ingest.beyond_marks(documents, documents.filter(HOLES)).select("id")
 
 
 @register(
@@ -396,6 +396,64 @@ def _(spark, sf_dir):
     return index.documents().select(*DOCUMENT_COLUMNS)
 
 
+def _reopened(spark: SparkSession, index: MessageIndex) -> MessageIndex:
+    """The same files under other table names, opened without knowing how they were written."""
+    return MessageIndex(spark, index.path, f"again_{uuid.uuid4().hex}").open()
+
+
+@register(
+    "index_reopened",
+    o.query(["m"], f"SELECT {o.HIT_COLUMNS} FROM hits", searches=o.fixed_searches([("a", "the", "acct0"), ("b", "que la"), ("c", "group me", "acct1", 5031)]), **o.search_ctes("m", 20)),
+)
+def _(spark, sf_dir):
+    """Written with three buckets, searched with whatever the files say."""
+    path, name = scratch_dir(spark, "index"), f"three_{uuid.uuid4().hex}"
+    index = MessageIndex(spark, path, name, buckets=3).open()
+    index.append(v.messages(spark, sf_dir), "all")
+    searches = searches_frame(spark, [("a", "the", "acct0"), ("b", "que la"), ("c", "group me", "acct1", 5031)])
+    return plans.ranked_searches(IndexCorpus(_reopened(spark, index)), searches, 20, bounded=True)
+
+
+def _posting_rows(index: MessageIndex) -> DataFrame:
+    return _with_id(index.postings()).selectExpr(*POSTING.split(", "))
+
+
+@register("append_after_failure", o.query(["m"], "SELECT field, term, id, session_name, chat_id, sender_id, dl, tf FROM post", **o.postings_ctes("m")))
+def _(spark, sf_dir):
+    """Deriving postings fails once; the same rows come again, without a batch id."""
+    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    derive, index._derive = index._derive, None
+    try:
+        index.append(documents)
+    except TypeError:
+        pass
+    index._derive = derive
+    index.append(documents)
+    return _posting_rows(index)
+
+
+@register("index_compacted", o.query(["m"], "SELECT field, term, id, session_name, chat_id, sender_id, dl, tf FROM post", **o.postings_ctes("m")))
+def _(spark, sf_dir):
+    """Two batches, merged, their files removed, and a third one."""
+    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index.append(documents.filter(HOLES), "first")
+    index.append(documents.filter(BEGINNING), "second")
+    index.compact()
+    index.vacuum()
+    index.append(documents, "third")
+    index.append(documents.filter(HOLES), "first")
+    return _posting_rows(index)
+
+
+@register("index_reset_then_append", M)
+def _(spark, sf_dir):
+    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index.append(documents.filter(BEGINNING), "first")
+    index.reset(confirm=True)
+    index.append(documents, "first")
+    return index.documents().select(*DOCUMENT_COLUMNS)
+
+
 @register("project_documents", M)
 def _(spark, sf_dir):
     return indexed(spark, sf_dir).documents().select(*DOCUMENT_COLUMNS)
@@ -512,7 +570,6 @@ def _register_search(
     source: str = "m",
     limit: int = 20,
     match: str = "any",
-    mode: str = "exact",
 ) -> None:
     sources = {
         "m": v.messages,
@@ -524,9 +581,9 @@ def _register_search(
         corpus = ScanCorpus(sources[source](spark, sf_dir))
         searches = searches_frame(spark, rows)
         bounded = rq.is_bounded(searches, per_request=limit)
-        return plans.ranked_searches(corpus, searches, limit, match, mode, bounded)
+        return plans.ranked_searches(corpus, searches, limit, match, bounded)
 
-    register(name, o.search_sql(source, rows, limit, match, mode))(run)
+    register(name, o.search_sql(source, rows, limit, match))(run)
 
 
 _register_search("search_bm25", [("a", "the"), ("b", "und"), ("c", "les"), ("d", "las")], "dm", 50)
@@ -539,7 +596,7 @@ _register_search("search_or_across_parts", [("a", "que la"), ("b", "the of and")
 _register_search("search_multi_field", [("a", "group the"), ("b", "Group-the"), ("c", "peer member me")])
 _register_search("search_chat_title", [("a", "group"), ("b", "GROUP-5001 1"), ("c", "peer")], limit=100)
 _register_search("search_match_all", [("a", "que la"), ("b", "group the of"), ("c", "the zzz")], match="all")
-_register_search("search_overfetch", [("a", "the", "acct0"), ("b", "group", "acct1", 5031), ("c", "the"), ("d", "que", None, None, 1000)], limit=3, mode="overfetch")
+_register_search("search_filtered_few", [("a", "the", "acct0"), ("b", "group", "acct1", 5031), ("c", "the"), ("d", "que", None, None, 1000)], limit=3)
 _register_search("search_cjk", [("a", "天气"), ("b", "今天 th天n"), ("c", "真"), ("d", "天气真"), ("e", "nd-气ng")], "mixed")
 
 
@@ -896,6 +953,20 @@ def _(spark, sf_dir):
     return index.documents().select(*DOCUMENT_COLUMNS)
 
 
+@register("live_two_feeds", M)
+def _(spark, sf_dir):
+    """One feed per account, each on its own checkpoint, into one index with default arguments."""
+    index, raw = _new_index(spark), v.raw_messages(spark, sf_dir)
+    for account in ("acct0", "acct1", "acct2"):
+        path = scratch_dir(spark, "feed")
+        raw.filter(F.col("session_name") == account).coalesce(1).write.parquet(path)
+        stream = readers.stream_messages(spark, path)
+        live.start_ingest(
+            stream, index, *_dims(spark, sf_dir), checkpoint=scratch_dir(spark, "ckpt")
+        ).awaitTermination()
+    return index.documents().select(*DOCUMENT_COLUMNS)
+
+
 @register("backfill_then_live", M)
 def _(spark, sf_dir):
     """History first, then newer files, on one checkpoint."""
