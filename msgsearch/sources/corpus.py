@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.literals import any_of
 from ..operators import matching, postings
 from ..operators.sequence import slab_directory, slab_key
 from ..session import stored
@@ -15,6 +16,8 @@ from .index_store import MessageIndex
 # more are joined.
 PUSHED_TERMS = 500
 PUSHED_KEYS = 1_000
+# Chats, senders or accounts that all searches of a table are limited to.
+PUSHED_SCOPES = 100
 
 
 @dataclass(frozen=True)
@@ -76,14 +79,15 @@ class IndexCorpus:
         terms = matching.vocabulary(wanted)
         rows, stats = self.index.postings(), self.index.term_stats()
         if bounded:
-            scope = [c for c in ("scope_session_name",) if c in wanted.columns]
+            scope = [c for c in matching.SCOPE if c in wanted.columns]
             asked = wanted.select("term", *scope).distinct().limit(PUSHED_TERMS + 1).collect()
             if len(asked) <= PUSHED_TERMS:
-                named = F.col("term").isin({a.term for a in asked})
+                named = any_of("term", {a.term for a in asked})
                 rows, stats = rows.filter(named), stats.filter(named)
-                sessions = {a[c] for a in asked for c in scope}
-                if sessions and None not in sessions:
-                    rows = rows.filter(F.col("session_name").isin(sessions))
+                for c in scope:
+                    values = {a[c] for a in asked}
+                    if None not in values and len(values) <= PUSHED_SCOPES:
+                        rows = rows.filter(any_of(c.removeprefix("scope_"), values))
             terms = F.broadcast(terms)
         on = ["field", "term"]
         counts = stats.join(terms, on).groupBy(*on).agg(F.sum("df").alias("df"))
@@ -104,7 +108,7 @@ class IndexCorpus:
         if kept.count() <= PUSHED_KEYS:
             keys = kept.select("id", "slab").distinct().collect()
             ids, slabs = sorted({k.id for k in keys}), sorted({k.slab for k in keys})
-            documents = documents.filter(F.col("slab").isin(slabs) & F.col("id").isin(ids))
+            documents = documents.filter(F.col("slab").isin(slabs) & any_of("id", ids))
         return documents.join(F.broadcast(kept), ["slab", "id"])
 
     def message_keys(self) -> DataFrame:

@@ -5,12 +5,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from msgsearch.functions.literals import any_of
 from msgsearch.operators import enrich, matching, postings
 from msgsearch.operators.sequence import message_sequence
 from msgsearch.operators.topk import top_k
 from msgsearch.plans import requests as rq
-from msgsearch.plans.search import batch_search, search
+from msgsearch.plans.search import batch_search, ranked_searches, search
 from msgsearch.schemas import ENTITY, REQUEST
+from msgsearch.session import scratch_dir
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 
 
@@ -61,7 +63,7 @@ def test_matching_in_the_index_shuffles_no_postings(spark, index):
     assert "hashpartitioning(search_id" not in text
     assert not re.search(r"Exchange hashpartitioning\(.*message_id", text)
     text = details(found)
-    assert "In(term, [common,word1])" in text and "EqualTo(session_name,north)" in text
+    assert "Or(EqualTo(term,common),EqualTo(term,word1))" in text and "EqualTo(session_name,north)" in text
 
 
 def test_best_hits_are_cut_before_the_shuffle(many):
@@ -154,3 +156,30 @@ def test_a_hot_sender_is_split(spark):
     finally:
         for key in conf:
             spark.conf.unset(key)
+
+
+def test_long_literal_lists_skip_row_groups(spark):
+    """Rows read, not the plan's text: a list of values beyond ten is pushed as a mere range."""
+    path = scratch_dir(spark, "literals")
+    keys = spark.range(0, 300_000, 1, 1).select(F.format_string("k%07d", "id").alias("id"))
+    keys.write.option("parquet.block.size", 200_000).option("parquet.page.row.count.limit", 2000).parquet(path)
+    wanted = [f"k{i:07d}" for i in range(0, 300_000, 6_000)]
+
+    def rows_read(condition):
+        frame = spark.read.parquet(path).filter(condition)
+        assert frame.count() == len(wanted)
+        frame.collect()
+        scan = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return scan.metrics().apply("numOutputRows").value()
+
+    assert rows_read(any_of("id", wanted)) < 0.6 * rows_read(F.col("id").isin(wanted))
+
+
+def test_a_chat_scope_reaches_the_postings(spark, new_index, documents):
+    index = new_index(buckets=2)
+    index.append(documents(dict(message_id=1), dict(message_id=2, chat_id=5)))
+    searches = spark.createDataFrame([("a", "harvest", 5)], "search_id string, query string, scope_chat_id bigint")
+    frame = ranked_searches(IndexCorpus(index), searches, 5, bounded=True)
+    assert [r.chat_id for r in frame.collect()] == [5]
+    found, _ = IndexCorpus(index).lookup(matching.clauses(searches), True)
+    assert "EqualTo(chat_id,5)" in details(found)
