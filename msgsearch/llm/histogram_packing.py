@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from msgsearch.llm.common import numbered, text_slices
-from msgsearch.llm.token_bytes import by_blanks
+from msgsearch.llm.token_bytes import piece_ids
 from msgsearch.session import stored
 
 SIZE = 1024
@@ -83,7 +83,7 @@ def cut(documents: DataFrame, vocabulary: str, size: int = SIZE, with_ids: bool
         for batch in batches:
             for some in text_slices(batch, "text"):
                 rows = []
-                encoded = by_blanks(vocabulary).encode([x or "" for x in some.column("text").to_pylist()])
+                encoded = piece_ids(vocabulary).blanks(some.column("text"))
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
                     ids += closing
                     for start in range(0, len(ids) // 4, size):

@@ -1,8 +1,8 @@
 """Token ids of texts as bytes, with what a worker process has already encoded kept for reuse.
 
 Both public vocabularies split a text into parts that are encoded one by one, and no part crosses from
-a letter or sign into a blank. So a text may be cut there and the ids of its pieces joined. Pieces recur,
-and a worker keeps the ids of up to ``KEPT`` of them; then it starts anew.
+a letter or sign into a blank. So a text may be cut there and the ids of its pieces joined. The distinct
+pieces of a batch are looked up once; a worker keeps the ids of up to ``KEPT`` of them and then starts anew.
 """
 
 from __future__ import annotations
@@ -11,29 +11,35 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from msgsearch.llm.common import IS_SEPARATOR, LOWER
+
 KEPT = 1_500_000
 #: Pieces that are encoded in one call.
 TOGETHER = 20_000
 END = "<|endoftext|>"
-#: Blanks of any kind and what follows them up to the next blank.
-PIECE = re.compile(r"\s*\S+|\s+$")
+#: What the vocabularies' patterns take for white space.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes with A-Z in lower case and ASCII white space as a blank.
+PLAIN = np.where(IS_SEPARATOR, 0x20, LOWER).astype(np.uint8)
+#: White space and what follows it up to the next.
+PIECE = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+$")
 
 
 class PieceIds:
     """Ids of texts, as little-endian unsigned 32-bit integers, for one vocabulary file.
 
-    ``cut`` turns a text into pieces whose ids may be joined. Strings of special tokens in a text are
-    ordinary text.
+    Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, cut):
+    def __init__(self, path: str):
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.split = Tokenizer.from_file(path)
         self.end = self.split.token_to_id(END)
-        self.cut = cut
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
@@ -52,27 +58,64 @@ class PieceIds:
                 self.known[x] = raw[4 * at : 4 * stop]
                 at = stop + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.cut(x) for x in texts]
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces."""
         if len(self.known) > KEPT:
             self.known = {}
-        fresh = set().union(*pieces).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
-        known = self.known.__getitem__
-        return [b"".join(map(known, x)) for x in pieces]
-
-
-ASCII_BLANKS = re.compile(r"[^ \t-\r]+")
-
-
-@lru_cache(maxsize=2)
-def by_words(path: str) -> PieceIds:
-    """For vocabularies that drop white space and treat each word by itself."""
-    return PieceIds(path, ASCII_BLANKS.findall)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self._learn([x for x, ids in zip(pieces, found) if ids is None])
+            found = list(map(self.known.__getitem__, pieces))
+        return found
+
+    def joined(self, pieces: pa.Array, ends: np.ndarray, prefix: str = "") -> list[bytes]:
+        """Ids of texts from their pieces; text ``i`` has the pieces before ``ends[i]`` from the last one's."""
+        coded = pieces.dictionary_encode()
+        ids = self.of([prefix + x for x in coded.dictionary.to_pylist()])
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        many = np.array([len(x) // 4 for x in ids], np.int64)
+        tokens = np.frombuffer(b"".join(ids), "<u4")
+        own = many[code]
+        stops = np.cumsum(own)
+        shift = (np.cumsum(many) - many)[code] - (stops - own)
+        raw = tokens[np.arange(stops[-1] if len(stops) else 0) + np.repeat(shift, own)].tobytes()
+        edges = np.append(0, np.append(0, stops)[ends] * 4).tolist()
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+    def words(self, texts: pa.Array) -> list[bytes]:
+        """For vocabularies that drop white space and case, and treat each word by itself."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        low, high = int(offsets[0]), int(offsets[-1])
+        data = np.frombuffer(texts.buffers()[2], np.uint8, high)[low:] if high > low else np.zeros(0, np.uint8)
+        buffers = [pa.py_buffer(x.tobytes()) for x in (offsets - low, PLAIN[data])]
+        texts = pa.LargeStringArray.from_buffers(len(texts), *buffers)
+        lists = pc.split_pattern(texts, " ")
+        return self.joined(lists.values, lists.offsets.to_numpy()[1:])
+
+    def blanks(self, texts: pa.Array) -> list[bytes]:
+        """For byte-level vocabularies, whose parts take the blank before a word along.
+
+        Texts are cut at blanks; those with white space before a blank, where a part may hold both, by a
+        slower pattern.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, f"[{SPACES}] ").to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        starts = lists.offsets.to_numpy()[:-1]
+        first = lists.values.take(pa.array(starts))
+        later = np.ones(len(lists.values), bool)
+        later[starts] = False
+        rest = self.joined(lists.values.filter(pa.array(later)), np.cumsum(np.diff(lists.offsets.to_numpy()) - 1), " ")
+        heads = self.joined(first, np.arange(1, len(first) + 1))
+        out = [a + b for a, b in zip(heads, rest)]
+        for i in np.flatnonzero(odd).tolist():
+            pieces = PIECE.findall(texts[i].as_py())
+            ids = dict(zip(unique := list(dict.fromkeys(pieces)), self.of(unique)))
+            out[i] = b"".join(map(ids.__getitem__, pieces))
+        return out
 
 
 @lru_cache(maxsize=2)
-def by_blanks(path: str) -> PieceIds:
-    """For byte-level vocabularies, whose parts take the blank before a word along."""
-    return PieceIds(path, PIECE.findall)
+def piece_ids(path: str) -> PieceIds:
+    return PieceIds(path)

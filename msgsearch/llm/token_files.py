@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsearch.llm.common import text_slices
-from msgsearch.llm.token_bytes import by_words
+from msgsearch.llm.token_bytes import piece_ids
 from msgsearch.session import scratch_dir, stored
 
 FRAME_IDS = 1 << 16
@@ -139,7 +139,7 @@ class TokenFile:
         return np.flatnonzero(self.known & (self.doc_ids == doc_id)).tolist()
 
 
-def write_files(documents: DataFrame, path: str, encode: Callable[[list[str]], list[bytes]]) -> DataFrame:
+def write_files(documents: DataFrame, path: str, encode: Callable[[pa.Array], list[bytes]]) -> DataFrame:
     """Encode all documents and write them in ascending doc_id order; returns one row per file.
 
     ``documents`` has doc_id (null first) and text (null: as an empty one); other columns stay behind. Rows
@@ -154,8 +154,7 @@ def write_files(documents: DataFrame, path: str, encode: Callable[[list[str]], l
         for batch in batches:
             for some in text_slices(batch, "text"):
                 out = out or TokenFileWriter(f"{path}/{file}")
-                texts = [x or "" for x in some.column("text").to_pylist()]
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode(texts), strict=True):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text")), strict=True):
                     out.add(doc_id, ids)
         if out:
             out.close()
@@ -228,10 +227,10 @@ def fetch(path: str, files: DataFrame, wanted: DataFrame) -> DataFrame:
     return sorted_requests.mapInArrow(read, "doc_id bigint, ids binary")
 
 
-def word_encoder(vocabulary: str, end: int = 1) -> Callable[[list[str]], list[bytes]]:
+def word_encoder(vocabulary: str, end: int = 1) -> Callable[[pa.Array], list[bytes]]:
     """Encodes with a vocabulary file that treats words by themselves; every document ends with ``end``."""
     closing = struct.pack("<I", end)
-    return lambda texts: [x + closing for x in by_words(vocabulary).encode(texts)]
+    return lambda texts: [x + closing for x in piece_ids(vocabulary).words(texts)]
 
 
 def token_digests(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -13,7 +13,7 @@ from msgsearch.session import scratch_dir
 
 WORDS = vocabulary("word_bpe_49k.json")
 BYTES = vocabulary("byte_bpe_50k.json")
-ODD = ["", "  ", "a  b", "a\n\nb c \n", " x", "x<|endoftext|>y <|endoftext|> z", "\xa0 \n\nword  q", "don't I'LL ΑΣ İ", "!\x1c \x85 x", "a　 b", "日本語 テスト", "x" * 3000, "\r\n\r\n x\r\n", "é \x00"]
+ODD = ["", "  ", "a  b", "a\n\nb c \n", " x", "x<|endoftext|>y <|endoftext|> z", "\xa0 \n\nword  q", "don't I'LL ΑΣ İ", "!\x1c \x85 x", "a　 b", "日本語 テスト", "x" * 3000, "\r\n\r\n x\r\n", "é \x00", "voilà là à l’été ÀÃ\xa0!"]
 
 
 def whole(path, text):
