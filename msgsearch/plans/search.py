@@ -9,7 +9,7 @@ from ..operators import matching
 from ..operators.postings import KEY
 from ..operators.topk import top_k
 from ..schemas import DOCUMENT_COLUMNS
-from ..session import stored
+from ..session import scratch_dir, stored
 from . import requests as rq
 
 # Result limits.
@@ -41,6 +41,28 @@ def ranked_searches(
     )
 
 
+def blockwise_searches(corpus, searches: DataFrame, limit: int, match: str = "any") -> DataFrame:
+    """:func:`ranked_searches` for a table of any size, a bounded block of searches at a time.
+
+    The clauses of a block go to the postings, wherever these lie, so a word that is in most
+    messages and in most searches never gathers in one task. Each block reads the postings
+    once and writes its hits; the plan does not grow with the number of blocks. Only a
+    search that is longer than a block is left to a join by term.
+    """
+    path = scratch_dir(searches.sparkSession, "blocks")
+    short = F.length("query") <= rq.MAX_CHARS
+    blocks = rq.block_count(searches.filter(short), limit)
+    block = F.pmod(F.xxhash64("search_id"), F.lit(max(blocks, 1)))
+    parts = [(searches.filter(short & (block == number)), True) for number in range(blocks)]
+    parts.append((searches.filter(~short), False))
+    for number, (part, bounded) in enumerate(parts):
+        if number and part.isEmpty():
+            continue
+        hits = ranked_searches(corpus, part, limit, match, bounded)
+        hits.write.parquet(f"{path}/block={number}")
+    return searches.sparkSession.read.parquet(path).drop("block")
+
+
 def with_result_rank(hits: DataFrame, key: str = "request_id") -> DataFrame:
     """Display position of each hit, newest first, and the number of hits.
 
@@ -65,7 +87,10 @@ def batch_search(
     if bounded is None:
         bounded = rq.is_bounded(keyed, per_request=limit)
     searches = rq.distinct_searches(keyed)
-    hits = ranked_searches(corpus, searches, limit, match, bounded)
+    if bounded:
+        hits = ranked_searches(corpus, searches, limit, match, True)
+    else:
+        hits = blockwise_searches(corpus, stored(searches, "searches"), limit, match)
     asked = keyed.filter("allowed") if "allowed" in keyed.columns else keyed
     asked = asked.select("request_id", "search_id")
     return with_result_rank(asked.join(hits, "search_id").drop("search_id"))

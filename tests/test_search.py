@@ -1,6 +1,7 @@
 import pytest
 
-from msgsearch.plans.search import search
+from msgsearch.plans import requests
+from msgsearch.plans.search import batch_search, search
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 
 
@@ -109,6 +110,24 @@ def test_repeated_parts_count_twice(corpus, documents):
     assert search(source, "word-word").first().score == pytest.approx(single)
 
 
+@pytest.mark.parametrize("match", ["any", "all"])
+def test_blocks_of_searches_equal_one_table(spark, corpus, documents, monkeypatch, match):
+    rows = [dict(text=f"common word{i % 5} item{i}", message_id=i, sender_id=i % 3) for i in range(40)]
+    source = corpus(documents(*rows))
+    asked = [(i, f"common word{i % 5}" + " item7" * (i % 2), None) for i in range(30)] + [(99, "common " * 40, "north"), (100, "", None)]
+    prepared = spark.createDataFrame(asked, "request_id bigint, query string, scope_session_name string")
+
+    def found():
+        rows = batch_search(source, prepared, 4, match).collect()
+        return sorted((r.request_id, r.rank, r.id, r.score, r.n_results) for r in rows)
+
+    whole = found()
+    assert len({r[0] for r in whole}) >= 15
+    monkeypatch.setattr(requests, "MAX_ROWS", 4)
+    monkeypatch.setattr(requests, "MAX_CHARS", 60)
+    assert found() == whole
+
+
 def test_scope_comes_before_the_cut(corpus, documents):
     rows = [dict(text="weed", message_id=i) for i in range(40)]
     rows += [dict(text="weed and many more words here", message_id=i, session_name="south") for i in range(3)]

@@ -729,6 +729,20 @@ def _(spark, sf_dir):
     return _results(spark, sf_dir, "all").select(*RESULT_COLUMNS)
 
 
+@register(
+    "search_many_requests",
+    o.query(
+        ["m", "turn_requests", "accounts"],
+        f"SELECT {RESULT} FROM results",
+        **{**o.batch_ctes("m", "all"), **o.prepared_ctes("turn_requests", "all")},
+    ),
+)
+def _(spark, sf_dir):
+    """Every turn of every conversation as a request: a table that is answered in blocks."""
+    prepared = rq.prepare(v.turn_requests(spark, sf_dir), v.accounts(spark, sf_dir), unknown_user="all")
+    return plans.batch_search(IndexCorpus(indexed(spark, sf_dir)), prepared).select(*RESULT_COLUMNS)
+
+
 @register("search_indexed", _results_sql("all"))
 def _(spark, sf_dir):
     corpus = IndexCorpus(indexed(spark, sf_dir))
