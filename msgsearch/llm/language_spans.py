@@ -31,6 +31,8 @@ OUTSIDE = 9.0
 #: A language uses a script when at least this share of its words does.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
+#: Text bytes that a pass holds at once, each with about a hundred bytes of numbers.
+SLICE = 1 << 21
 ADDED = [pa.string(), pa.float64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))]
 
 # First code points of Unicode ranges and the script of each (0: no letters).
@@ -171,7 +173,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for some in text_slices(batch, "text"):
+            for some in text_slices(batch, "text", SLICE):
                 names = some.column("lang").to_pylist()
                 for name in set(names):
                     own = Spelled(some.column("text").filter(pa.array([x == name for x in names])))
@@ -222,7 +224,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", with_spans:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in text_slices(batch, text):
+            for some in text_slices(batch, text, SLICE):
                 found = _predicted(some.column(text), shared.value, with_spans)
                 yield pa.record_batch([*some.columns, *(pa.array(x, k) for x, k in zip(found, ADDED))], schema.names)
 
