@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from msgsearch.llm.cells import may_repeat, power_of_two, repeated
 from msgsearch.llm.common import Words, inside, runs_hash, text_slices
-from msgsearch.session import stored
 
 WINDOW = 35
 ANCHOR = 12

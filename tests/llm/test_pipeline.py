@@ -1,9 +1,11 @@
+import os
 import random
 import subprocess
 import sys
 
 import corpus_pipeline
-from conftest import ROOT
+
+ROOT = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
 
 random.seed(4)
 WORDS = {k: [f"{k}{''.join(random.choice('abcdefgh') for _ in range(5))}" for _ in range(300)] for k in ("en", "de")}
