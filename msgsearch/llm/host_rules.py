@@ -133,8 +133,8 @@ def host_verdicts(judged: DataFrame, host: str) -> DataFrame:
     return hosts.withColumn("host_rate", shrunk).withColumn("host_failed", F.col("host_rate") > MOST_FAILING)
 
 
-def judge(documents: DataFrame, host: str = "source", text: str = "text", with_text: bool = False) -> DataFrame:
-    """Every document (its columns, the text ``with_text`` only) with measures, base_failed, host_rate, host_failed and kept.
+def judge(documents: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """Every document (its columns but the text) with measures, base_failed, host_rate, host_failed and kept.
 
     A null host is no host: only the base rules count, host_rate is null. A null text has no words and
     fails. Repeated rows count each. An empty table gives an empty one. Columns of the result's names in
@@ -144,7 +144,7 @@ def judge(documents: DataFrame, host: str = "source", text: str = "text", with_t
     added = ["base_failed", "host_rate", "host_failed", "kept", "docs", "failed"]
     kept = documents.drop(*(x for x in added if x != host))
     measured = measure(kept, text).withColumn("base_failed", base_failed())
-    judged = stored(measured if with_text or text == host else measured.drop(text), "measures")
+    judged = stored(measured if text == host else measured.drop(text), "measures")
     hosts = host_verdicts(judged, host).select(F.col(host).alias("_host"), "host_rate", "host_failed")
     return (
         judged.join(hosts, F.col(host) == F.col("_host"), "left")
@@ -152,3 +152,17 @@ def judge(documents: DataFrame, host: str = "source", text: str = "text", with_t
         .withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
     )
+
+
+def passing(documents: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The documents that :func:`judge` keeps, with their own columns only.
+
+    Texts are measured twice, once for the hosts and once for themselves, so that no text is written.
+    """
+    failed = measure(documents.select(F.col(host).alias("_host"), F.col(text).alias("_text")), "_text")
+    judged = stored(failed.select("_host", base_failed().alias("base_failed")), "measures")
+    bad = host_verdicts(judged, "_host").where("host_failed").select("_host")
+    columns = [F.col(c).alias(f"_own_{c}") for c in documents.columns]
+    own = measure(documents.select(*columns), f"_own_{text}").where(~base_failed())
+    kept = own.join(bad, F.col(f"_own_{host}") == F.col("_host"), "left_anti")
+    return kept.select(*(F.col(f"_own_{c}").alias(c) for c in documents.columns))

@@ -393,16 +393,24 @@ def linked_documents(documents: DataFrame, shingle: int = 4, percent: int = 85)
 def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
-    A null doc_id comes first, equal ones in the order of the rows. Rows without words link with nothing and
-    stay. All columns pass; the rows are written once, with numbers that tell repeated ones apart.
+    A null doc_id comes first. Of rows that are equal in all columns one stays; of linked rows with the same
+    doc_id the one with the smallest hash. Rows without words link with nothing and stay, repeated ones too.
+    All columns pass. Rows are known by a hash of their columns, so that no text is written.
     """
-    own = documents.drop("_row")
-    rows = stored(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = documents.drop("_row", "_turn")
+    rows = own.withColumn("_row", F.xxhash64(*own.columns))
     found, roots = classes(rows.select(F.col("_row").alias("doc_id"), "text"), Rule(shingle, percent))
-    keys = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "cls"), "_row").where("cls IS NOT NULL")
+    keys = rows.select("_row", "doc_id").distinct().join(
+        found.where("cls IS NOT NULL").select(F.col("doc_id").alias("_row"), "cls").distinct(), "_row"
+    )
     first = keys.groupBy("cls").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
     placed = first.join(roots, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     best = placed.groupBy("comp").agg(F.min("first").alias("best"))
     kept = placed.join(best, "comp").select("cls", F.col("best")["_row"].alias("kept"))
     dropped = keys.join(kept, "cls").where(F.col("_row") != F.col("kept")).select("_row")
-    return rows.join(dropped, "_row", "left_anti").drop("_row")
+    single = found.where("cls IS NOT NULL").groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    fate = stored(dropped.select("_row", F.lit(0).alias("_turn")).union(single.select("_row", F.lit(1))).groupBy("_row").agg(F.min("_turn").alias("_turn")), "fate")
+    judged = rows.join(fate, "_row", "left")
+    alone = judged.where("_turn IS NULL").select(own.columns)
+    once = rows.join(fate.where("_turn = 1"), "_row", "left_semi").dropDuplicates(["_row"]).select(own.columns)
+    return alone.unionByName(once)
