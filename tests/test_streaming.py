@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from msgsearch.schemas import ENTITY, RAW_MESSAGE
 from msgsearch.session import scratch_dir
