@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
 from msgsearch.session import stored
@@ -142,8 +143,8 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iter
     """A batch in slices of about ``most`` text bytes, so that long texts bound the memory by themselves."""
     if not batch.num_rows:
         return
-    sizes = batch.column(column).cast(pa.large_binary())
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(sizes).fill_null(0), np.int64))
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0)
+    ends = np.cumsum(np.asarray(sizes, np.int64))
     begin = 0
     while begin < batch.num_rows:
         base = ends[begin - 1] if begin else 0
