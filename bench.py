@@ -92,7 +92,7 @@ def measure(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     )
     times["context_all_messages"] = timed(lambda: drain(context(ScanCorpus(messages), hits)))
     times["answer_requests"] = timed(
-        lambda: drain(answer(ScanCorpus(messages), v.requests(spark), v.accounts(spark, sf_dir)))
+        lambda: drain(answer(ScanCorpus(messages), v.requests(spark), v.accounts(spark, sf_dir), unknown_user="none"))
     )
     for name in ("postings_build", "message_sequence", "dedupe_by_id", "incremental_anti"):
         times[name] = timed(lambda: drain(QUERIES[name](spark, sf_dir)))

@@ -101,7 +101,7 @@ def test_batch_search_plan(spark, many, index, kind):
     sessions = spark.createDataFrame(
         [(0, "north", 5), (1, "north", 6)], "pos int, name string, telegram_id bigint"
     )
-    frame = batch_search(corpus, rq.prepare(requests, sessions))
+    frame = batch_search(corpus, rq.prepare(requests, sessions, unknown_user="none"))
     text = plan(frame)
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Arrow"):
         assert node not in text
@@ -111,7 +111,7 @@ def test_batch_search_plan(spark, many, index, kind):
 def test_equal_requests_are_answered_once(spark):
     rows = [(n, 5, "same question") for n in range(50)] + [(99, 5, "another")]
     sessions = spark.createDataFrame([(0, "north", 5)], "pos int, name string, telegram_id bigint")
-    prepared = rq.prepare(spark.createDataFrame(rows, REQUEST), sessions)
+    prepared = rq.prepare(spark.createDataFrame(rows, REQUEST), sessions, unknown_user="none")
     assert rq.distinct_searches(rq.search_key(prepared)).count() == 2
 
 

@@ -909,7 +909,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     corpus = ScanCorpus(v.messages(spark, sf_dir))
-    return answers.answer(corpus, v.requests(spark), v.accounts(spark, sf_dir))
+    return answers.answer(corpus, v.requests(spark), v.accounts(spark, sf_dir), unknown_user="none")
 
 
 CHUNKS = (
