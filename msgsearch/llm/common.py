@@ -151,6 +151,8 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iter
         end = max(begin + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    # A worker that waits for its next task should not keep what this batch took.
+    pa.default_memory_pool().release_unused()
 
 
 def numbered(rows: DataFrame, order: list[str], label: str) -> DataFrame:
