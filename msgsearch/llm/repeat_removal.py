@@ -7,7 +7,9 @@ two rows, one per partition, merged by cell ranges; only "twice or more" is kept
 
 Second pass: windows whose anchor is estimated to repeat are grouped exactly, by a 128-bit identity (hash
 of the anchor, hash of the window). Windows that occur twice within a slice of one task are sent once, so
-a passage that a third of all texts share stays a few rows per task. What comes back are the estimated
+a passage that a third of all texts share stays a few rows per task. A phrase shorter than a window, with
+different words around it, gives many different windows one anchor: windows of anchors that a fixed-size
+sketch counts as frequent are dealt by their own identity. What comes back are the estimated
 windows that are unique after all; texts are joined with those, and everything else that the sketch
 reports is removed. The sketch can only report too much, so no repeated window is lost.
 """
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from msgsearch.llm.cells import may_repeat, power_of_two, repeated
-from msgsearch.llm.common import Words, inside, runs_hash, text_slices
+from msgsearch.llm.cells import level_of, levels, may_repeat, power_of_two, repeated
+from msgsearch.llm.common import Words, inside, mix, runs_hash, text_slices
 
 WINDOW = 35
 ANCHOR = 12
@@ -31,6 +34,10 @@ ANCHOR = 12
 CELLS_EACH = 8
 MOST_CELLS = 1 << 30
 LEAST_CELLS = 1 << 20
+#: Cells that count how often suspect anchors occur, and the bit length of a count (8,192 or more) from which
+#: the windows of an anchor are grouped one by one. A count is never too low.
+LEVEL_CELLS = 1 << 20
+HOT_LEVEL = 14
 #: A rough count of text bytes per anchor, to choose the number of cells.
 BYTES_EACH = 60
 FOUND = "anchor bigint, k1 bigint, k2 bigint, start bigint, windows binary"
@@ -85,18 +92,34 @@ def sketch(documents: DataFrame, window: int, cells: int) -> np.ndarray:
     return repeated(documents.select("_text"), anchors, cells)
 
 
+def anchor_levels(documents: DataFrame, window: int, bits: Broadcast) -> np.ndarray:
+    """The bit length of how often each suspect anchor occurs, by cells."""
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for some in text_slices(batch, "_text"):
+            found = Windows(some.column("_text"), window).anchor_hashes()
+            yield found[may_repeat(bits.value, found)]
+
+    return levels(documents.select("_text"), anchors, LEVEL_CELLS)
+
+
 def _suspects(windows: Windows, bits: np.ndarray) -> np.ndarray:
     """Positions of windows whose anchor may repeat."""
     at = np.flatnonzero(windows.starts)
     return at[may_repeat(bits, windows.anchors[at])]
 
 
-def _found(windows: Windows, bits: np.ndarray, window: int, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch | None:
-    """Suspect windows of a slice: unique ones in stretches with their place, the others once without."""
+def _found(windows: Windows, bits: np.ndarray, found: np.ndarray, least: int, window: int, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch | None:
+    """Suspect windows of a slice: unique ones in stretches with their place, the others once without.
+
+    Windows of anchors from ``least`` in ``found`` on go by anchor and window, equal ones to the same place.
+    """
     at = _suspects(windows, bits)
     if not len(at):
         return None
     names = runs_hash(windows.words.hashes, window, 1)[at]
+    anchors = windows.anchors[at]
+    anchors = np.where(level_of(found, anchors) >= least, mix(anchors) ^ mix(names + np.uint64(1)), anchors)
     order = np.argsort(names, kind="stable")
     fresh = np.append(True, names[order][1:] != names[order][:-1])
     times = np.diff(np.append(np.flatnonzero(fresh), len(at)))
@@ -105,10 +128,10 @@ def _found(windows: Windows, bits: np.ndarray, window: int, k1: np.ndarray, k2:
     alone[first[times == 1]] = True
     text = np.searchsorted(windows.words.bounds, at, "right") - 1
     more = first[times > 1]
-    more = more[np.argsort(windows.anchors[at[more]], kind="stable")]
+    more = more[np.argsort(anchors[more], kind="stable")]
     kept = np.concatenate((np.flatnonzero(alone), more))
     single = np.arange(len(kept)) < len(kept) - len(more)
-    place, anchor = at[kept], windows.anchors[at[kept]]
+    place, anchor = at[kept], anchors[kept]
     joined = np.append(False, (anchor[1:] == anchor[:-1]) & (single[1:] == single[:-1]))
     joined[1:] &= ~single[1:] | ((place[1:] == place[:-1] + 1) & (text[kept][1:] == text[kept][:-1]))
     heads = np.flatnonzero(~joined)
@@ -174,6 +197,22 @@ def _keyed(documents: DataFrame, text: str) -> DataFrame:
     return documents.withColumn("_text", whole).withColumn("_k1", F.xxhash64(whole)).withColumn("_k2", second)
 
 
+def dealt_windows(keyed: DataFrame, window: int, bits: Broadcast) -> DataFrame:
+    """The suspect windows of all texts; those of one ``anchor`` (see :func:`_found`) are grouped in one task."""
+    found = keyed.sparkSession.sparkContext.broadcast(anchor_levels(keyed, window, bits))
+    least = HOT_LEVEL
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in text_slices(batch, "_text"):
+                k1, k2 = (np.asarray(some.column(n), np.int64) for n in ("_k1", "_k2"))
+                rows = _found(Windows(some.column("_text"), window), bits.value, found.value, least, window, k1, k2)
+                if rows is not None:
+                    yield rows
+
+    return keyed.select("_text", "_k1", "_k2").mapInArrow(find, FOUND)
+
+
 def remove_repeats(documents: DataFrame, text: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """All rows and columns with n_words, n_removed (long) and kept_sha256 (of the kept words joined by blanks).
 
@@ -191,16 +230,7 @@ def remove_repeats(documents: DataFrame, text: str = "text", window: int = WINDO
     spark = documents.sparkSession
     bits = spark.sparkContext.broadcast(sketch(keyed, window, cells))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in text_slices(batch, "_text"):
-                k1, k2 = (np.asarray(some.column(n), np.int64) for n in ("_k1", "_k2"))
-                rows = _found(Windows(some.column("_text"), window), bits.value, window, k1, k2)
-                if rows is not None:
-                    yield rows
-
-    suspects = keyed.select("_text", "_k1", "_k2").mapInArrow(find, FOUND)
-    grouped = suspects.repartition("anchor").sortWithinPartitions("anchor")
+    grouped = dealt_windows(keyed, window, bits).repartition("anchor").sortWithinPartitions("anchor")
     unique = grouped.mapInArrow(_unique_runs, UNIQUE)
     keys = [F.col("k1").alias("_k1"), F.col("k2").alias("_k2")]
     runs = unique.groupBy(*keys).agg(F.collect_list(F.struct("start", "length")).alias("_runs"))

@@ -47,3 +47,24 @@ def test_texts_keep_their_form(texts):
     assert rows[2].text == "" and rows[3].text == "clean  text\n stays" and rows[None].text is None
     assert rows[3].k1 == "k" and rows[3].n_removed == 0
     assert rr.remove_repeats(frame.where("false")).count() == 0
+
+
+def test_a_shared_phrase_does_not_gather_its_windows(texts, monkeypatch):
+    monkeypatch.setattr(rr, "HOT_LEVEL", 5, raising=False)
+    phrase = " ".join(f"notice{i}" for i in range(20))
+    docs = [" ".join(f"a{i}x{k}" for k in range(30)) + f" {phrase} " + " ".join(f"b{i}x{k}" for k in range(30)) for i in range(300)]
+    docs += [docs[0], docs[1] + " tail"]
+    largest = []
+    frame = texts(*enumerate(docs))
+    plain = type(frame).mapInArrow
+
+    def watched(self, function, schema, *more):
+        if schema == rr.UNIQUE:
+            sums = self.selectExpr("anchor", "length(windows) / 8 AS n").groupBy("anchor").sum("n").agg({"sum(n)": "max"})
+            largest.append(sums.first()[0])
+        return plain(self, function, schema, *more)
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    rows = rr.removal_digests(frame).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == dict(enumerate(brute(docs, 35)))
+    assert largest and largest[0] < 50
