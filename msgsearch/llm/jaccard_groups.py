@@ -9,6 +9,9 @@
 4. Links first connect every bucket's members to few pivots. Then only pairs that are still in different
    components are compared, all of them. Pairs inside a component are never enumerated, so thousands of
    near copies cost about as many comparisons, and no component misses a link.
+5. Large buckets are cut into blocks. All blocks of one get the same pivots first. In the exact pass what is
+   outside a bucket's largest component is compared with everything in it, by pairs of blocks; buckets of one
+   component are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from msgsearch.llm.cells import level_of, levels, may_repeat, power_of_two, repeated
 from msgsearch.llm.common import Words, mix, runs_hash, text_slices
@@ -31,6 +34,11 @@ LEVEL_CELLS = 1 << 20
 SIGNED = 256
 #: Rounds of pivots in a bucket before its rest is left to the exact pass.
 PIVOTS = 3
+#: Entries of a bucket beyond which it is cut into blocks of about as many, and the pivots its blocks share.
+BLOCK = 8192
+SEEDS = 64
+#: What an entry is in the exact pass: compared, compared with, of the bucket's largest component.
+LEFT, RIGHT, TOP = 1, 2, 4
 SETS = "doc_id bigint, n bigint, cls bigint, grp bigint, sig binary, wide binary, prefix binary"
 GROUPS = "grp bigint, n bigint, cls bigint, sig binary, prefix binary"
 POSTINGS = "bucket bigint, entry bigint, n bigint, pos int, sig binary, comp bigint"
@@ -171,12 +179,15 @@ def _postings(groups: DataFrame, bits: Broadcast) -> DataFrame:
 
 
 class Bucket:
-    """The entries of one shingle (or of one group), and which pairs of them may be similar."""
+    """The entries of one shingle (or of one group) or of a block of them, and which pairs may be similar.
 
-    def __init__(self, rule: Rule, entry, n, pos, sig, comp):
+    ``role`` is the turn of a shared pivot or 0 for :meth:`stars`, the flags above for :meth:`crossing`.
+    """
+
+    def __init__(self, rule: Rule, entry, n, pos, sig, comp, role):
         self.rule = rule
         order = np.lexsort((entry, n))
-        self.entry, self.n, self.pos, self.comp = (x[order] for x in (entry, n, pos, comp))
+        self.entry, self.n, self.pos, self.comp, self.role = (x[order] for x in (entry, n, pos, comp, role))
         self.signed = np.array([sig[i] is not None for i in order])
         blank = bytes(SIGNED // 8)
         self.sig = np.frombuffer(b"".join(sig[i] or blank for i in order), np.uint64).reshape(len(order), -1)
@@ -191,8 +202,15 @@ class Bucket:
         return (most >= common) & close & (self.entry[others] != self.entry[one])
 
     def stars(self) -> Iterator[tuple[int, int]]:
-        """Entries with pivots: the one earliest in its own order first, then of what it leaves."""
-        rest = np.arange(len(self.entry))
+        """Entries with pivots: shared ones, then the one earliest in its own order, then of what it leaves."""
+        rest, shared = np.flatnonzero(self.role == 0), np.flatnonzero(self.role > 0)
+        shared = shared[np.argsort(self.role[shared])]
+        while len(shared):
+            pivot, shared = shared[0], shared[1:]
+            near, alike = self.possible(pivot, rest), self.possible(pivot, shared)
+            for other in np.concatenate((rest[near], shared[alike])):
+                yield self.entry[pivot], self.entry[other]
+            rest, shared = rest[~near & (self.entry[rest] != self.entry[pivot])], shared[~alike]
         for _ in range(PIVOTS):
             if len(rest) < 2:
                 return
@@ -203,18 +221,66 @@ class Bucket:
             rest = rest[~near & (rest != pivot)]
 
     def crossing(self) -> Iterator[tuple[int, int]]:
-        """All possible pairs of different components."""
-        for one in range(len(self.entry) - 1):
-            end = np.searchsorted(self.n, 100 * self.n[one] // self.rule.percent, "right")
-            others = np.arange(one + 1, max(end, one + 1))
-            others = others[self.comp[others] != self.comp[one]]
+        """All possible pairs of different components, one of them outside the largest."""
+        rights = np.flatnonzero(self.role & RIGHT)
+        sizes = self.n[rights]
+        for one in np.flatnonzero(self.role & LEFT):
+            low = np.searchsorted(sizes, -(-self.rule.percent * self.n[one] // 100))
+            others = rights[low : np.searchsorted(sizes, 100 * self.n[one] // self.rule.percent, "right")]
+            once = (self.role[others] & TOP > 0) | (self.entry[others] > self.entry[one])
+            others = others[once & (self.comp[others] != self.comp[one])]
             if len(others):
                 for other in others[self.possible(one, others)]:
                     yield self.entry[one], self.entry[other]
 
 
+def _blocks(many: str):
+    return F.ceil(F.col(many) / F.lit(BLOCK)).cast("int")
+
+
+def _star_blocks(postings: DataFrame) -> DataFrame:
+    """The postings with their role; large buckets in blocks, each with the pivots that all of them share."""
+    large = stored(postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > BLOCK), "large-buckets")
+    plain = postings.withColumn("role", F.lit(0))
+    if large.isEmpty():
+        return plain
+    cut = postings.join(large, "bucket")
+    own = cut.withColumn("block", F.pmod(F.xxhash64("entry"), _blocks("many")))
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("entry"), "entry"))
+    seeds = cut.withColumn("role", turn).where(F.col("role") <= SEEDS).withColumn("block", F.explode(F.sequence(F.lit(0), _blocks("many") - 1)))
+    dealt = own.withColumn("role", F.lit(0)).unionByName(seeds.withColumn("block", F.col("block").cast("bigint")))
+    dealt = dealt.withColumn("bucket", F.xxhash64("bucket", "block")).select(plain.columns)
+    return plain.join(large, "bucket", "left_anti").unionByName(dealt)
+
+
+def _crossing_blocks(postings: DataFrame) -> DataFrame:
+    """The postings of buckets of several components with their role; large buckets by pairs of blocks.
+
+    A pair of blocks has a part of what is outside the largest component and a part of all entries.
+    """
+    parts = postings.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("bucket").agg(
+        F.sum("n").alias("many"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")
+    ).where("comps > 1")
+    several = several.select("bucket", "many", F.col("most")["comp"].alias("top"), (F.col("many") - F.col("most")["n"]).alias("others"))
+    cut = postings.join(stored(several, "crossing-buckets"), "bucket")
+    top, place = F.col("comp") == F.col("top"), F.xxhash64("entry", "comp")
+
+    def cell(left, right, role):
+        return F.struct(F.xxhash64("bucket", left, right).alias("bucket"), role.alias("role"))
+
+    lefts, rights = _blocks("others"), _blocks("many")
+    right_role = F.when(top, F.lit(RIGHT | TOP)).otherwise(F.lit(RIGHT))
+    as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda k: cell(k, F.pmod(place, rights).cast("int"), right_role))
+    as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda k: cell(F.pmod(place, lefts).cast("int"), k, F.lit(LEFT)))
+    whole = F.array(F.struct(F.col("bucket"), F.when(top, F.lit(RIGHT | TOP)).otherwise(F.lit(LEFT | RIGHT)).alias("role")))
+    cells = F.when(F.col("many") <= BLOCK, whole).when(top, as_right).otherwise(F.concat(as_right, as_left))
+    kept = [c for c in postings.columns if c != "bucket"]
+    return cut.select(*kept, F.explode(cells).alias("cell")).select(*kept, "cell.bucket", "cell.role")
+
+
 def _bucket_pairs(postings: DataFrame, rule: Rule, pick: Callable[[Bucket], Iterator[tuple[int, int]]]) -> DataFrame:
-    """Candidate pairs of entries, each once, from the postings gathered by bucket."""
+    """Candidate pairs of entries, each once, from postings with roles, gathered by bucket or block."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -229,18 +295,19 @@ def _bucket_pairs(postings: DataFrame, rule: Rule, pick: Callable[[Bucket], Iter
             yield from some(rest, np.array([0, rest.num_rows]))
 
     def some(table: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
-        entry, n, pos = (table.column(c).to_numpy() for c in ("entry", "n", "pos"))
+        entry, n, pos, role = (table.column(c).to_numpy() for c in ("entry", "n", "pos", "role"))
         comp = table.column("comp").fill_null(0).to_numpy()
         sig = table.column("sig")
         found: set[tuple[int, int]] = set()
         for low, high in zip(heads[:-1].tolist(), heads[1:].tolist()):
             if high - low > 1:
                 own = slice(low, high)
-                bucket = Bucket(rule, entry[own], n[own], pos[own], sig[own].to_pylist(), comp[own])
-                found.update((min(x, y), max(x, y)) for x, y in pick(bucket))
-            if len(found) > 50_000:
-                yield _batch(list(found), PAIRS)
-                found = set()
+                bucket = Bucket(rule, entry[own], n[own], pos[own], sig[own].to_pylist(), comp[own], role[own])
+                for x, y in pick(bucket):
+                    found.add((min(x, y), max(x, y)))
+                    if len(found) > 50_000:
+                        yield _batch(list(found), PAIRS)
+                        found = set()
         yield _batch(list(found), PAIRS)
 
     dealt = postings.repartition("bucket").sortWithinPartitions("bucket", "entry")
@@ -358,8 +425,8 @@ def classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     inner = stored(inner, "inner")
     lone = members.groupBy("grp").agg(F.min("cls").alias("cls")).withColumn("comp", F.col("cls"))
     heads = lone.join(members.drop("grp"), "cls")
-    outer_pairs = _expanded(_bucket_pairs(postings, rule, Bucket.stars), heads, rule, False)
-    candidates = outer_pairs.unionByName(_bucket_pairs(inner, rule, Bucket.stars)).distinct()
+    outer_pairs = _expanded(_bucket_pairs(_star_blocks(postings), rule, Bucket.stars), heads, rule, False)
+    candidates = outer_pairs.unionByName(_bucket_pairs(_star_blocks(inner), rule, Bucket.stars)).distinct()
     links = stored(_verified(documents, candidates, members, rule), "verified")
     roots = components(links).withColumnsRenamed({"node": "cls", "root": "comp"})
 
@@ -367,8 +434,8 @@ def classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sides = placed.select("grp", "comp").distinct()
     crossing = postings.drop("comp").join(sides, F.col("entry") == F.col("grp")).drop("grp")
     inside_groups = inner.drop("comp").join(placed.select("cls", "comp"), F.col("entry") == F.col("cls")).drop("cls")
-    outer_pairs = _expanded(_bucket_pairs(crossing, rule, Bucket.crossing), placed, rule, True)
-    candidates = outer_pairs.unionByName(_bucket_pairs(inside_groups, rule, Bucket.crossing)).distinct()
+    outer_pairs = _expanded(_bucket_pairs(_crossing_blocks(crossing), rule, Bucket.crossing), placed, rule, True)
+    candidates = outer_pairs.unionByName(_bucket_pairs(_crossing_blocks(inside_groups), rule, Bucket.crossing)).distinct()
     more = stored(_verified(documents, candidates, members, rule), "verified")
     return sets.select("doc_id", "n", "cls"), components(links.unionByName(more)).withColumnsRenamed({"node": "cls", "root": "comp"})
 

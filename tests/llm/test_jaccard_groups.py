@@ -63,3 +63,22 @@ def test_repeats_nulls_and_one_of_each(texts):
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept) == [-1, 4, 4, 9]
     assert set(kept[0].asDict()) == set(frame.columns)
     assert jg.linked_documents(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("shingle, percent", [(4, 85), (1, 50)])
+def test_large_buckets_are_cut_and_lose_nothing(texts, monkeypatch, shingle, percent):
+    monkeypatch.setattr(jg, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(jg, "SEEDS", 2, raising=False)
+    docs = corpus()
+    frame, largest = texts(*docs), []
+    plain = type(frame).mapInArrow
+
+    def watched(self, function, schema, *more):
+        if function.__qualname__.startswith("_bucket_pairs"):
+            largest.append(self.groupBy("bucket").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(self, function, schema, *more)
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    rows = jg.linked_documents(frame, shingle, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs, shingle, percent)
+    assert len(largest) == 4 and max(largest) < 64
