@@ -126,12 +126,12 @@ def labels(scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sizes = np.diff(bounds)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = bounds[:-1][order], sizes[order]
-    out = np.zeros(len(scores), np.uint8)
+    out = np.zeros(len(scores), np.min_scalar_type(max(scores.shape[1] - 1, 0)))
     if not len(scores):
         return out
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
     stays = np.zeros(scores.shape, bool)
-    came = np.zeros(len(scores), np.uint8)
+    came = np.zeros(len(scores), out.dtype)
     best = np.zeros((active[0], scores.shape[1]))
     for step, many in enumerate(active.tolist()):
         row = starts[:many] + step

@@ -35,6 +35,12 @@ def test_labels_are_the_best_path(monkeypatch):
                 assert worth(found[low:high].tolist()) == pytest.approx(best)
 
 
+def test_more_languages_than_a_byte_counts():
+    scores = np.full((3, 300), -50.0)
+    scores[:, 299] = 0
+    assert ls.labels(scores, np.array([0, 2, 3])).tolist() == [299, 299, 299]
+
+
 def test_spans_scripts_and_odd_texts(texts, model):
     assert model.languages == ["de", "en", "ru"]
     frame = texts((1, f"{EN} {DE}"), (2, RU.upper()), (3, None), (4, ""), (5, "12 — $"), (6, "日本語"), (7, EN * 3000), (7, EN), (None, DE), extra="'x' AS lang_pred")
