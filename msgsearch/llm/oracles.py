@@ -110,3 +110,71 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN removed USING (rid)
 """
 )
+
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+tokens AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+known AS (SELECT lang, term, count(*) AS n FROM tokens GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM known GROUP BY ALL),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN known USING (lang, term) GROUP BY ALL),
+grp AS (
+    SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source)
+    GROUP BY ALL
+),
+probs AS (
+    SELECT lang, g.source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + v) AS p,
+        1 + 1000000000 * (k.n + 1) // (s.total + v) AS q
+    FROM grp g JOIN sizes s USING (lang) JOIN known k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+    FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+every AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+),
+above AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM probs WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM every
+    UNION ALL
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT FROM above
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+FILL_MIDDLE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+        sha256(concat('42:', doc_id)) AS h
+    FROM documents
+),
+draws AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+        ('0x' || h[25:32])::BIGINT AS h4
+    FROM d
+),
+cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+            WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM draws
+),
+parts AS (
+    SELECT *, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m, array_to_string(u[high + 1:], '') AS s
+    FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""

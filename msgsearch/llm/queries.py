@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from msgsearch.llm import (
     block_topk,
     class_model,
+    divergence,
     feistel_shards,
+    fill_middle,
     histogram_packing,
     host_rules,
     jaccard_groups,
@@ -18,6 +20,7 @@ from msgsearch.llm import (
     piece_codec,
     repeat_removal,
     token_files,
+    url_filter,
 )
 
 
@@ -73,6 +76,18 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans.predicted_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_class_model,
         op9_histogram_packing,
         op10_language_spans,
+        op11_divergence,
+        op12_url_filter,
+        op13_fill_middle,
     )
 }
 # Tokens, hashes of 32 bits by a polynomial, and fitted models are beyond SQL; tests hold those queries
@@ -95,4 +113,6 @@ ORACLES: dict[str, str] = {
     "op3_block_topk": oracles.BLOCK_TOPK,
     "op4_jaccard_groups": oracles.JACCARD_GROUPS,
     "op7_repeat_removal": oracles.REPEAT_REMOVAL,
+    "op11_divergence": oracles.DIVERGENCE,
+    "op13_fill_middle": oracles.FILL_MIDDLE,
 }
