@@ -56,7 +56,7 @@ def new_index(spark):
     import uuid
 
     from msgsearch.session import scratch_dir
-    from msgsearch.sources.index_store import MessageIndex
+    from msgsearch.sources.index_store import _TABLES, MessageIndex
 
     opened = []
 
@@ -68,5 +68,5 @@ def new_index(spark):
 
     yield build
     for index in opened:
-        for kind in ("documents", "postings", "slab_stats", "term_stats", "field_stats", "batches"):
+        for kind in _TABLES:
             spark.sql(f"DROP TABLE IF EXISTS {index.table_name(kind)}")

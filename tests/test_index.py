@@ -1,9 +1,16 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from msgsearch.operators import enrich, ingest, resolve
+from msgsearch.operators.gaps import chat_gaps
+from msgsearch.plans.search import search
 from msgsearch.schemas import DOCUMENT, DOCUMENT_COLUMNS, ENTITY, RAW_MESSAGE
-from msgsearch.sources.index_store import MessageIndex
+from msgsearch.sources import commits
+from msgsearch.sources.corpus import IndexCorpus
+from msgsearch.sources.index_store import _TABLES, MessageIndex
 
 
 def ids(frame):
@@ -26,21 +33,155 @@ def test_state_over_its_life(spark, new_index, documents):
     assert index.append(notes) == 3
 
 
-def test_retried_batch_replaces_itself(new_index, documents):
+def test_a_committed_batch_is_final(new_index, documents, monkeypatch):
     index = new_index(buckets=4)
-    first, second = documents(dict(message_id=1)), documents(dict(message_id=1), dict(message_id=2))
-    index.append(first, "a")
-    assert index.append(second, "b") == 1
-    assert index.append(second, "b") == 1
-    assert index.append(first, "a") == 1
+    first, second = documents(dict(message_id=1), dict(message_id=2)), documents(dict(message_id=3, text="late"))
+    assert index.append(first, "a") == 2
+    monkeypatch.setattr(index, "_derive", lambda part: 1 / 0)
+    assert index.append(second, "a") == 0
+    monkeypatch.undo()
     assert ids(index.documents()) == ["north:8801:1", "north:8801:2"]
-    assert index.field_stats().filter("field = 'text'").first().n_docs == 2
+    assert {r.message_id for r in search(IndexCorpus(index), "harvest").collect()} == {1, 2}
+    index.append(second, "b")
+    index.compact()
+    index.vacuum()
+    assert index.append(documents(dict(message_id=9)), "a") == 0 and index.append(second, "b") == 0
+    assert index.field_stats().filter("field = 'text'").first().n_docs == 3
+
+
+def test_names_outlive_many_mergings(new_index, documents, monkeypatch):
+    monkeypatch.setattr(commits, "FOLDERS", 2)
+    index = new_index(buckets=1)
+    for n in range(5):
+        assert index.append(documents(dict(message_id=n)), f"b{n}") == 1
+        index.compact()
+    state = index.commits.read()
+    assert len(state.folders) <= 2 and len(state.live) == 1 and len(state.names) <= 1
+    assert [index.append(documents(dict(message_id=50)), f"b{n}") for n in range(5)] == [0] * 5
+    assert index.append(documents(dict(message_id=50)), "b5") == 1
+
+
+def test_a_snapshot_stays_the_same(new_index, documents):
+    index = new_index(buckets=2)
+    index.append(documents(dict(message_id=1, text="old seed")), "a")
+    index.append(documents(dict(message_id=2, text="old seed")), "b")
+    corpus = IndexCorpus(index).pinned()
+    index.append(documents(dict(message_id=3, text="new seed seed")), "c")
+    index.compact()
+    assert [r.message_id for r in search(corpus, "seed").collect()] == [1, 2]
+    assert corpus.index.field_stats().filter("field = 'text'").first().n_docs == 2
+    assert corpus.index.document_count() == 2 and index.document_count() == 3
+    assert search(IndexCorpus(index), "seed").count() == 3
+
+
+def test_two_writers_give_each_id_once(new_index, documents):
+    index = new_index(buckets=2)
+    rows = documents(*[dict(message_id=i, chat_id=i % 3) for i in range(90)])
+    wait = threading.Barrier(3)
+
+    def write(name, frame):
+        wait.wait()
+        return index.append(frame, name)
+
+    with ThreadPoolExecutor(3) as pool:
+        frames = [rows, rows.filter("message_id >= 30"), rows.filter("message_id < 60")]
+        counts = list(pool.map(write, "abc", frames))
+    assert sum(counts) == 90 and index.document_count() == 90
+    found = ids(index.documents())
+    assert len(found) == len(set(found)) == 90
+    assert index.postings().count() == 90 * 5
+    assert index.field_stats().filter("field = 'text'").first().n_docs == 90
+    assert index.live_batches() == sorted(index.commits.read().live)
+
+
+def test_the_same_batch_from_two_writers_counts_once(new_index, documents):
+    index = new_index(buckets=2)
+    frame = documents(dict(message_id=1), dict(message_id=2))
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(lambda _: index.append(frame, "same"), range(2))) == [0, 2]
+    assert index.document_count() == 2
+
+
+def test_a_number_is_published_once(new_index):
+    log = new_index(buckets=1).commits
+    state = log.read()
+    assert log.publish(state.with_part("x", 1, "first")) and not log.publish(state.with_part("y", 1, "second"))
+    assert log.read().parts() == ["x"] and log.holds(log.read(), "first") and not log.holds(log.read(), "second")
+
+
+def test_another_reader_sees_what_was_committed(spark, new_index, documents):
+    index = new_index(buckets=2)
+    index.append(documents(dict(message_id=1)))
+    other = MessageIndex(spark, index.path, f"other_{index.name}").open()
+    index.append(documents(dict(message_id=2)))
+    assert ids(other.documents()) == ["north:8801:1", "north:8801:2"]
+    assert other.append(documents(dict(message_id=2), dict(message_id=3))) == 1
+    assert index.document_count() == 3 and index.postings().count() == 15
+
+
+def test_failed_writes_can_be_cleared(new_index, documents, monkeypatch):
+    index = new_index(buckets=1)
+    index.append(documents(dict(message_id=1)), "a")
+    with monkeypatch.context() as broken:
+        broken.setattr(index, "_tops", lambda part: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.append(documents(dict(message_id=2)), "b")
+    assert index.vacuum() == 0 and index.vacuum(abandoned=True) == 1
+    assert index.append(documents(dict(message_id=2)), "b") == 1 and index.document_count() == 2
+
+
+def rows_read(frame, table):
+    """Rows that the scans of a table have given in the last run of a plan."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        leaf = leaf.plan() if "QueryStage" in leaf.nodeName() else leaf
+        inner = leaf.collectLeaves()
+        for j in range(inner.size()):
+            if table in inner.apply(j).nodeName():
+                total += inner.apply(j).metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_the_cost_of_an_append_does_not_follow_the_archive(spark, new_index):
+    """Ids of a batch are looked up in the slabs that it touches, whatever else there is."""
+    from msgsearch.schemas import DOCUMENT_COLUMNS
+
+    def messages(chats, many):
+        rows = spark.range(0, many * len(chats)).withColumn("chat_id", F.element_at(F.array(*map(F.lit, chats)), (F.col("id") % len(chats) + 1).cast("int")))
+        rows = rows.withColumn("message_id", F.floor(F.col("id") / len(chats)).cast("bigint"))
+        values = {"session_name": "'north'", "text": "'a note'", "sender_id": "1L", "sender_name": "'x'", "receiver_name": "'y'", "date": "1L", "chat_title": "'t'"}
+        rows = rows.selectExpr("chat_id", "message_id", *[f"{v} AS {k}" for k, v in values.items()])
+        return rows.selectExpr("concat(session_name, ':', chat_id, ':', message_id) AS id", "*").select(*DOCUMENT_COLUMNS)
+
+    index = new_index(buckets=2)
+    index.append(messages([1], 4000), "small")
+    batch = index._write_documents(messages([1], 100))
+    before = rows_read(index._known(batch, index.live_batches()), "id_words")
+    index.append(messages(list(range(2, 202)), 4000), "large")
+    after = rows_read(index._known(batch, index.live_batches()), "id_words")
+    assert index._known(batch, index.live_batches()).count() == 2
+    assert before and after <= 3 * before and index.id_words().count() > 100 * before
+
+
+def test_gaps_across_slabs_and_groups(documents):
+    numbers = [-9, -3, -2, 0, 1, 7, 8, 9, 15, 16, 40, 41, 42, 300]
+    frame = documents(*[dict(message_id=n) for n in numbers], dict(message_id=5, chat_id=1))
+    want = [(a, b, b - a - 1) for a, b in zip(numbers, numbers[1:]) if b - a > 1]
+    for bits, group in ((16, 22), (2, 22), (2, 1), (0, 3)):
+        found = chat_gaps(frame.select("session_name", "chat_id", "message_id"), bits, group)
+        assert sorted((r.after_id, r.before_id, r.n_missing) for r in found.collect()) == want, (bits, group)
+    assert chat_gaps(frame.unionByName(frame).select("session_name", "chat_id", "message_id")).count() == len(want)
 
 
 def test_reopened_over_existing_files(spark, new_index, documents):
     index = new_index(buckets=4)
     index.append(documents({}))
-    for kind in ("documents", "postings", "slab_stats", "term_stats", "field_stats", "batches"):
+    for kind in _TABLES:
         spark.sql(f"DROP TABLE {index.table_name(kind)}")
     assert not index.is_open()
     again = MessageIndex(spark, index.path, index.name).open()
@@ -55,7 +196,7 @@ def test_failed_batch_is_invisible_and_new_again(new_index, documents, monkeypat
     index = new_index(buckets=2)
     frame = documents(dict(message_id=1), dict(message_id=2))
     with monkeypatch.context() as broken:
-        broken.setattr(index, "_derive", lambda batch: 1 / 0)
+        broken.setattr(index, "_derive", lambda part: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             index.append(frame)
     assert index.document_count() == 0
