@@ -35,6 +35,7 @@ def answer(
     match: str = "any",
 ) -> DataFrame:
     """Response chunks ``request_id, chunk_no, chunk`` for every search request."""
+    corpus = corpus.pinned()
     prepared = stored(rq.prepare(requests, sessions, defaults, unknown_user), "requests")
     bounded = rq.is_bounded(
         requests.select(F.col("raw_text").alias("query")), per_request=limit * (TOTAL_MAX + 1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +10,7 @@ from ..functions import flags
 from ..operators.matching import SCOPE
 
 # A request table within these bounds yields clause and hit tables that are small enough to
-# send to every task; a larger one is answered in blocks within them. A character gives three
+# send to every task; a larger one meets the postings on a grid. A character gives three
 # clause rows at most, one for each field.
 MAX_ROWS = 5_000
 MAX_CHARS = 100_000
@@ -87,14 +86,6 @@ def distinct_searches(keyed: DataFrame) -> DataFrame:
     return keyed.select("search_id", "query", *scope).distinct()
 
 
-def block_count(searches: DataFrame, per_request: int = 1) -> int:
-    """In how many blocks to answer searches, so that each is bounded with room to spare."""
-    size = searches.agg(F.count("*").alias("rows"), F.sum(F.length("query")).alias("chars")).first()
-    rows, chars = size["rows"], size["chars"] or 0
-    share = max(rows / MAX_ROWS, chars / MAX_CHARS, rows * per_request / MAX_DERIVED)
-    return math.ceil(2 * share)
-
-
 def is_bounded(requests: DataFrame, per_request: int = 1) -> bool:
     """Whether tables of up to ``per_request`` rows for each request may be broadcast.
 

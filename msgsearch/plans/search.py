@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.names import doc_id
 from ..operators import matching
 from ..operators.postings import KEY
-from ..operators.topk import top_k
+from ..operators.topk import PUSHED_K, top_k
 from ..schemas import DOCUMENT_COLUMNS
-from ..session import scratch_dir, stored
+from ..session import stored
+from ..sources.corpus import PUSHED_KEYS
 from . import requests as rq
+from .grid import grid_search
+from .skipping import skipping_search
 
 # Result limits.
 SEARCH_LIMIT = 20
@@ -28,39 +31,37 @@ def ranked_searches(
     match: str = "any",
     bounded: bool = False,
 ) -> DataFrame:
-    """The best ``limit`` documents of each search in its scope, with ``search_id`` and ``score``."""
+    """The best ``limit`` documents of each search in its scope, with ``search_id`` and ``score``.
+
+    ``bounded`` says that the table is of checked size: its clauses are then sent to the postings. A
+    larger one meets them on a grid. Either way the postings are read once, or, where an index can tell
+    that slabs hold none of the best, in part.
+    """
     if match not in ("any", "all"):
         raise ValueError("match is 'any' or 'all'")
-    wanted = matching.clauses(searches)
-    found, weights = corpus.lookup(wanted, bounded)
-    scored = matching.score(found, wanted, weights, match, bounded)
-    scored = scored.select("search_id", doc_id(*map(F.col, KEY)).alias("id"), "micro")
-    hits = corpus.fetch(top_k(scored, ["search_id"], _best_first(), limit, "id"), bounded)
+    corpus = corpus.pinned()
+    order = _best_first()
+    few = bounded and searches.limit(PUSHED_KEYS // limit + 1).count() * limit <= PUSHED_KEYS
+    if bounded:
+        best = _best(corpus, matching.clauses(searches), limit, order, match)
+    else:
+        best = grid_search(corpus, searches, limit, order, match)
+    hits = corpus.fetch(best, bounded, few)
     return hits.select(
         "search_id", *DOCUMENT_COLUMNS, (F.col("micro") / matching.MICRO).alias("score")
     )
 
 
-def blockwise_searches(corpus, searches: DataFrame, limit: int, match: str = "any") -> DataFrame:
-    """:func:`ranked_searches` for a table of any size, a bounded block of searches at a time.
-
-    The clauses of a block go to the postings, wherever these lie, so a word that is in most
-    messages and in most searches never gathers in one task. Each block reads the postings
-    once and writes its hits; the plan does not grow with the number of blocks. Only a
-    search that is longer than a block is left to a join by term.
-    """
-    path = scratch_dir(searches.sparkSession, "blocks")
-    short = F.length("query") <= rq.MAX_CHARS
-    blocks = rq.block_count(searches.filter(short), limit)
-    block = F.pmod(F.xxhash64("search_id"), F.lit(max(blocks, 1)))
-    parts = [(searches.filter(short & (block == number)), True) for number in range(blocks)]
-    parts.append((searches.filter(~short), False))
-    for number, (part, bounded) in enumerate(parts):
-        if number and part.isEmpty():
-            continue
-        hits = ranked_searches(corpus, part, limit, match, bounded)
-        hits.write.parquet(f"{path}/block={number}")
-    return searches.sparkSession.read.parquet(path).drop("block")
+def _best(corpus, wanted: DataFrame, limit: int, order: list, match: str) -> DataFrame:
+    asked = corpus.asked(wanted)
+    if asked and limit <= PUSHED_K:
+        best = skipping_search(corpus, wanted, asked, limit, order, match)
+        if best is not None:
+            return best
+    found, weights = corpus.lookup(wanted, True, asked)
+    scored = matching.score(found, wanted, weights, match, True)
+    scored = scored.select("search_id", doc_id(*map(F.col, KEY)).alias("id"), "micro")
+    return top_k(scored, ["search_id"], order, limit, "id").drop("position")
 
 
 def with_result_rank(hits: DataFrame, key: str = "request_id") -> DataFrame:
@@ -87,10 +88,7 @@ def batch_search(
     if bounded is None:
         bounded = rq.is_bounded(keyed, per_request=limit)
     searches = rq.distinct_searches(keyed)
-    if bounded:
-        hits = ranked_searches(corpus, searches, limit, match, True)
-    else:
-        hits = blockwise_searches(corpus, stored(searches, "searches"), limit, match)
+    hits = ranked_searches(corpus, searches, limit, match, bounded)
     asked = keyed.filter("allowed") if "allowed" in keyed.columns else keyed
     asked = asked.select("request_id", "search_id")
     return with_result_rank(asked.join(hits, "search_id").drop("search_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,18 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession):
+    """Plans made inside may join on more columns than both sides are partitioned by.
+
+    Of use for what is written inside; the session's own setting is back afterwards.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

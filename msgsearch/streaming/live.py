@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.enrich import enrich, rejected_rows, valid_rows
 from ..operators.resolve import unique_entities
+from ..plans.alerts import matches
 from ..plans.answer import answer
 from ..sources.index_store import MessageIndex
 from ..sources.readers import CORRUPT, corrupt_rows
@@ -46,6 +47,8 @@ def start_ingest(
     source: str = "live",
     rejects: str | None = None,
     follow: str | None = None,
+    saved: DataFrame | None = None,
+    alerts: str | None = None,
 ) -> StreamingQuery:
     """Enrich and index a stream of raw messages.
 
@@ -54,10 +57,17 @@ def start_ingest(
     indexed. Ids that come again, in a batch or later, are indexed once. Rows without a key
     and unparsable records go to ``rejects``, and only there. Any number of streams may fill
     one index; ``source`` only makes the names of their batches readable.
+
+    With ``saved`` (see :func:`plans.alerts.saved_clauses`) each new message is reported to ``alerts``
+    once for every saved query that it matches: reports are written before the batch is published and
+    replaced when it is tried again, and messages that another feed has brought are not new.
     """
 
     entities = unique_entities(entities)
 
+    def report(number: int) -> Callable[[DataFrame], None]:
+        return lambda fresh: _write_batch(matches(fresh, saved), alerts, number)
+
     def ingest(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
@@ -65,7 +75,7 @@ def start_ingest(
                 _write_batch(_rejects(batch), rejects, number)
             rows = valid_rows(_parsed(batch)).drop(CORRUPT)
             documents = enrich(rows, entities, sessions, session_chats)
-            index.append(documents, f"{source}-{_feed(batch)}-{number}")
+            index.append(documents, f"{source}-{_feed(batch)}-{number}", report(number) if alerts else None)
         finally:
             batch.unpersist()
 

@@ -9,10 +9,10 @@ from msgsearch.functions.literals import any_of
 from msgsearch.operators import enrich, matching, postings
 from msgsearch.operators.sequence import message_sequence
 from msgsearch.operators.topk import top_k
-from msgsearch.plans import requests as rq
+from msgsearch.plans import grid, requests as rq
 from msgsearch.plans.search import batch_search, ranked_searches, search
 from msgsearch.schemas import ENTITY, REQUEST
-from msgsearch.session import scratch_dir
+from msgsearch.session import scratch_dir, stored
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 
 
@@ -48,11 +48,11 @@ SCOPED = "search_id string, query string, scope_session_name string"
 
 
 def test_postings_are_built_without_shuffle(index):
-    assert "Exchange" not in plan(postings.postings(index._batch("documents", _batch(index))))
+    assert "Exchange" not in plan(postings.postings(index._part("documents", _batch(index))))
 
 
 def _batch(index):
-    return index._read("documents").select("batch_id").first()[0]
+    return index.live_batches()[0]
 
 
 def test_matching_in_the_index_shuffles_no_postings(spark, index):
@@ -121,14 +121,41 @@ def test_scan_shuffles_postings_once(many):
 
 
 def test_large_request_tables_are_not_broadcast(spark, monkeypatch, many):
-    requests = spark.createDataFrame([(n, "common") for n in range(5)], "request_id bigint, query string")
+    requests = spark.createDataFrame([(n, f"common word{n % 7}") for n in range(5)], "request_id bigint, query string")
     assert rq.is_bounded(requests)
     monkeypatch.setattr(rq, "MAX_ROWS", 3)
     assert not rq.is_bounded(requests)
-    hits = batch_search(ScanCorpus(many), requests, limit=4)
-    hints = hits._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")
-    assert hints == 1  # the table of three fields
-    assert hits.count() == 20
+    written = []
+
+    def keep(rows, label):
+        written.append((label, rows._jdf.queryExecution().analyzed().toString()))
+        return stored(rows, label)
+
+    monkeypatch.setattr(grid, "stored", keep)
+    assert batch_search(ScanCorpus(many), requests, limit=4).count() == 20
+    plans = dict(written)
+    # Only the table of three fields is sent to every task.
+    assert {k: p.count("strategy=broadcast") for k, p in plans.items()} == {"clauses": 0, "weights": 1, "best": 0}
+
+
+def test_cells_meet_without_another_shuffle(spark, monkeypatch, index):
+    """Postings and clauses are dealt to cells once; matching, scoring and the cut happen there."""
+    plans = {}
+
+    def keep(rows, label):
+        plans[label] = plan(rows)
+        return stored(rows, label)
+
+    monkeypatch.setattr(grid, "stored", keep)
+    searches = spark.createDataFrame([("a", "word1 common"), ("b", "common-word2")], "search_id string, query string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ranked_searches(IndexCorpus(index), searches, 5).count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(cell", plans["best"])) == 2
+    assert not re.search(r"Exchange hashpartitioning\(.*message_id", plans["best"])
+    assert plans["best"].count("WindowGroupLimit") == 2
 
 
 def test_a_hot_sender_is_split(spark):

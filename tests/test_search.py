@@ -1,8 +1,14 @@
+from functools import partial
+
 import pytest
 
-from msgsearch.plans import requests
-from msgsearch.plans.search import batch_search, search
+from msgsearch.operators import matching
+from msgsearch.plans import requests, search as plans, skipping
+from msgsearch.plans.search import batch_search, ranked_searches, search
+from msgsearch.schemas import DOCUMENT_COLUMNS
+from msgsearch.sources import corpus as corpora
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
+from msgsearch.sources.index_store import Snapshot
 
 
 @pytest.fixture(params=["scan", "index"])
@@ -111,8 +117,8 @@ def test_repeated_parts_count_twice(corpus, documents):
 
 
 @pytest.mark.parametrize("match", ["any", "all"])
-def test_blocks_of_searches_equal_one_table(spark, corpus, documents, monkeypatch, match):
-    rows = [dict(text=f"common word{i % 5} item{i}", message_id=i, sender_id=i % 3) for i in range(40)]
+def test_the_grid_equals_one_bounded_table(spark, corpus, documents, monkeypatch, match):
+    rows = [dict(text=f"common word{i % 5} item{i}", message_id=i * 30_000, sender_id=i % 3) for i in range(40)]
     source = corpus(documents(*rows))
     asked = [(i, f"common word{i % 5}" + " item7" * (i % 2), None) for i in range(30)] + [(99, "common " * 40, "north"), (100, "", None)]
     prepared = spark.createDataFrame(asked, "request_id bigint, query string, scope_session_name string")
@@ -124,10 +130,76 @@ def test_blocks_of_searches_equal_one_table(spark, corpus, documents, monkeypatc
     whole = found()
     assert len({r[0] for r in whole}) >= 15
     monkeypatch.setattr(requests, "MAX_ROWS", 4)
-    monkeypatch.setattr(requests, "MAX_CHARS", 60)
+    if isinstance(source, IndexCorpus):
+        monkeypatch.setattr(corpora, "MOST_FREQUENT", 1)
     assert found() == whole
 
 
+@pytest.mark.parametrize("match", ["any", "all"])
+def test_skipping_equals_reading_everything(spark, new_index, documents, monkeypatch, match):
+    """Slabs of very different worth, batches with other average lengths, scopes and ties."""
+    index = new_index(buckets=3)
+    rows = [
+        dict(text="pump " * (i % 7 + 1) + "hose " * (i % 3) + "filler " * (i * 5 % 23), message_id=i * 70_000, chat_id=i % 4, sender_id=i % 2)
+        for i in range(80)
+    ]
+    for n in range(3):
+        index.append(documents(*[r | dict(text=r["text"] + "more " * 9 * n) for r in rows[n::3]]), f"b{n}")
+    scoped = "search_id string, query string, scope_chat_id bigint, scope_sender_id bigint"
+    searches = spark.createDataFrame(
+        [("a", "pump", None, None), ("b", "pump-hose", None, None), ("c", "pump hose", 2, None), ("d", "hose nothing", None, 1), ("e", "nothing", None, None)], scoped
+    )
+
+    def found(limit):
+        return sorted(tuple(r) for r in ranked_searches(IndexCorpus(index), searches, limit, match, True).select("search_id", "id", "score").collect())
+
+    for limit, first, pushed in ((1, 4, 500), (3, 1, 2), (200, 4, 500)):
+        plain = found(limit)
+        with monkeypatch.context() as eager:
+            eager.setattr(plans, "skipping_search", partial(skipping.skipping_search, least_postings=0))
+            eager.setattr(skipping, "FIRST", first)
+            eager.setattr(skipping, "PUSHED_SLABS", pushed)
+            assert found(limit) == plain
+
+
+def test_skipping_reads_a_tenth_of_a_frequent_word(spark, new_index, monkeypatch):
+    """One word in 60,000 messages of 300 chats; the best are in a few of them."""
+    index = new_index(buckets=4)
+    rows = spark.range(0, 60_000).selectExpr(
+        "id % 300 AS chat_id", "id AS message_id", "'north' AS session_name",
+        "concat(if(id % 300 < 3, 'word word word word', concat('word ', repeat('filler ', 20 + cast(id % 7 AS int)))), ' ', id) AS text",
+        "1L AS sender_id", "'x' AS sender_name", "'y' AS receiver_name", "id AS date", "'t' AS chat_title",
+    )
+    rows = rows.selectExpr("concat(session_name, ':', chat_id, ':', message_id) AS id", "*")
+    index.append(rows.select(*DOCUMENT_COLUMNS))
+    corpus, read = IndexCorpus(index), []
+    scored = matching.score
+
+    def counting(found, *rest):
+        read.append(found.count())
+        return scored(found, *rest)
+
+    monkeypatch.setattr(matching, "score", counting)
+    want = [tuple(r) for r in search(corpus, "word", 20).collect()]
+    everything = sum(read)
+    monkeypatch.setattr(plans, "skipping_search", partial(skipping.skipping_search, least_postings=0))
+    read.clear()
+    assert [tuple(r) for r in search(corpus, "word", 20).collect()] == want and len(want) == 20
+    assert everything == 60_000 and 0 < sum(read) <= everything / 10
+
+
+def test_a_large_table_reads_the_postings_once(spark, new_index, documents, monkeypatch):
+    index = new_index(buckets=2)
+    index.append(documents(*[dict(message_id=i, text=f"common item{i}") for i in range(50)]))
+    prepared = spark.createDataFrame([(i, f"common item{i}") for i in range(60)], "request_id bigint, query string")
+    monkeypatch.setattr(requests, "MAX_ROWS", 5)
+    reads = []
+    whole = Snapshot._read
+    monkeypatch.setattr(Snapshot, "_read", lambda self, kind: reads.append(kind) or whole(self, kind))
+    assert batch_search(IndexCorpus(index), prepared, 3).count() == 50 * 3 + 10 * 3
+    assert reads.count("postings") == 1 and reads.count("documents") == 1
+
+
 def test_scope_comes_before_the_cut(corpus, documents):
     rows = [dict(text="weed", message_id=i) for i in range(40)]
     rows += [dict(text="weed and many more words here", message_id=i, session_name="south") for i in range(3)]

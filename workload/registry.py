@@ -7,15 +7,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsearch.functions import flags, names, render, text
 from msgsearch.operators import enrich, ingest, matching, postings, resolve
 from msgsearch.operators.context import context
+from msgsearch.operators.gaps import GAP, chat_gaps
 from msgsearch.operators.response import lines, responses
 from msgsearch.operators.sequence import message_sequence
-from msgsearch.plans import answer as answers, requests as rq, search as plans
+from msgsearch.operators.topk import top_k
+from msgsearch.plans import alerts, answer as answers, requests as rq, search as plans, skipping
 from msgsearch.schemas import DOCUMENT_COLUMNS, RAW_MESSAGE
 from msgsearch.session import scratch_dir, stored
 from msgsearch.sources import readers
@@ -445,6 +448,59 @@ def _(spark, sf_dir):
     return _posting_rows(index)
 
 
+@register("index_retry", M)
+def _(spark, sf_dir):
+    """A committed batch comes again with other rows and a failing derivation; it stays as it was."""
+    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index.append(documents, "only")
+    derive, index._derive = index._derive, None
+    again = index.append(documents.filter(HOLES).withColumn("message_id", F.col("message_id") + 1_000_000), "only")
+    index._derive = derive
+    rows = index.documents().select(*DOCUMENT_COLUMNS)
+    return rows if again == 0 else rows.limit(0)
+
+
+@register(
+    "index_snapshot",
+    o.query(
+        ["m"],
+        "SELECT search_id, id, score FROM hits",
+        early=f"SELECT * FROM m WHERE {BEGINNING}",
+        searches=o.fixed_searches([("a", "the"), ("b", "que la"), ("c", "group me", "acct1", 5031)]),
+        **o.search_ctes("early", 20),
+    ),
+)
+def _(spark, sf_dir):
+    """Between looking up and fetching, the rest is appended and everything merged."""
+    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index.append(documents.filter(BEGINNING).filter(HOLES), "holes")
+    index.append(documents.filter(BEGINNING), "beginning")
+    searches = searches_frame(spark, [("a", "the"), ("b", "que la"), ("c", "group me", "acct1", 5031)])
+    pinned = IndexCorpus(index).pinned()
+    wanted = matching.clauses(searches)
+    found, weights = pinned.lookup(wanted, True)
+    index.append(documents, "rest")
+    index.compact()
+    scored = matching.score(found, wanted, weights, bounded=True)
+    scored = scored.select("search_id", names.doc_id(*map(F.col, postings.KEY)).alias("id"), "micro")
+    hits = pinned.fetch(top_k(scored, ["search_id"], [F.desc("micro"), F.asc("id")], 20, "id"), True)
+    return hits.select("search_id", "id", (F.col("micro") / matching.MICRO).alias("score"))
+
+
+@register("index_two_writers", M)
+def _(spark, sf_dir):
+    """Two threads append the same messages at once, in different batches, while a third merges."""
+    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    parts = [documents.filter(F.col("message_id") % 3 != n) for n in (0, 1)]
+    with ThreadPoolExecutor(3) as pool:
+        done = [pool.submit(index.append, part, f"writer-{n}") for n, part in enumerate(parts)]
+        done.append(pool.submit(index.compact))
+        for one in done:
+            one.result()
+    index.append(documents.filter(F.col("message_id") % 3 == 0), "writer-2")
+    return index.documents().select(*DOCUMENT_COLUMNS)
+
+
 @register("index_reset_then_append", M)
 def _(spark, sf_dir):
     index, documents = _new_index(spark), v.messages(spark, sf_dir)
@@ -738,11 +794,44 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    """Every turn of every conversation as a request: a table that is answered in blocks."""
+    """Every turn of every conversation as a request: a table of any size, on the grid."""
     prepared = rq.prepare(v.turn_requests(spark, sf_dir), v.accounts(spark, sf_dir), unknown_user="all")
     return plans.batch_search(IndexCorpus(indexed(spark, sf_dir)), prepared).select(*RESULT_COLUMNS)
 
 
+_FREQUENT = [("a", "the"), ("b", "und-der of"), ("c", "src1 de la", "fr"), ("d", "the", None, 7), ("e", "zzz")]
+
+
+def _register_skipping(name: str, match: str, limit: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Slabs that cannot hold one of the best are not read, however few postings there are."""
+        corpus = IndexCorpus(indexed_documents(spark, sf_dir))
+        wanted = matching.clauses(searches_frame(spark, _FREQUENT))
+        order, asked = [F.desc("micro"), F.asc("id")], corpus.asked(wanted)
+        best = skipping.skipping_search(corpus, wanted, asked, limit, order, match, least_postings=0)
+        hits = corpus.fetch(best, True)
+        return hits.select("search_id", *DOCUMENT_COLUMNS, (F.col("micro") / matching.MICRO).alias("score"))
+
+    register(name, o.search_sql("dm", _FREQUENT, limit, match))(run)
+
+
+_register_skipping("search_skipping", "any", 5)
+_register_skipping("search_skipping_all", "all", 30)
+
+
+@register("search_grid", o.search_sql("dm", _FREQUENT, 20))
+def _(spark, sf_dir):
+    """The way of a large table of searches, with hot terms, from the stored index."""
+    corpus = IndexCorpus(indexed_documents(spark, sf_dir))
+    return plans.ranked_searches(corpus, searches_frame(spark, _FREQUENT), 20)
+
+
+@register("search_grid_all", o.search_sql("m", _FREQUENT, 20, "all"))
+def _(spark, sf_dir):
+    corpus = ScanCorpus(v.messages(spark, sf_dir))
+    return plans.ranked_searches(corpus, searches_frame(spark, _FREQUENT), 20, "all")
+
+
 @register("search_indexed", _results_sql("all"))
 def _(spark, sf_dir):
     corpus = IndexCorpus(indexed(spark, sf_dir))
@@ -786,6 +875,20 @@ def _(spark, sf_dir):
     return message_sequence(keys)
 
 
+@register(
+    "chat_gaps",
+    o.query(
+        ["m"],
+        "SELECT session_name, chat_id, after_id, before_id, before_id - after_id - 1 AS n_missing FROM ("
+        "SELECT session_name, chat_id, message_id AS before_id, "
+        "lag(message_id) OVER (PARTITION BY session_name, chat_id ORDER BY message_id) AS after_id FROM m"
+        ") WHERE before_id - after_id > 1",
+    ),
+)
+def _(spark, sf_dir):
+    return chat_gaps(IndexCorpus(indexed(spark, sf_dir)).message_keys()).select(*GAP)
+
+
 def _own_hits(spark: SparkSession, sf_dir: str, before, after) -> DataFrame:
     """Every message of an account's owner as a hit."""
     return (
@@ -1021,6 +1124,23 @@ def _(spark, sf_dir):
     return spark.read.parquet(rejects).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+_SAVED = [("a", "the"), ("b", "que-la und"), ("c", "group me", "acct1", 5031), ("d", "the,of", None, None, 1000), ("e", "!!!"), ("f", "Peer")]
+
+
+@register(
+    "stream_alerts",
+    o.query(["m"], "SELECT search_id, id FROM hits", searches=o.fixed_searches(_SAVED), **o.search_ctes("m", 1_000_000_000)),
+)
+def _(spark, sf_dir):
+    """Saved queries against a feed that delivers every message twice, in several batches."""
+    raw, sink = readers.stream_messages(spark, _feed(spark, sf_dir), max_files=3), scratch_dir(spark, "alerts")
+    saved = stored(alerts.saved_clauses(searches_frame(spark, _SAVED)), "saved")
+    live.start_ingest(
+        raw, _new_index(spark), *_dims(spark, sf_dir), checkpoint=scratch_dir(spark, "ckpt"), saved=saved, alerts=sink
+    ).awaitTermination()
+    return spark.read.parquet(sink).select("search_id", "id")
+
+
 @register("stream_dedup", M)
 def _(spark, sf_dir):
     raw = readers.stream_messages(spark, _feed(spark, sf_dir), max_files=3)
