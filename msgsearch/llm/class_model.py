@@ -1,13 +1,19 @@
 """Language-model scoring with a class-based bigram model (Brown's model, classes by exchange).
 
-P(word | word before) = P(class | class before) * P(word | class). Frequent words are put into classes by the
-exchange algorithm: a word moves to the class that raises the likelihood of all class pairs most. All other
-words belong to classes by shape (letters beyond ASCII, digits, signs, closing marks), known without a
+P(word | word before) = P(class | class before) * P(word | class). The most frequent words, the core, are put
+into classes by the exchange algorithm: a word moves to the class that raises the likelihood of all class
+pairs most. Then every other word that occurs ``LEAST_CLASSED`` times gets the class that makes it likeliest
+among the classes of its neighbours, all words at once, and transitions are counted anew over all texts.
+Rarer words belong to classes by shape (letters beyond ASCII, digits, signs, closing marks), known without a
 table; every document ends with an end token, the only member of its class, which also stands before the
 first word. Counts of words, word pairs and classes cover all training texts.
 
-What workers hold is bounded: class members (``CLUSTERED``) and the counts of the ``HELD`` most frequent
-words. The counts of rarer words are joined by key; none of these keys is frequent.
+A word that training never saw shares what its shape's words seen once suggest (Good and Turing) with all
+other unseen words of the shape, whose number is estimated from the words seen once and twice (Chao). So it
+is never likelier than a word seen once.
+
+What workers hold is bounded: classes and counts of the ``HELD`` most frequent words. The counts of rarer words
+are joined by key; none of these keys is frequent, and their class is their shape's.
 """
 
 from __future__ import annotations
@@ -23,12 +29,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgsearch.llm.common import Words, crc32_of_id, text_slices
 from msgsearch.session import stored
 
-#: Words with a class by exchange, classes for them, passes over all of them: the model's dimensions.
-CLUSTERED = 4096
+#: Words of the core, classes for them, passes over all of them: the model's dimensions.
+CORE = 4096
 CLASSES = 64
 SWEEPS = 3
-#: Word counts that workers hold: 16 bytes each.
+#: Words whose counts and classes workers hold: about 50 bytes each.
 HELD = 1 << 20
+#: Occurrences from which a held word outside the core gets a class by its neighbours.
+LEAST_CLASSED = 5
 SHAPES = 16
 TRANSITION = 0.1
 #: Steps per doubling in which word counts are grouped to find a cut.
@@ -312,6 +320,96 @@ def exchange(packed: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]
     return best[1], best[2]
 
 
+def joined_classes(training: DataFrame, tables: Tables, classes: np.ndarray, pairs: np.ndarray) -> dict[str, np.ndarray]:
+    """Words (``hashes``, ``counts``) outside the core with a class for each.
+
+    Neighbours are counted by class, a word's rows meet in one task by key, at most two for each class, and
+    the class is the one with the most log-likelihood of the neighbours on both sides and of the word in it.
+    The result has a line per held word at most.
+    """
+    rare = ~np.isin(tables.held, tables.hashes) & (tables.held_n >= LEAST_CLASSED)
+    words, n = tables.held[rare], tables.held_n[rare]
+    many = CLASSES + SHAPES + 1
+    smooth = pairs + TRANSITION
+    steps = np.log(smooth / smooth.sum(1, keepdims=True))
+    # What a neighbour's class says for each class: those after the word, then those before it.
+    says = np.concatenate((steps[:CLASSES], steps[:, :CLASSES].T), axis=1)
+    size = -np.log(np.bincount(classes[: tables.size], tables.counts, CLASSES) + 1.0)
+    spark = training.sparkSession
+    shared = spark.sparkContext.broadcast((tables, classes, words))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of, sought = shared.value
+        tally = Tally()
+        for batch in batches:
+            for some in text_slices(batch, "text"):
+                spelled = Words(some.column("text"), lower=True)
+                kinds = of[own.symbols_of(spelled)]
+                tokens, before, _ = with_ends(kinds, spelled.bounds, of[own.end])
+                at = np.arange(len(kinds)) + np.repeat(np.arange(len(spelled.bounds) - 1), np.diff(spelled.bounds))
+                place = np.minimum(np.searchsorted(sought, spelled.hashes), max(len(sought) - 1, 0))
+                hit = np.flatnonzero(sought[place] == spelled.hashes) if len(sought) else np.zeros(0, np.int64)
+                base = place[hit] * (2 * many)
+                tally.add(np.concatenate((base + tokens[at[hit] + 1], base + many + before[at[hit]])))
+                if tally.waits > 1 << 21:
+                    yield from rows_of(tally)
+                    tally = Tally()
+        yield from rows_of(tally)
+
+    def rows_of(tally: Tally) -> Iterator[pa.RecordBatch]:
+        found, sums = tally.total()
+        for begin in range(0, len(found), 1 << 17):
+            yield pa.record_batch([pa.array(found[begin : begin + (1 << 17)]), pa.array(sums[begin : begin + (1 << 17)])], ["code", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            rows = rows if held is None else np.concatenate((held, rows), axis=1)
+            word = rows[0] // (2 * many)
+            last = np.searchsorted(word, word[-1]) if len(word) else 0
+            held = rows[:, last:]
+            yield best(rows[:, :last])
+        if held is not None:
+            yield best(held)
+
+    def best(rows: np.ndarray) -> pa.RecordBatch:
+        own, back = np.unique(rows[0] // (2 * many), return_inverse=True)
+        near = np.zeros((len(own), 2 * many))
+        near[back, rows[0] % (2 * many)] = rows[1]
+        found = (near @ says.T + near.sum(1, keepdims=True) / 2 * size).argmax(1) if len(own) else own
+        return pa.record_batch([pa.array(own), pa.array(found.astype(np.int64))], ["code", "n"])
+
+    counted = training.select("text").mapInArrow(count, PAIRED).groupBy("code").agg(F.sum("n").alias("n"))
+    word = F.call_function("div", F.col("code"), F.lit(2 * many))
+    dealt = counted.withColumn("word", word).repartition("word").sortWithinPartitions("code").select("code", "n")
+    chosen = stored(dealt.mapInArrow(choose, PAIRED), "word-classes").toArrow()
+    found = np.zeros(len(words), np.int64)
+    found[chosen.column("code").to_numpy()] = chosen.column("n").to_numpy()
+    return {"hashes": words, "counts": n, "classes": found}
+
+
+def class_transitions(training: DataFrame, tables: Tables, classes: np.ndarray) -> np.ndarray:
+    """How often one class follows another in all texts."""
+    many = CLASSES + SHAPES + 1
+    shared = training.sparkSession.sparkContext.broadcast((tables, classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, (own, of) = np.zeros(many * many, np.int64), shared.value
+        for batch in batches:
+            for some in text_slices(batch, "text"):
+                words = Words(some.column("text"), lower=True)
+                tokens, before, _ = with_ends(of[own.symbols_of(words)], words.bounds, of[own.end])
+                sums += np.bincount(before * many + tokens, minlength=many * many)
+        at = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(at), pa.array(sums[at])], ["code", "n"])
+
+    out = np.zeros(many * many, np.int64)
+    for row in training.select("text").mapInArrow(count, PAIRED).groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[row["code"]] = row["n"]
+    return out.reshape(many, many)
+
+
 @dataclass
 class Model:
     """A fitted model: tables for workers, log10 probabilities, and all word counts as a table."""
@@ -321,7 +419,7 @@ class Model:
     transitions: np.ndarray  # log10 P(class | class before)
     members: np.ndarray  # log10 P(symbol | class), 0 for shapes
     shape_total: np.ndarray  # counts in a shape and its unknown words
-    shape_unknown: np.ndarray  # what its unknown words count as
+    shape_unknown: np.ndarray  # what one of its unknown words counts as
     counts: DataFrame
     tokens: int
     types: int
@@ -332,31 +430,40 @@ def fit(training: DataFrame) -> Model:
     """A model of all texts of a table (column text; null as empty)."""
     counts = stored(word_counts(training), "word-counts")
     documents = training.count()
-    bins, held_shapes = [], np.zeros((SHAPES, 2), np.int64)
+    bins, rest = [], np.zeros((SHAPES, 3), np.int64)
     for row in counts.groupBy(_bin(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect():
         bins.append((row["bin"], row["words"], row["n"]))
-    words, n = _most_frequent(counts, [x[:2] for x in bins], CLUSTERED)
+    words, n = _most_frequent(counts, [x[:2] for x in bins], CORE)
     held, held_n = _most_frequent(counts, [x[:2] for x in bins], HELD)
-    tables = Tables(words, np.arange(len(words)), n, len(words), held, held_n)
-    cut = int(n.min()) if len(n) else None
-    rare = counts.where(F.col("n") < cut) if cut is not None else counts
-    for row in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("bigint")).alias("once")).collect():
-        held_shapes[row["shape"]] = row["n"], row["once"]
-    packed = stored(_by_word(word_pairs(training, tables), tables.symbols), "word-pairs")
-    classes, pairs = exchange(packed, tables)
+    core = Tables(words, np.arange(len(words)), n, len(words), held, held_n)
+    packed = stored(_by_word(word_pairs(training, core), core.symbols), "word-pairs")
+    classes, pairs = exchange(packed, core)
+    more = joined_classes(training, core, classes, pairs)
+    words, n = np.append(words, more["hashes"]), np.append(n, more["counts"])
+    classes = np.concatenate((classes[: core.size], more["classes"], CLASSES + np.arange(SHAPES + 1)))
+    order = np.argsort(words)
+    tables = Tables(words[order], order, n, len(words), held, held_n)
+    pairs = class_transitions(training, tables, classes)
+    least = int(n.min()) if len(n) else None
+    rare = counts.where(F.col("n") < least) if least is not None else counts
+    times = [F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in (1, 2)]
+    for row in rare.groupBy("shape").agg(F.sum("n").alias("n"), *times).collect():
+        rest[row["shape"]] = row["n"], row["n1"], row["n2"]
     smooth = pairs + TRANSITION
     transitions = np.log10(smooth / smooth.sum(1, keepdims=True))
     own = np.bincount(classes[: tables.size], tables.counts, CLASSES)
     members = np.zeros(tables.symbols)
     members[: tables.size] = np.log10(tables.counts / own[classes[: tables.size]])
-    unknown = held_shapes[:, 1] + 1
+    reserved = rest[:, 1] + 1
+    # As many unseen words as there seem to be, but no fewer than make each of them as rare as one seen once.
+    unseen = np.maximum(rest[:, 1] * (rest[:, 1] - 1) / (2 * (rest[:, 2] + 1)), reserved)
     return Model(
         tables,
         classes,
         transitions,
         members,
-        held_shapes[:, 0] + unknown,
-        unknown,
+        rest[:, 0] + reserved,
+        reserved / unseen,
         counts,
         sum(x[2] for x in bins) + documents,
         sum(x[1] for x in bins) + (1 if documents else 0),
@@ -405,7 +512,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """All rows and columns but the text, with n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     A null text is an empty one: its only token is the end. ``base_score`` is the add-one unigram score.
-    Unknown words of a shape share the probability that its words seen once suggest. Repeated rows and nulls
+    Unknown words of a shape share the probability that its words seen once suggest, by their estimated
+    number. Repeated rows and nulls
     elsewhere do not matter; an empty training table makes every class equally likely. Input columns of the
     result's names are replaced.
     """
