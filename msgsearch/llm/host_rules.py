@@ -3,7 +3,7 @@
 Each document is measured and judged by base rules. Failures are counted by host; the rates of small
 hosts are shrunk towards all hosts by a beta prior whose two parameters come from the hosts themselves
 (method of moments). A host whose shrunk rate exceeds the limit is rejected, and its verdict is joined
-back to its documents.
+back to its documents. Windows of a text are compared by hash first; no text has its windows copied.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ MOST_REPEATED_PERCENT = 30
 WINDOW = 8
 #: A host goes when more than this share of its documents fails, after shrinking.
 MOST_FAILING = 0.5
-#: Hosts with fewer documents say too little about the spread of rates and stay out of the prior's fit.
-FIT_FROM = 5
+#: What the prior is worth in documents, at least and at most.
+LEAST_WORTH, MOST_WORTH = 1.0, 1000.0
 #: Separators besides the blank.
 CONTROLS = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -47,17 +47,26 @@ def _window_hashes(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _sorted_windows(words: Column) -> Column:
-    """The windows themselves with their places, equal ones as neighbours."""
-    places = F.sequence(F.lit(1), F.size(words) - WINDOW + 1)
-    return F.array_sort(F.transform(places, lambda i: F.struct(F.slice(words, i, WINDOW).alias("w"), i.alias("i"))))
+def _sorted_windows(words: Column, hashes: Column) -> Column:
+    """The places of all windows by two hashes, so that equal windows are neighbours; no window is copied."""
+
+    def entry(h: Column, k: Column) -> Column:
+        second = F.hash(F.slice(words, k + 1, WINDOW))
+        return F.struct(h.alias("h"), second.alias("g"), (k + 1).alias("i"))
+
+    return F.array_sort(F.transform(hashes, entry))
 
 
-def _repeated_places(windows: Column) -> Column:
-    """Ascending places of windows with an equal neighbour; ``windows`` must be a column of the row."""
+def _repeated_places(windows: Column, words: Column) -> Column:
+    """Ascending places of windows with an equal neighbour; both must be columns of the row.
+
+    Neighbours with the same hashes are compared word by word.
+    """
 
     def like(x: Column, k: Column) -> Column:
-        return F.coalesce(F.get(windows, k)["w"] == x["w"], F.lit(False))
+        other = F.get(windows, k)
+        same = F.slice(words, other["i"], WINDOW) == F.slice(words, x["i"], WINDOW)
+        return F.coalesce((other["h"] == x["h"]) & (other["g"] == x["g"]) & same, F.lit(False))
 
     flagged = F.transform(windows, lambda x, k: F.when(like(x, k - 1) | like(x, k + 1), x["i"]))
     return F.array_sort(F.filter(flagged, lambda i: i.isNotNull()))
@@ -83,8 +92,8 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     stepwise = own.withColumn("_words", words_of(whole)).withColumn("_hashes", _window_hashes(F.col("_words")))
     repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    stepwise = stepwise.withColumn("_windows", F.when(repeats, _sorted_windows(F.col("_words"))))
-    covered = F.when(F.col("_windows").isNotNull(), _covered(_repeated_places(F.col("_windows"))))
+    stepwise = stepwise.withColumn("_windows", F.when(repeats, _sorted_windows(F.col("_words"), F.col("_hashes"))))
+    covered = F.when(F.col("_windows").isNotNull(), _covered(_repeated_places(F.col("_windows"), F.col("_words"))))
     return stepwise.select(
         *own.columns,
         F.size("_words").cast("bigint").alias("n_words"),
@@ -100,26 +109,30 @@ def base_failed() -> Column:
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Parameters (failed, passed) of the prior, from the mean and variance of the hosts' rates.
-
-    Fewer than two hosts to fit, or equal rates everywhere, give a prior worth 1,000 documents at the
-    overall rate; more spread than a beta can have gives one worth a document.
+    """Parameters (failed, passed) of the prior, from the failures of all hosts with their document counts.
+
+    The moments are those of a beta-binomial: with the overall rate m, hosts of n documents with f failures
+    and the correlation r of two documents of a host, the sum of n (f/n - m)^2 is expected to be
+    m (1 - m) ((hosts - 1) + r (documents - sum of n^2 / documents - (hosts - 1))). So small hosts count for
+    what they tell, and none is left out. The prior is worth 1/r - 1 documents, within ``LEAST_WORTH`` and
+    ``MOST_WORTH``. Where hosts cannot tell r (one host, one document each, equal outcomes everywhere), it
+    is worth the most, at the overall rate.
     """
-    rate = F.col("failed") / F.col("docs")
-    enough = F.col("docs") >= FIT_FROM
-    fitted = hosts.agg(
-        F.sum("failed").alias("failed"),
-        F.sum("docs").alias("docs"),
-        F.avg(F.when(enough, rate)).alias("mean"),
-        F.var_samp(F.when(enough, rate)).alias("spread"),
+    f, n = F.col("failed").cast("double"), F.col("docs").cast("double")
+    sums = hosts.agg(
+        F.sum(f).alias("failed"), F.sum(n).alias("docs"), F.count(F.lit(1)).alias("hosts"),
+        F.sum(f * f / n).alias("between"), F.sum(n * n).alias("squares"),
     ).first()
-    if not fitted["docs"]:
+    if not sums["docs"]:
         return 0.5, 0.5
-    mean = fitted["mean"] if fitted["mean"] is not None else fitted["failed"] / fitted["docs"]
-    mean = min(max(mean, 1e-6), 1 - 1e-6)
-    spread = fitted["spread"]
-    strength = 1000.0 if not spread else min(max(mean * (1 - mean) / spread - 1, 1.0), 1000.0)
-    return mean * strength, (1 - mean) * strength
+    failed, docs, others = sums["failed"], sums["docs"], sums["hosts"] - 1
+    mean = min(max(failed / docs, 1e-6), 1 - 1e-6)
+    room = docs - sums["squares"] / docs - others
+    among = (sums["between"] - failed * failed / docs) / (mean * (1 - mean)) - others
+    worth = MOST_WORTH
+    if room > 0 and among > 0:
+        worth = min(max(room / among - 1, LEAST_WORTH), MOST_WORTH)
+    return mean * worth, (1 - mean) * worth
 
 
 def host_verdicts(judged: DataFrame, host: str) -> DataFrame:
@@ -157,10 +170,13 @@ def judge(documents: DataFrame, host: str = "source", text: str = "text") -> Dat
 def passing(documents: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that :func:`judge` keeps, with their own columns only.
 
-    Rows are known by a hash of their columns (equal rows are judged alike); the rejected ones, fewer and
-    narrow, are joined back, so that no text is written.
+    Rows are known by 128 bits of hashes of their columns (equal rows are judged alike); the rejected ones,
+    fewer and narrow, are joined back, so that no text is written. Nulls and repeats count as in :func:`judge`;
+    input columns named ``_row`` or ``_twin`` are left behind.
     """
-    keyed = documents.drop("_row").withColumn("_row", F.xxhash64(*documents.drop("_row").columns))
-    judged = judge(keyed.select("_row", host, text), host, text)
-    rejected = judged.where(~F.col("kept")).select("_row").distinct()
-    return keyed.join(rejected, "_row", "left_anti").drop("_row")
+    own = documents.drop("_row", "_twin")
+    key = ["_row", "_twin"]
+    keyed = own.withColumn("_row", F.xxhash64(*own.columns)).withColumn("_twin", F.xxhash64(F.lit(7), *own.columns[::-1]))
+    judged = judge(keyed.select(*key, host, text), host, text)
+    rejected = judged.where(~F.col("kept")).select(*key).distinct()
+    return keyed.join(rejected, key, "left_anti").drop(*key)

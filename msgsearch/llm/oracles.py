@@ -36,15 +36,17 @@ judged AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measures
 ),
 hosts AS (
-    SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source
+    SELECT source, count(*)::DOUBLE AS docs, (count(*) FILTER (base_failed))::DOUBLE AS failed FROM judged WHERE source IS NOT NULL GROUP BY source
 ),
 moments AS (
-    SELECT sum(failed) / sum(docs) AS overall, avg(failed / docs) FILTER (docs >= 5) AS mean, var_samp(failed / docs) FILTER (docs >= 5) AS spread
-    FROM hosts
+    SELECT sum(failed) AS f, sum(docs) AS n, count(*) - 1 AS others, sum(failed * failed / docs) AS b, sum(docs * docs) AS sq FROM hosts
+),
+spread AS (
+    SELECT m, n - sq / n - others AS room, (b - f * f / n) / (m * (1 - m)) - others AS among
+    FROM (SELECT *, least(greatest(f / n, 1e-6), 1 - 1e-6) AS m FROM moments)
 ),
 prior AS (
-    SELECT m, CASE WHEN coalesce(spread, 0) = 0 THEN 1000.0 ELSE least(greatest(m * (1 - m) / spread - 1, 1.0), 1000.0) END AS strength
-    FROM (SELECT least(greatest(coalesce(mean, overall), 1e-6), 1 - 1e-6) AS m, spread FROM moments)
+    SELECT m, CASE WHEN room > 0 AND among > 0 THEN least(greatest(room / among - 1, 1.0), 1000.0) ELSE 1000.0 END AS strength FROM spread
 ),
 bad AS (
     SELECT source FROM hosts, prior WHERE (failed + m * strength) / (docs + strength) > 0.5

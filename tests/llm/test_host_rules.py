@@ -59,6 +59,45 @@ def test_repeats_clashes_and_empty(texts):
     assert host_rules.judge(texts((1, "a", "b", "c")).where("false")).count() == 0
 
 
+def test_small_hosts_count(texts):
+    """No host reaches five documents; those that fail all of theirs go, whatever their size."""
+    good = " ".join(f"word{i}" for i in range(30))
+    sizes = {h: 1 + h % 4 for h in range(60)}
+    rows = [(100 * h + i, "bad" if h % 5 == 0 else good, "en", f"h{h}") for h, n in sizes.items() for i in range(n)]
+    rows += [(100_000, good, "en", "h0")]
+    found = {r.doc_id: r for r in host_rules.judge(texts(*rows)).collect()}
+    for h, n in sizes.items():
+        if h % 5:
+            assert all(found[100 * h + i].kept for i in range(n))
+        elif n > 1:
+            assert all(found[100 * h + i].host_failed for i in range(n))
+    assert not found[100_000].base_failed and found[100_000].kept == (sizes[0] < 2)
+
+
+def test_prior_follows_the_moments(spark):
+    rates = [(n, f) for n, f in [(1, 0), (1, 1), (2, 0), (3, 3), (4, 1), (7, 0), (50, 10), (200, 90)] for _ in range(3)]
+    failed, passed = host_rules.beta_prior(spark.createDataFrame(rates, "docs bigint, failed bigint"))
+    n, f = sum(r[0] for r in rates), sum(r[1] for r in rates)
+    m, k = f / n, len(rates)
+    s = sum(a * (b / a - m) ** 2 for a, b in rates)
+    r = (s / (m * (1 - m)) - (k - 1)) / (n - sum(a * a for a, _ in rates) / n - (k - 1))
+    assert failed + passed == pytest.approx(1 / r - 1) and failed / (failed + passed) == pytest.approx(m)
+
+
+def test_very_long_texts(texts):
+    unique = " ".join(f"w{i}" for i in range(150_000))
+    rows = [unique, unique + " " + " ".join(f"w{i}" for i in range(8)), "same " * 150_000]
+    found = {r.doc_id: r for r in host_rules.measure(texts(*enumerate(rows))).collect()}
+    assert [found[i].n_repeat_words for i in range(3)] == [0, 16, 150_000]
+
+
+def test_passing_keeps_whole_rows(texts):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, good, "en", "a"), (1, good, "en", "a"), (2, "short", "en", "a"), (None, good, None, None), (3, None, "en", "a")]
+    frame = texts(*rows, extra="5 AS _twin")
+    assert sorted(r.doc_id or 0 for r in host_rules.passing(frame).collect()) == [0, 1, 1]
+
+
 def test_stays_native(texts):
     plan = host_rules.judge(texts((1, "a", "b", "c")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
