@@ -3,12 +3,14 @@
 Both public vocabularies split a text into parts that are encoded one by one, and no part crosses from
 a letter or sign into a blank. So a text may be cut there and the ids of its pieces joined. The distinct
 pieces of a batch are looked up once; a worker keeps the ids of up to ``KEPT`` of them and then starts anew.
+A worker that has not encoded for ``IDLE`` seconds, such as one that works on another stage, gives them back.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from tokenizers import Tokenizer
 from msgsearch.llm.common import IS_SEPARATOR, LOWER
 
 KEPT = 1_500_000
+IDLE = 5.0
 #: Pieces that are encoded in one call.
 TOGETHER = 20_000
 END = "<|endoftext|>"
@@ -42,11 +45,11 @@ class PieceIds:
         self.end = self.split.token_to_id(END)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
         """Encode pieces, many in one call with the end token between them."""
         odd = [x for x in pieces if "<|" in x]
         for x in odd:
-            self.known[x] = np.asarray(self.plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            known[x] = np.asarray(self.plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
         plain = [x for x in pieces if "<|" not in x] if odd else pieces
         for begin in range(0, len(plain), TOGETHER):
             some = plain[begin : begin + TOGETHER]
@@ -55,17 +58,18 @@ class PieceIds:
             stops = np.append(np.flatnonzero(ids == self.end), len(ids))
             raw, at = ids.tobytes(), 0
             for x, stop in zip(some, stops.tolist(), strict=True):
-                self.known[x] = raw[4 * at : 4 * stop]
+                known[x] = raw[4 * at : 4 * stop]
                 at = stop + 1
 
     def of(self, pieces: list[str]) -> list[bytes]:
         """The ids of each of some distinct pieces."""
         if len(self.known) > KEPT:
             self.known = {}
-        found = list(map(self.known.get, pieces))
+        known = self.known
+        found = list(map(known.get, pieces))
         if None in found:
-            self._learn([x for x, ids in zip(pieces, found) if ids is None])
-            found = list(map(self.known.__getitem__, pieces))
+            self._learn([x for x, ids in zip(pieces, found) if ids is None], known)
+            found = list(map(known.__getitem__, pieces))
         return found
 
     def joined(self, pieces: pa.Array, ends: np.ndarray, prefix: str = "") -> list[bytes]:
@@ -116,6 +120,28 @@ class PieceIds:
         return out
 
 
-@lru_cache(maxsize=2)
+_held: dict[str, PieceIds] = {}
+_used = 0.0
+_lock = threading.Lock()
+
+
+def _release() -> None:
+    """Forget everything once nobody has asked for it lately; who still works with it keeps it that long."""
+    while True:
+        time.sleep(IDLE)
+        with _lock:
+            if time.monotonic() - _used >= IDLE:
+                _held.clear()
+                return
+
+
 def piece_ids(path: str) -> PieceIds:
-    return PieceIds(path)
+    """What this worker holds for a vocabulary file."""
+    global _used
+    with _lock:
+        _used = time.monotonic()
+        if not _held:
+            threading.Thread(target=_release, daemon=True).start()
+        if path not in _held:
+            _held[path] = PieceIds(path)
+        return _held[path]
