@@ -88,7 +88,7 @@ def test_score_by_definition(texts, monkeypatch, core, held):
     place = {named[int(h)]: int(i) for h, i in zip(model.tables.hashes, model.tables.ids)}
     least = min(counts[w] for w in place)
     assert set(place) == {w for w in counts if counts[w] >= least}
-    assert held < 100 or max(n for w, n in counts.items() if w not in place) < cm.LEAST_CLASSED
+    assert held < 100 or max((n for w, n in counts.items() if w not in place), default=0) < cm.LEAST_CLASSED
 
     def cls(word):
         return int(model.classes[place[word]]) if word in place else cm.CLASSES + shape_of(word)
