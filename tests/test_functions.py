@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from msgsearch.functions import flags, names, render, text
+from msgsearch.functions import flags, names, render, sql, text
 
 
 def one(spark, *columns):
@@ -230,3 +230,23 @@ def pack(body, size):
 )
 def test_chunks(spark, body):
     assert one(spark, render.chunks(F.lit(body), 10))[0] == pack(body, 10)
+
+
+def test_functions_in_sql_agree(spark):
+    sql.register(spark)
+    texts = ["Hello, World 42", "今天天气 nice 真 day", "真", "", None, "one\n\n" + "x" * 25 + "\ntail", "a\nb\nc" * 9, "\u2003a\x85b c "]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    frame.createOrReplaceTempView("sql_texts")
+    pairs = [
+        ("index_tokens(t)", text.index_tokens(F.col("t"))),
+        ("query_tokens(t)", text.query_tokens(F.col("t"))),
+        ("query_parts(t)", text.split_blanks(F.col("t"))),
+        ("message_chunks(t, 10)", render.chunks(F.col("t"), 10)),
+    ]
+    for call, column in pairs:
+        got = [r[0] for r in spark.sql(f"SELECT {call} FROM sql_texts").collect()]
+        assert got == [r[0] for r in frame.select(column).collect()], call
+    lines = spark.sql("SELECT t, c.chunk_no, c.chunk FROM sql_texts, LATERAL chunk_lines(t, 10) AS c").collect()
+    want = [(t, i + 1, c) for t, (cs,) in zip(texts, frame.select(render.chunks(F.col("t"), 10)).collect()) for i, c in enumerate(cs or [])]
+    assert sorted(map(tuple, lines), key=str) == sorted(want, key=str)
+    assert spark.sql("SELECT term_rarity(1L, 10L) > term_rarity(5L, 10L) AND term_saturation(2L, 5L, 9D) > term_saturation(1L, 5L, 9D)").first()[0]

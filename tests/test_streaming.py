@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from msgsearch.plans import alerts
 from msgsearch.schemas import ENTITY, RAW_MESSAGE
 from msgsearch.session import scratch_dir
 from msgsearch.sources import readers
@@ -118,3 +119,32 @@ def test_formats(spark, tmp_path):
     (tmp_path / "m.csv").write_text("s1,7,1,message,hi,7,,,5\n")
     row = readers.read_messages(spark, str(tmp_path), "csv").first()
     assert (row.session_name, row.chat_id, row.message_id, row.text) == ("s1", 7, 1, "hi")
+
+
+def test_alerts_come_once(spark, new_index, dims, monkeypatch):
+    """Redelivered messages, a batch that fails after its report, and a second feed into the same index."""
+    index, sink = new_index(buckets=2), scratch_dir(spark, "alerts")
+    path, checkpoint = scratch_dir(spark, "f"), scratch_dir(spark, "c")
+    queries = [("two", "2 nothing", None), ("and", "text-3", "s1"), ("other", "text", "s2"), ("none", "!", None)]
+    saved = alerts.saved_clauses(spark.createDataFrame(queries, "search_id string, query string, scope_session_name string"))
+
+    def run(where=path, at=checkpoint):
+        stream = readers.stream_messages(spark, where, max_files=1)
+        live.start_ingest(stream, index, *dims, checkpoint=at, saved=saved, alerts=sink).awaitTermination()
+
+    def reports():
+        return sorted((r.search_id, r.id) for r in spark.read.parquet(sink).select("search_id", "id").collect())
+
+    deliver(spark, path, 1, 2, 2)
+    run()
+    assert reports() == [("two", "s1:7:2")]
+    deliver(spark, path, 2, 3)
+    with monkeypatch.context() as broken:
+        broken.setattr(index.commits, "publish", lambda state: 1 / 0)
+        with pytest.raises(Exception):
+            run()
+    run()
+    other = scratch_dir(spark, "f")
+    deliver(spark, other, 3, 2, 22)
+    run(other, scratch_dir(spark, "c"))
+    assert reports() == [("and", "s1:7:3"), ("two", "s1:7:2")]

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgsearch.functions import flags, names, render, text
+from msgsearch.functions import flags, names, render, sql, text
 from msgsearch.operators import enrich, ingest, matching, postings, resolve
 from msgsearch.operators.context import context
 from msgsearch.operators.gaps import GAP, chat_gaps
@@ -1038,6 +1038,35 @@ def _(spark, sf_dir):
     )
 
 
+@register(
+    "sql_chunks",
+    o.query(
+        [],
+        CHUNKS,
+        bodies="SELECT doc_id AS request_id, text AS body FROM documents",
+        **o.chunk_ctes(render.CHUNK_MAX),
+    ),
+)
+def _(spark, sf_dir):
+    """The same in plain SQL, by the table function."""
+    sql.register(spark)
+    rows = "SELECT doc_id AS request_id, c.chunk_no, c.chunk FROM {texts}, LATERAL chunk_lines(text, 4096) AS c"
+    return spark.sql(rows, texts=v.table(spark, sf_dir, "documents"))
+
+
+@register(
+    "sql_frequencies",
+    o.query(["m"], "SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM post WHERE field = 'text' GROUP BY term", **o.postings_ctes("m")),
+)
+def _(spark, sf_dir):
+    """Document frequencies in plain SQL, by the token function."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM {texts}, LATERAL text_terms(text) AS t GROUP BY term",
+        texts=v.messages(spark, sf_dir),
+    )
+
+
 # --- streaming ------------------------------------------------------------------------------
 
 
