@@ -21,7 +21,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _tokens(text: Column, *ideographs: Column) -> Column:
+def tokens(text: Column, *ideographs: Column) -> Column:
     """Words and tokens of ideographs; a text without any is passed over once."""
     words = _all(F.regexp_replace(F.lower(text), f"{CJK}+", " "), WORD)
     return F.when(text.rlike(CJK), F.concat(words, *ideographs)).otherwise(
@@ -31,13 +31,13 @@ def _tokens(text: Column, *ideographs: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """All tokens of a document field, repeats included; empty for a null text."""
-    tokens = _tokens(text, _all(text, CJK), _all(text, _PAIR, 1))
-    return F.coalesce(tokens, F.array().cast("array<string>"))
+    found = tokens(text, _all(text, CJK), _all(text, _PAIR, 1))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def query_tokens(part: Column) -> Column:
     """The distinct tokens that a document must contain to satisfy one query part."""
-    return F.array_distinct(_tokens(part, _all(part, _LONE), _all(part, _PAIR, 1)))
+    return F.array_distinct(tokens(part, _all(part, _LONE), _all(part, _PAIR, 1)))
 
 
 def split_blanks(text: Column) -> Column:

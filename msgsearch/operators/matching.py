@@ -8,6 +8,7 @@ BM25 weights of its terms to the document's score.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
+from .lexicon import Lexicon
 from .postings import KEY, SENDER, TEXT, TITLE
 
 # BM25 parameters.
@@ -21,22 +22,27 @@ MICRO = 1_000_000
 SCOPE = ["scope_session_name", "scope_chat_id", "scope_sender_id"]
 
 
-def query_parts(searches: DataFrame) -> DataFrame:
-    """One row per part with any token: ``part_no``, the part itself and its distinct tokens."""
+def query_parts(searches: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """One row per part with any token: ``part_no``, the part itself and its distinct tokens.
+
+    With a lexicon, ideographs give its words in place of pairs; documents must be analysed with the same one.
+    """
     parts = searches.select(
         "*", F.posexplode(text.split_blanks(F.col("query"))).alias("part_no", "part")
     )
-    return parts.withColumn("tokens", text.query_tokens(F.col("part"))).filter(
-        F.size("tokens") > 0
-    )
+    if lexicon:
+        found = lexicon.with_query_terms(parts, "part").withColumnRenamed("part_terms", "tokens")
+    else:
+        found = parts.withColumn("tokens", text.query_tokens(F.col("part")))
+    return found.filter(F.size("tokens") > 0)
 
 
-def clauses(searches: DataFrame) -> DataFrame:
+def clauses(searches: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """One row per search, part, field and required term.
 
     Text and title must contain all tokens; the sender must be the part itself.
     """
-    parts = query_parts(searches)
+    parts = query_parts(searches, lexicon)
     scope = [c for c in SCOPE if c in searches.columns]
     per_field = F.array(
         F.struct(F.lit(TEXT).alias("field"), F.col("tokens").alias("terms")),

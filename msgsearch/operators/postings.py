@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..functions.names import present
+from .lexicon import Lexicon
 
 # The searchable fields. The sender is matched as a whole value.
 TEXT, SENDER, TITLE = "text", "sender_name", "chat_title"
@@ -11,14 +12,25 @@ TEXT, SENDER, TITLE = "text", "sender_name", "chat_title"
 KEY = ["session_name", "chat_id", "message_id"]
 
 
-def _field_tokens() -> dict[str, Column]:
+def analysed(documents: DataFrame, lexicon: Lexicon | None) -> DataFrame:
+    """Documents with the terms of their texts by a lexicon, where there is one."""
+    return lexicon.with_index_terms(documents, TEXT, TITLE) if lexicon else documents
+
+
+def _terms(documents: DataFrame, column: str) -> Column:
+    """Terms of a text; those that a dictionary found, where the documents bring them."""
+    given = f"{column}_terms"
+    return F.col(given) if given in documents.columns else text.index_tokens(F.col(column))
+
+
+def _field_tokens(documents: DataFrame) -> dict[str, Column]:
     sender = present(F.col("sender_name"))
     return {
-        TEXT: text.index_tokens(F.col("text")),
+        TEXT: _terms(documents, "text"),
         SENDER: F.when(sender.isNotNull(), F.array(sender)).otherwise(
             F.array().cast("array<string>")
         ),
-        TITLE: text.index_tokens(F.col("chat_title")),
+        TITLE: _terms(documents, "chat_title"),
     }
 
 
@@ -28,7 +40,7 @@ def token_occurrences(documents: DataFrame) -> DataFrame:
     fields = F.array(
         *[
             F.struct(F.lit(name).alias("field"), tokens.alias("tokens"))
-            for name, tokens in _field_tokens().items()
+            for name, tokens in _field_tokens(documents).items()
         ]
     )
     per_field = documents.select(*keep, F.inline(fields).alias("field", "tokens"))
@@ -58,7 +70,7 @@ def term_stats(rows: DataFrame) -> DataFrame:
 
 def field_stats(documents: DataFrame) -> DataFrame:
     """Number of documents and total length of each field, in one pass without exploding."""
-    sizes = {name: F.size(tokens).cast("bigint") for name, tokens in _field_tokens().items()}
+    sizes = {name: F.size(tokens).cast("bigint") for name, tokens in _field_tokens(documents).items()}
     totals = documents.select(*[size.alias(name) for name, size in sizes.items()]).agg(
         F.count("*").alias("n_docs"),
         *[F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in sizes],

@@ -20,7 +20,7 @@ from ..session import co_partitioned, stored
 def grid_search(corpus, searches: DataFrame, limit: int, order: list, match: str = "any") -> DataFrame:
     """``search_id, id, micro`` of the best documents of each search, stored."""
     spark = searches.sparkSession
-    wanted = matching.clauses(searches)
+    wanted = matching.clauses(searches, corpus.lexicon)
     wanted = stored(matching.with_needed(wanted) if match == "all" else wanted, "clauses")
     found, frequencies = corpus.placed(matching.vocabulary(wanted))
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -43,7 +43,7 @@ def ranked_searches(
     order = _best_first()
     few = bounded and searches.limit(PUSHED_KEYS // limit + 1).count() * limit <= PUSHED_KEYS
     if bounded:
-        best = _best(corpus, matching.clauses(searches), limit, order, match)
+        best = _best(corpus, matching.clauses(searches, corpus.lexicon), limit, order, match)
     else:
         best = grid_search(corpus, searches, limit, order, match)
     hits = corpus.fetch(best, bounded, few)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.literals import any_of
 from ..operators import matching, postings
+from ..operators.lexicon import Lexicon
 from ..operators.sequence import slab_directory, slab_key
 from ..session import stored
 from .index_store import MessageIndex, Snapshot
@@ -29,10 +30,12 @@ class ScanCorpus:
     """Searches a document table directly; nothing is stored.
 
     Only occurrences of wanted terms leave the scan. They are counted per document, then
-    laid out by document, so that matching and scoring need no further shuffle.
+    laid out by document, so that matching and scoring need no further shuffle. With a lexicon,
+    ideographs are searched by its words.
     """
 
     documents: DataFrame
+    lexicon: Lexicon | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -50,12 +53,15 @@ class ScanCorpus:
         """Postings of the wanted terms, and the weights of those terms."""
         counted = self._counted(matching.vocabulary(wanted), bounded)
         weights = matching.term_weights(
-            postings.term_stats(counted), postings.field_stats(self.documents)
+            postings.term_stats(counted), postings.field_stats(self._analysed())
         )
         return counted.repartition(*postings.KEY), weights
 
+    def _analysed(self) -> DataFrame:
+        return postings.analysed(self.documents, self.lexicon)
+
     def _counted(self, terms: DataFrame, bounded: bool) -> DataFrame:
-        occurrences = postings.token_occurrences(self.documents)
+        occurrences = postings.token_occurrences(self._analysed())
         return postings.count_terms(
             occurrences.join(F.broadcast(terms) if bounded else terms, ["field", "term"])
         )
@@ -67,7 +73,7 @@ class ScanCorpus:
         return found, stored(postings.term_stats(found), "frequencies")
 
     def field_stats(self) -> DataFrame:
-        return postings.field_stats(self.documents)
+        return postings.field_stats(self._analysed())
 
     def fetch(self, hits: DataFrame, bounded: bool = False, few: bool = False) -> DataFrame:
         """Join the documents of the hits on ``id``; bounded hits are broadcast to the scan."""
@@ -98,6 +104,10 @@ class IndexCorpus:
     def documents(self) -> DataFrame:
         return self.index.documents()
 
+    @property
+    def lexicon(self) -> Lexicon | None:
+        return self.index.lexicon
+
     def pinned(self) -> IndexCorpus:
         """The same at the newest state; all steps of a search then see one state."""
         return IndexCorpus(self.index.at())

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.literals import any_of
 from ..operators import ingest
 from ..operators import postings as terms
+from ..operators.lexicon import Lexicon
 from ..operators.matching import saturation
 from ..operators.sequence import slab_directory, slab_key
 from .commits import CommitLog, State
@@ -102,7 +103,7 @@ class Snapshot(_Readable):
     """One state of an index. It stays readable until :meth:`MessageIndex.vacuum` removes merged parts."""
 
     def __init__(self, index: MessageIndex, state: State):
-        self.index, self.state, self.spark = index, state, index.spark
+        self.index, self.state, self.spark, self.lexicon = index, state, index.spark, index.lexicon
 
     def at(self) -> Snapshot:
         return self
@@ -118,13 +119,20 @@ class MessageIndex(_Readable):
     """Stored documents, postings and statistics under one folder.
 
     Each reading method looks at the newest commit. What belongs together is read through :meth:`at`.
+    With a lexicon, ideographs are indexed and searched by its words; give the same one at every opening, and
+    index anew to change it.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, name: str, buckets: int | None = None
+        self,
+        spark: SparkSession,
+        path: str,
+        name: str,
+        buckets: int | None = None,
+        lexicon: Lexicon | None = None,
     ):
         self.spark, self.path, self.name, self.buckets = spark, path.rstrip("/"), name, buckets
-        self.commits = CommitLog(spark, self.path)
+        self.commits, self.lexicon = CommitLog(spark, self.path), lexicon
         self._seen: set[str] = set()
 
     def table_name(self, kind: str) -> str:
@@ -341,7 +349,7 @@ class MessageIndex(_Readable):
         if not many:
             return 0
         self._write("slab_stats", part, slab_directory(documents))
-        self._write("postings", part, terms.postings(documents))
+        self._write("postings", part, terms.postings(terms.analysed(documents, self.lexicon)))
         rows = self._part("postings", part)
         stats = terms.term_stats(rows).sortWithinPartitions("field", "term")
         self._write("term_stats", part, stats)

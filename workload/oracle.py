@@ -204,16 +204,42 @@ def query_tokens(x: str) -> str:
     )
 
 
+def lexicon_tokens(words: list[str]) -> tuple:
+    """Index and query tokens with dictionary words of ideographs only, as functions of a text.
+
+    A pattern of all words, longer ones first, takes the leftmost longest word.
+    """
+    ordered = sorted(words, key=lambda w: (-len(w), w))
+    listed = "[" + ", ".join(f"'{w}'" for w in ordered) + "]"
+    one = CJK.removesuffix("+")
+
+    def cut(x: str) -> str:
+        return f"regexp_extract_all(lower({x}), '{'|'.join([*ordered, one])}')"
+
+    def inner(x: str) -> str:
+        there = "CASE WHEN w <> q AND substr(w, i, length(q)) = q THEN q END"
+        places = f"flatten(list_transform(range(1, length(w) + 1), lambda i: list_transform({listed}, lambda q: {there})))"
+        return f"flatten(list_transform({cut(x)}, lambda w: list_filter({places}, lambda p: p IS NOT NULL)))"
+
+    def index(x: str) -> str:
+        return f"coalesce(list_concat({_words(x)}, {cut(x)}, {inner(x)}), [])"
+
+    def query(x: str) -> str:
+        return f"list_distinct(list_concat({_words(x)}, {cut(x)}))"
+
+    return index, query
+
+
 def split_parts(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{BLANKS}'), lambda t: t <> '')"
 
 
-def postings_ctes(src: str) -> dict[str, str]:
+def postings_ctes(src: str, tokens=index_tokens) -> dict[str, str]:
     """CTEs ``tok``, ``post``, ``fstat`` for a table of documents."""
     return {
         "tok": (
-            f"SELECT id, session_name, chat_id, sender_id, {index_tokens('text')} AS tt, "
-            f"{index_tokens('chat_title')} AS ct, "
+            f"SELECT id, session_name, chat_id, sender_id, {tokens('text')} AS tt, "
+            f"{tokens('chat_title')} AS ct, "
             "CASE WHEN nullif(sender_name, '') IS NULL THEN [] ELSE [sender_name] END AS st "
             f"FROM {src}"
         ),
@@ -235,7 +261,9 @@ def postings_ctes(src: str) -> dict[str, str]:
 # --- searching ------------------------------------------------------------------------------
 
 
-def search_ctes(src: str, limit: int, match: str = "any") -> dict[str, str]:
+def search_ctes(
+    src: str, limit: int, match: str = "any", analysis: tuple = (index_tokens, query_tokens)
+) -> dict[str, str]:
     """CTEs up to ``hits`` for a CTE ``searches(search_id, query, scope_session_name, ...)``."""
     scope = " AND ".join(
         f"(s.scope_{c} IS NULL OR {{0}}.{c} = s.scope_{c})"
@@ -244,9 +272,9 @@ def search_ctes(src: str, limit: int, match: str = "any") -> dict[str, str]:
     no_scope = (
         "(s.scope_session_name IS NULL AND s.scope_chat_id IS NULL AND s.scope_sender_id IS NULL)"
     )
-    ctes = postings_ctes(src)
+    ctes = postings_ctes(src, analysis[0])
     ctes["parts"] = (
-        "SELECT * FROM (SELECT search_id, part_no, part, " + query_tokens("part") + " AS toks FROM ("
+        "SELECT * FROM (SELECT search_id, part_no, part, " + analysis[1]("part") + " AS toks FROM ("
         "SELECT search_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS part_no FROM ("
         f"SELECT search_id, {split_parts('query')} AS ps FROM searches))) WHERE len(toks) > 0"
     )

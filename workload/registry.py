@@ -15,6 +15,7 @@ from msgsearch.functions import flags, names, render, sql, text
 from msgsearch.operators import enrich, ingest, matching, postings, resolve
 from msgsearch.operators.context import context
 from msgsearch.operators.gaps import GAP, chat_gaps
+from msgsearch.operators.lexicon import Lexicon
 from msgsearch.operators.response import lines, responses
 from msgsearch.operators.sequence import message_sequence
 from msgsearch.operators.topk import top_k
@@ -588,6 +589,23 @@ def _(spark, sf_dir):
     return _tokenized(v.mixed_documents(spark, sf_dir))
 
 
+# The words of a dictionary; those that are not of two or more ideographs are left out.
+WORDS = ["今天", "天气", "今日", "天日", "气真", "真好", "好日", "真好日", "气真好日", "天气真"]
+
+
+def _lexicon(spark: SparkSession) -> Lexicon:
+    return Lexicon.of(spark.createDataFrame([(w,) for w in [*WORDS, "好", "ok", None]], "word string"))
+
+
+@register(
+    "tokenize_lexicon",
+    o.query(["mixed"], f"SELECT id, array_to_string(list_sort({o.lexicon_tokens(WORDS)[0]('text')}), ' ') AS tokens FROM mixed"),
+)
+def _(spark, sf_dir):
+    found = _lexicon(spark).with_index_terms(v.mixed_documents(spark, sf_dir), "text")
+    return found.select("id", F.array_join(F.array_sort("text_terms"), " ").alias("tokens"))
+
+
 @register(
     "tokenize_queries",
     o.query(
@@ -656,6 +674,23 @@ _register_search("search_filtered_few", [("a", "the", "acct0"), ("b", "group", "
 _register_search("search_cjk", [("a", "天气"), ("b", "今天 th天n"), ("c", "真"), ("d", "天气真"), ("e", "nd-气ng")], "mixed")
 
 
+_DICTIONARY = [("a", "天气"), ("b", "气真好日"), ("c", "真好"), ("d", "今日天日 好日"), ("e", "天今th"), ("f", "th")]
+
+
+@register(
+    "search_lexicon",
+    o.query(
+        ["mixed"],
+        f"SELECT {o.HIT_COLUMNS} FROM hits",
+        searches=o.fixed_searches(_DICTIONARY),
+        **o.search_ctes("mixed", 20, analysis=o.lexicon_tokens(WORDS)),
+    ),
+)
+def _(spark, sf_dir):
+    corpus = ScanCorpus(v.mixed_documents(spark, sf_dir), _lexicon(spark))
+    return plans.ranked_searches(corpus, searches_frame(spark, _DICTIONARY), 20, bounded=True)
+
+
 # Sender names here are two words, which no single part equals; a view with one-word names.
 def _one_word(documents: DataFrame) -> DataFrame:
     return documents.withColumn("sender_name", F.regexp_replace("sender_name", " ", "_"))
