@@ -5,6 +5,9 @@ component, its largest and smallest value. For a query, the sum of what each com
 bounds every score of the block. Blocks are taken in order of falling bounds and scored whole until the
 next bound is below the k-th best score so far.
 
+Scores are exact: rows are dealt by the size of their components to floating point, 64-bit whole numbers or
+whole numbers of any size, so a few huge components make only the scores that they take part in slower.
+
 Queries and candidates meet in a grid of cells, so that each task holds one share of both: a share of
 candidates goes to as many cells as there are shares of queries, and the other way round. Every cell
 returns k rows per query at most; the best of those are the answer.
@@ -21,14 +24,24 @@ BLOCK = 128
 #: Rows of one share.
 QUERIES_EACH = 4096
 VECTORS_EACH = 16384
-#: Scores up to here are exact in floating point.
-EXACT = float(1 << 53)
+#: Scores below these are exact in floating point, and in 64-bit whole numbers.
+EXACT = (float(1 << 53), float(1 << 62))
+KINDS = (np.float64, np.int64, object)
+#: The largest double, and the range of a score.
+LARGEST = float(np.finfo(np.float64).max)
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def whole_components(vector: Column) -> Column:
-    """floor(256 * x) of each component, x as double."""
-    return F.transform(vector, lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("double"))
+    """floor(256 * x) of each component, x as double; at most the largest double."""
+
+    def whole(x: Column) -> Column:
+        scaled = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.lit(SCALE) * x.cast("double")))
+        # From 2^53 on doubles are whole, and floor would end at 2^63.
+        return F.when(F.abs(scaled) < EXACT[0], F.floor(scaled).cast("double")).otherwise(scaled)
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -46,6 +59,15 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _tiers(matrix: np.ndarray) -> np.ndarray:
+    """For each row the place in ``KINDS`` that its scores with rows of the same place, or an earlier one, need."""
+    return np.searchsorted(np.sqrt(np.array(EXACT) / matrix.shape[1]), np.abs(matrix).max(axis=1), side="right")
+
+
+def _as(matrix: np.ndarray, kind: type) -> np.ndarray:
+    return np.vectorize(int, otypes=[object])(matrix) if kind is object and matrix.size else matrix.astype(kind)
+
+
 class Blocks:
     """One share of candidates, sorted by id, in blocks."""
 
@@ -58,16 +80,16 @@ class Blocks:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """What a score can be at most, per query and block."""
-        return np.maximum(queries, 0) @ self.largest.T + np.minimum(queries, 0) @ self.smallest.T
+        return _limited(np.maximum(queries, 0) @ self.largest.T + np.minimum(queries, 0) @ self.smallest.T)
 
     def best(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, ties to smaller ids, without the query's own id."""
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, self.matrix.dtype)
         for block in np.argsort(-bounds, kind="stable").tolist():
             if len(ids) == k and bounds[block] < scores[-1]:
                 break
             own = slice(block * BLOCK, (block + 1) * BLOCK)
-            new = self.matrix[own] @ query
+            new = _limited(self.matrix[own] @ query)
             self.scored += len(new)
             keep = self.ids[own] != query_id
             if len(ids) == k:
@@ -79,6 +101,11 @@ class Blocks:
         return ids, scores
 
 
+def _limited(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond the range of a long count as its ends."""
+    return np.clip(scores, LOW, HIGH) if scores.dtype == object else scores
+
+
 def _search(k: int):
     def cell(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or vectors.empty:
@@ -86,27 +113,40 @@ def _search(k: int):
         vectors = vectors.sort_values("vec_id", kind="stable")
         width = max(1, queries["vector"].map(len).max(), vectors["vector"].map(len).max())
         asked, matrix = _matrix(queries["vector"], width), _matrix(vectors["vector"], width)
-        if np.abs(asked).max() * np.abs(matrix).max() * width >= EXACT:
-            raise ValueError("components are too large for exact scores")
-        blocks = Blocks(vectors["vec_id"].to_numpy(), matrix)
+        names, ids, sizes = queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy(), _tiers(matrix)
         out = []
-        for begin in range(0, len(asked), 256):
-            bounds = blocks.bounds(asked[begin : begin + 256])
-            for i, query_id in enumerate(queries["query_id"].iloc[begin : begin + 256].tolist()):
-                ids, scores = blocks.best(query_id, asked[begin + i], bounds[i], k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores.astype("int64")}))
+        for large, some in _by(_tiers(asked)):
+            for larger, held in _by(sizes):
+                kind = KINDS[max(large, larger)]
+                blocks = Blocks(ids[held], _as(matrix[held], kind))
+                out += _answers(blocks, names[some], _as(asked[some], kind), k)
         return pd.concat(out, ignore_index=True)
 
     return cell
 
 
+def _by(tiers: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(int(t), np.flatnonzero(tiers == t)) for t in np.unique(tiers)]
+
+
+def _answers(blocks: Blocks, names: np.ndarray, asked: np.ndarray, k: int) -> list[pd.DataFrame]:
+    out = []
+    for begin in range(0, len(asked), 256):
+        bounds = blocks.bounds(asked[begin : begin + 256])
+        for i, query_id in enumerate(names[begin : begin + 256].tolist()):
+            ids, scores = blocks.best(query_id, asked[begin + i], bounds[i], k)
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores.astype("int64")}))
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score (long) of the k best vectors of each query.
 
     ``vectors`` has vec_id and vector, ``queries`` query_id and vector (arrays of whole numbers as double);
     other columns stay behind. Rows with a null id or vector take no part. A query never finds its own id,
     nor rows that repeat it; a repeated query is answered once, for the smallest of its vectors. Shorter vectors count as ending in zeros.
-    Scores at or above 2^53 stop the job. Empty tables give an empty result.
+    Scores are exact at any size; those beyond the range of a long count as its ends, ties among them as any
+    others. Empty tables give an empty result.
     """
     vectors = vectors.where("vec_id IS NOT NULL AND vector IS NOT NULL").select("vec_id", "vector")
     queries = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").groupBy("query_id").agg(F.min("vector").alias("vector"))

@@ -37,7 +37,35 @@ def test_blocks_are_pruned():
     assert found.tolist() == [1152, 1153, 1154, 1155, 1156] and blocks.scored == 128
 
 
-def test_too_large_components_stop(spark):
-    frame = spark.createDataFrame([(0, [1e20]), (1, [1e20])], "vec_id bigint, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        bt.embedding_neighbours(frame).collect()
+def test_large_components_are_exact(spark):
+    """Scores around 2^53, around 2^62 and beyond a long, among ordinary ones, from both sides."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    for i in range(0, 300, 25):
+        big = 10.0 ** int(rng.integers(3, 13))
+        rows[i] = (i, [float(x) * big for x in rng.normal(size=4)])
+    rows += [(400, [1e300, -1e300, 0.0, 1e308]), (401, [1e20, 1.0, 1.0, 1.0]), (402, [-1e20, 0.0, 0.0, 0.0]), (450, [0.0] * 4), (500, [1.7e308, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {tuple(r) for r in bt.embedding_neighbours(frame).collect()}
+
+    def whole(x):
+        scaled = min(bt.LARGEST, max(-bt.LARGEST, 256 * x))
+        return int(np.floor(scaled))
+
+    kept = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = set()
+    for i, q in kept:
+        if i % 50 == 0:
+            scored = sorted((-min(bt.HIGH, max(bt.LOW, sum(a * b for a, b in zip(q, v)))), j) for j, v in kept if j != i)[:5]
+            want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)}
+    assert found == want
+    assert any(s >= 1 << 53 for *_, s in found) and any(s == bt.HIGH for *_, s in found)
+
+
+def test_tiers_bound_the_scores():
+    matrix = np.array([[1.0, 2.0], [6e7, 0.0], [7e7, 1.0], [1.5e9, 1.5e9], [1.6e9, 0.0], [1e300, 0.0]])
+    tiers = bt._tiers(matrix)
+    assert tiers.tolist() == [0, 0, 1, 1, 2, 2]
+    for tier, rows in bt._by(tiers)[:2]:
+        most = max(sum(abs(int(x)) * abs(int(y)) for x, y in zip(a, b)) for a in matrix[rows] for b in matrix[rows])
+        assert most < bt.EXACT[tier]
