@@ -143,8 +143,8 @@ def write_files(documents: DataFrame, path: str, encode: Callable[[pa.Array], li
     """Encode all documents and write them in ascending doc_id order; returns one row per file.
 
     ``documents`` has doc_id (null first) and text (null: as an empty one); other columns stay behind. Rows
-    with equal ids are written each, next to each other. An empty table writes no file. A task that runs
-    again writes the same file again.
+    with equal ids are written each, in an order that their texts decide, over as many files as they need; rows
+    equal in both share one. An empty table writes no file. A task that runs again writes the same file again.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,8 @@ def write_files(documents: DataFrame, path: str, encode: Callable[[pa.Array], li
             kinds = [pa.int32(), pa.string()] + [pa.int64()] * 4
             yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-    ranged = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = documents.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(ranged.mapInArrow(write, WRITTEN), "token-files")
 
 

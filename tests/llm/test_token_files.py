@@ -70,6 +70,31 @@ def test_reader_unpacks_only_what_it_needs_and_sees_damage(tmp_path, monkeypatch
         tf.TokenFile(str(tmp_path / "bad.zst")).ids(0)
 
 
+def test_equal_ids_are_spread(spark, tmp_path):
+    """A third of all rows has one id, a third none; their order does not depend on that of the input."""
+    kinds = "CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN id END AS doc_id"
+    rows = spark.range(0, 9000, 1, 6).selectExpr(kinds, "concat('text ', id) AS text", "'x' AS ids", "1 AS start")
+
+    def written(frame, name):
+        path = str(tmp_path / name)
+        (tmp_path / name).mkdir()
+        files = tf.write_files(frame, path, tf.word_encoder(WORDS))
+        back = tf.read_files(spark, path, files).orderBy("start").collect()
+        return files, [(r.doc_id, bytes(r.ids)) for r in back], path
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would get one file
+    try:
+        files, found, path = written(rows, "a")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [d for d, _ in found] == [None] * 3000 + sorted([7] * 3000 + [i for i in range(9000) if i % 3 == 1])
+    assert found == written(rows.repartition(3, "text"), "b")[1]
+    assert files.count() > 2 and files.where("first_id = 7 OR last_id = 7").count() > 1
+    asked = spark.createDataFrame([(7,), (10,), (11,)], "doc_id bigint")
+    got = tf.fetch(path, files, asked).collect()
+    assert sorted(bytes(r.ids) for r in got) == sorted(x for d, x in found if d in (7, 10))
+
+
 def test_empty_table_gives_nothing(texts):
     assert tf.token_digests(texts((1, "a")).where("false"), WORDS).count() == 0
     assert hp.packed_documents(texts((1, "a")).where("false"), BYTES).count() == 0
