@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import ENTITY, RAW_MESSAGE, REQUEST, SESSION
+from .paged import FORMAT, PagedExport
 
 FORMATS = ("parquet", "json", "csv", "orc")
 CORRUPT = "_corrupt_record"
@@ -43,6 +44,31 @@ def stream_requests(
     return _reader(spark.readStream, REQUEST, fmt, options).load(path)
 
 
+def read_pages(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Raw messages of an export in pages (see :mod:`sources.paged`), with unparsable lines."""
+    spark.dataSource.register(PagedExport)
+    return _paged_messages(spark.read.format(FORMAT).options(path=path, **options).load())
+
+
+def stream_pages(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The same as an unbounded source; its offset is the number of pages of each chat."""
+    spark.dataSource.register(PagedExport)
+    return _paged_messages(spark.readStream.format(FORMAT).options(path=path, **options).load())
+
+
+def _paged_messages(lines: DataFrame) -> DataFrame:
+    """Parsed lines; where a line does not name its account or chat, its folder does."""
+    schema = T.StructType([*RAW_MESSAGE.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.select("account", "chat", F.from_json("line", schema, how).alias("m")).select("account", "chat", "m.*")
+    return parsed.withColumns(
+        {
+            "session_name": F.coalesce("session_name", "account"),
+            "chat_id": F.coalesce("chat_id", F.col("chat").try_cast("bigint")),
+        }
+    ).drop("account", "chat")
+
+
 def read_entities(spark: SparkSession, path, fmt: str = "parquet", **options) -> DataFrame:
     return _reader(spark.read, ENTITY, fmt, options).load(path)
 

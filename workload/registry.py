@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from msgsearch.functions import flags, names, render, sql, text
 from msgsearch.operators import enrich, ingest, matching, postings, resolve
@@ -86,6 +86,24 @@ def _(spark, sf_dir):
     return readers.read_messages(spark, paths, "json").select(*RAW_MESSAGE.fieldNames())
 
 
+def _paged(spark: SparkSession, sf_dir: str, path: str, condition: str = "true") -> str:
+    """Raw messages in pages of three, whose lines leave account and chat to their folders."""
+    chat = Window.partitionBy("session_name", "chat_id").orderBy("message_id")
+    rows = v.raw_messages(spark, sf_dir).withColumn("page", ((F.row_number().over(chat) - 1) / 3).cast("bigint"))
+    said = [c for c in RAW_MESSAGE.fieldNames() if c not in ("session_name", "chat_id")]
+    lines = rows.filter(condition).select(
+        F.col("session_name").alias("account"), F.col("chat_id").alias("chat"), "page", F.to_json(F.struct(*said)).alias("value")
+    )
+    lines.repartition("account", "chat").write.mode("append").partitionBy("account", "chat", "page").text(path)
+    return path
+
+
+@register("scan_paged", o.query(["raw_messages"], f"SELECT {RAW} FROM raw_messages"))
+def _(spark, sf_dir):
+    path = _paged(spark, sf_dir, scratch_dir(spark, "pages"))
+    return readers.read_pages(spark, path).select(*RAW_MESSAGE.fieldNames())
+
+
 @register("filter_text_messages", o.query(["text_rows"], f"SELECT {RAW} FROM text_rows"))
 def _(spark, sf_dir):
     return enrich.text_messages(v.raw_messages(spark, sf_dir))
@@ -1160,6 +1178,16 @@ def _(spark, sf_dir):
     return index.documents().select(*DOCUMENT_COLUMNS)
 
 
+@register("live_paged", M)
+def _(spark, sf_dir):
+    """Pages that come while no query runs: the next one goes on at the offset of the last, page by page."""
+    index, checkpoint, path = _new_index(spark), scratch_dir(spark, "ckpt"), scratch_dir(spark, "pages")
+    for some in ("page = 0", "page > 0"):
+        stream = readers.stream_pages(spark, _paged(spark, sf_dir, path, some))
+        live.start_ingest(stream, index, *_dims(spark, sf_dir), checkpoint=checkpoint).awaitTermination()
+    return index.documents().select(*DOCUMENT_COLUMNS)
+
+
 @register(
     "stream_rejects",
     o.query(
