@@ -5,10 +5,11 @@ Zipf's law by that order, in whole 64ths, so that sums are exact; the best segme
 sum. The file's own numbers are merge ranks, which no sum of scores can follow, so ids are those of a
 unigram model over this vocabulary (which the sentencepiece library reproduces when given these scores).
 
-The pass keeps a window no longer than the longest piece. Whenever all paths that can still win go through
-one boundary, the ids before it are final and leave the window, so memory does not grow with the text. A
-blank after another character always is such a boundary, because no piece goes on after its blanks; what
-lies between two such boundaries recurs and is encoded once per worker.
+The pass keeps a window. Whenever all paths that can still win go through one boundary, the ids before it are
+final and leave the window, so memory does not grow with the text: paths are compared when no piece crosses a
+boundary, and when the window is twice as wide as the longest piece. Some boundaries are final in advance, as
+no piece has both characters beside them (a blank after another character, for one); what lies between two
+such boundaries recurs, takes the pass once and is then known to the worker.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ SHIFT = 2.7
 UNKNOWN = 10
 KEPT = 1_000_000
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
-#: Segments up to this length are kept and need no stream.
-SHORT = 64
+#: Parts up to this length are kept with their ids; all take the same pass.
+KEPT_LENGTH = 64
 #: Characters handed to the pass at once.
 CHUNK = 1 << 14
 
@@ -71,93 +72,96 @@ class Vocabulary:
 class Stream:
     """Encodes one text given in parts; ``ids`` grows as boundaries become final.
 
-    Of equal sums the path whose last piece is longest wins, as in the library.
+    Of equal sums the path whose last piece is longest wins, as in the library. Boundaries are counted from
+    where the kept text begins; what lies before ``base`` is final and dropped now and then.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.text = ""  # not yet final or not yet seen by the scan
-        self.scanned = 0
-        # Per boundary of the window: the best sum, where its last piece begins, and the piece's id.
+        self.text = ""
+        # The window begins at base; pieces before at have been looked up, and reach up to furthest.
+        self.base = self.at = self.furthest = 0
+        # Per boundary: the best sum, and where its last piece begins.
         self.sums: list[int | None] = [0]
-        self.origin: list[int] = [0]
-        self.piece: list[int] = [-1]
+        self.origin = [0]
         self.ids: list[int] = []
         self.widest = 0
-        self.look = 2 * vocabulary.longest  # how far the scan gets before paths are compared
+        self.look = 2 * vocabulary.longest  # how wide a window gets before its paths are compared
 
     def feed(self, part: str) -> None:
+        if self.base >= CHUNK:
+            self._drop()
         self.text += part
-        while len(self.text) - self.scanned >= self.vocabulary.longest:
-            self._scan()
+        self._scan(len(self.text) - self.vocabulary.longest + 1)
 
     def finish(self) -> list[int]:
-        while self.scanned < len(self.text):
-            self._scan()
-        self._commit(len(self.text))
+        self._scan(len(self.text))
         return self.ids
 
-    def _reach(self, boundary: int, total: int, origin: int, piece: int) -> None:
-        while len(self.sums) <= boundary:
-            self.sums.append(None)
-            self.origin.append(0)
-            self.piece.append(-1)
-        if self.sums[boundary] is None or total > self.sums[boundary]:
-            self.sums[boundary], self.origin[boundary], self.piece[boundary] = total, origin, piece
-
-    def _scan(self) -> None:
-        """Extend the paths that reach the next boundary by every piece there."""
-        words, at = self.vocabulary, self.scanned
-        total = self.sums[at]
-        single = False
-        for end in range(at + 1, min(at + words.longest, len(self.text)) + 1):
-            piece = self.text[at:end]
-            if piece not in words.beginnings:
-                break
-            found = words.ids.get(piece)
-            if found is not None:
-                self._reach(end, total + words.scores[found], at, found)
-                single |= end == at + 1
-        if not single:
-            self._reach(at + 1, total + words.unknown, at, -1)
-        self.scanned += 1
-        self.widest = max(self.widest, len(self.sums))
-        if len(self.sums) == self.scanned + 1:
-            self._commit(self.scanned)  # every piece so far ends here: nothing crosses this boundary
-        elif self.scanned >= self.look:
-            self._converged()
-            self.look = max(2 * words.longest, 2 * self.scanned)
+    def _drop(self) -> None:
+        base = self.base
+        self.text, self.sums, self.origin = self.text[base:], self.sums[base:], [o - base for o in self.origin[base:]]
+        self.base, self.at, self.furthest = 0, self.at - base, self.furthest - base
+
+    def _scan(self, stop: int) -> None:
+        """Extend the paths that reach each boundary before ``stop`` by every piece there."""
+        words, text, sums, origin = self.vocabulary, self.text, self.sums, self.origin
+        scores, beginnings, longest, size = words.scores_of, words.beginnings, words.longest, len(text)
+        sums += [None] * (size + 1 - len(sums))
+        origin += [0] * (size + 1 - len(origin))
+        at, furthest = self.at, self.furthest
+        while at < stop:
+            total, single = sums[at], False
+            for end in range(at + 1, min(at + longest, size) + 1):
+                piece = text[at:end]
+                if piece not in beginnings:
+                    break
+                score = scores.get(piece)
+                if score is not None:
+                    single |= end == at + 1
+                    if sums[end] is None or total + score > sums[end]:
+                        sums[end], origin[end] = total + score, at
+                        if end > furthest:
+                            furthest = end
+            if not single and (sums[at + 1] is None or total + words.unknown > sums[at + 1]):
+                sums[at + 1], origin[at + 1] = total + words.unknown, at
+                furthest = max(furthest, at + 1)
+            at += 1
+            if furthest == at:  # every piece so far ends here: nothing crosses this boundary
+                self.at = self.furthest = at
+                self._commit(at)
+            elif at - self.base >= self.look:
+                self.at, self.furthest = at, furthest
+                self._converged()
+        self.at, self.furthest = at, furthest
 
     def _converged(self) -> None:
         """Commit up to the last boundary that all open paths share."""
-        paths = {b for b in range(self.scanned, len(self.sums)) if self.sums[b] is not None}
+        paths = {b for b in range(self.at, self.furthest + 1) if self.sums[b] is not None}
         while len(paths) > 1:
             last = max(paths)
             paths.remove(last)
             paths.add(self.origin[last])
         (shared,) = paths
-        if shared:
-            self._commit(shared)
+        self._commit(shared)
+        # A window whose paths do not meet is compared again when it is twice as wide.
+        self.look = max(self.look, 2 * (self.at - self.base))
 
     def _commit(self, boundary: int) -> None:
         """Write the ids before a boundary and begin the window there."""
-        if not boundary:
-            return
-        out, at = [], boundary
-        while at:
-            begin, piece = self.origin[at], self.piece[at]
-            if piece >= 0:
-                out.append(piece)
+        words, out, at = self.vocabulary, [], boundary
+        while at > self.base:
+            begin = self.origin[at]
+            found = words.ids.get(self.text[begin:at])
+            if found is not None:
+                out.append(found)
             else:
-                out.extend(self.vocabulary.bytes[b] for b in reversed(self.text[begin:at].encode()))
+                out.extend(words.bytes[b] for b in reversed(self.text[begin:at].encode()))
             at = begin
-        self.ids.extend(reversed(out))
-        base = self.sums[boundary]
-        self.text = self.text[boundary:]
-        self.scanned = max(0, self.scanned - boundary)
-        self.sums = [None if s is None else s - base for s in self.sums[boundary:]]
-        self.origin = [max(0, o - boundary) for o in self.origin[boundary:]]
-        self.piece = self.piece[boundary:]
+        out.reverse()
+        self.ids += out
+        self.widest = max(self.widest, self.furthest - self.base)
+        self.base, self.look = boundary, 2 * words.longest
 
 
 class Codec:
@@ -168,47 +172,22 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def segment(self, text: str) -> bytes:
-        """Ids of what no piece leaves or enters; short ones by parts, which recur, long ones as a stream."""
-        if len(text) <= SHORT:
-            inner = self.vocabulary.inner
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inner]
-            if not cuts:
-                return self.short(text)
-            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-            found = [self.known.get(x) or self.short(x) for x in parts]
-            self.known.update(zip(parts, found))
-            return b"".join(found)
-        stream = Stream(self.vocabulary)
+        """Ids of what no piece leaves or enters, by parts that no piece crosses and that recur."""
+        inner = self.vocabulary.inner
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inner]
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        return b"".join([self.known.get(x) or self.stream(x) for x in parts])
+
+    def stream(self, text: str) -> bytes:
+        """The pass over a text."""
+        passing = Stream(self.vocabulary)
         for begin in range(0, len(text), CHUNK):
-            stream.feed(text[begin : begin + CHUNK])
-        return np.array(stream.finish(), "<u4").tobytes()
-
-    def short(self, text: str) -> bytes:
-        """The pass over a text that is a window by itself."""
-        words, many = self.vocabulary, len(text)
-        scores, beginnings, ids = words.scores_of, words.beginnings, words.ids
-        sums = [0] + [None] * many
-        origin = [0] * (many + 1)
-        for at in range(many):
-            total, single = sums[at], False
-            for end in range(at + 1, min(at + words.longest, many) + 1):
-                piece = text[at:end]
-                if piece not in beginnings:
-                    break
-                score = scores.get(piece)
-                if score is not None:
-                    single |= end == at + 1
-                    if sums[end] is None or total + score > sums[end]:
-                        sums[end], origin[end] = total + score, at
-            if not single and (sums[at + 1] is None or total + words.unknown > sums[at + 1]):
-                sums[at + 1], origin[at + 1] = total + words.unknown, at
-        out, at = [], many
-        while at:
-            piece = text[origin[at] : at]
-            found = ids.get(piece)
-            out.extend([found] if found is not None else [words.bytes[b] for b in reversed(piece.encode())])
-            at = origin[at]
-        return struct.pack(f"<{len(out)}I", *reversed(out))
+            passing.feed(text[begin : begin + CHUNK])
+        ids = passing.finish()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= KEPT_LENGTH:
+            self.known[text] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""
@@ -224,7 +203,7 @@ class Codec:
                 if ids is None:
                     piece = segments[i]
                     found[i] = known.get(piece) or self.segment(piece)
-                    if len(piece) <= SHORT:
+                    if len(piece) <= KEPT_LENGTH:
                         known[piece] = found[i]
         return b"".join(found)
 

@@ -56,6 +56,33 @@ def test_stream_equals_whole_and_keeps_a_small_window(library):
     assert len(stream.finish()) > 3000 and stream.widest <= 4 * words.longest
 
 
+def test_all_texts_take_the_pass(library, monkeypatch):
+    """Short ones too; what recurs takes it once."""
+    passed = []
+    finish = pc.Stream.finish
+    monkeypatch.setattr(pc.Stream, "finish", lambda s: passed.append(1) or finish(s))
+    made = pc.Codec(PATH)
+    text = "unbelievable things, unbelievable things " + "internationalisation" * 50
+    assert np.frombuffer(made.encode(text), "<u4").tolist() == library.encode(text)
+    once = len(passed)
+    assert once
+    made.encode("unbelievable things, unbelievable things")
+    assert len(passed) == once
+
+
+def test_text_that_is_final_is_dropped(library, monkeypatch):
+    monkeypatch.setattr(pc, "CHUNK", 50)
+    words, held = pc.codec(PATH).vocabulary, []
+    for text in ("internationalisation" * 300, "the" * 900, "a" * 700, "日本語" * 300):
+        stream, whole = pc.Stream(words), pc.BLANK + text
+        for begin in range(0, len(whole), 50):
+            stream.feed(whole[begin : begin + 50])
+            held.append(len(stream.text))
+        assert stream.finish() == library.encode(text)
+    assert max(held) < 800  # the run of one letter stays open, the others do not
+    assert max(held[: len("internationalisation" * 300) // 50]) <= 100 + 4 * words.longest
+
+
 def test_documents(texts):
     frame = texts((1, None), (1, ""), (2, "a ▁ b"), (2, "a ▁ b"), (3, "long " * 20000 + "x" * 5000), (None, "é日①"), extra="1 AS ids")
     rows = pc.coded_documents(frame, PATH).collect()
