@@ -104,6 +104,20 @@ def test_top_k_against_brute_force(spark, k):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", ["1", "2", "9"])
+def test_top_k_of_a_large_k_with_any_number_of_shares(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(6000).selectExpr("'one' AS key", "id", "id % 7 AS score")
+        got = top_k(rows, ["key"], [F.desc("score"), F.asc("id")], 2000, "id")
+        assert got.columns == ["key", "id", "score", "position"]
+        found = [r.id for r in got.orderBy("position").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == sorted(range(6000), key=lambda i: (-(i % 7), i))[:2000]
+
+
 @pytest.mark.parametrize("bounded", [True, False])
 def test_neighbours_across_slabs_against_brute_force(spark, bounded):
     """Slabs of four ids, many of them almost empty, so that context spans up to 20 slabs."""

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from msgsearch.functions.literals import any_of
 from msgsearch.operators import enrich, matching, postings
+from msgsearch.operators.resolve import explode_chats
 from msgsearch.operators.sequence import message_sequence
 from msgsearch.operators.topk import top_k
 from msgsearch.plans import grid, requests as rq
 from msgsearch.plans.search import batch_search, ranked_searches, search
-from msgsearch.schemas import ENTITY, REQUEST
+from msgsearch.schemas import ENTITY, REQUEST, SESSION
 from msgsearch.session import scratch_dir, stored
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 
@@ -185,6 +186,41 @@ def test_a_hot_sender_is_split(spark):
             spark.conf.unset(key)
 
 
+def test_a_hot_chat_is_split(spark):
+    """One chat holds most messages; the join with the chats still spreads them."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    accounts = spark.createDataFrame([(0, "north", 1, ["900", "901"])], SESSION)
+    people = spark.createDataFrame([(1, "user", None, "Own", None, None), (900, "group", None, None, None, "Hot"), (901, "group", None, None, None, "Quiet")], ENTITY)
+    raw = spark.range(0, 40000, 1, 8).select(
+        F.lit("north").alias("session_name"),
+        F.when(F.col("id") % 3 < 2, 900).otherwise(901 + F.col("id") % 600).cast("bigint").alias("chat_id"),
+        F.col("id").alias("message_id"),
+        F.lit("message").alias("kind"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        (10_000 + F.col("id")).alias("from_user_id"),
+        F.lit(None).cast("bigint").alias("from_channel_id"),
+        F.lit(None).cast("bigint").alias("from_chat_id"),
+        F.col("id").alias("date"),
+    )
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        frame = enrich.enrich(raw, people, accounts, explode_chats(accounts)).groupBy("chat_title").agg(F.count("*").alias("n"), F.max("text"))
+        text = final(frame)
+        counts = {r.chat_title: r.n for r in frame.collect()}
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert re.search(r"SortMergeJoin\(skew=true\) \[chat_id", text)
+    assert counts["Hot"] == sum(i % 3 < 2 for i in range(40000)) and set(counts) <= {"Hot", "Quiet"}
+
+
 def test_long_literal_lists_skip_row_groups(spark):
     """Rows read, not the plan's text: a list of values beyond ten is pushed as a mere range."""
     path = scratch_dir(spark, "literals")
