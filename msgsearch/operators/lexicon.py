@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
@@ -23,6 +24,8 @@ from ..functions import text
 # A dictionary within these bounds is sent to every worker.
 MAX_WORDS = 1_000_000
 MAX_CHARS = 5_000_000
+# Bytes of texts that are cut at once; each may become a word, and a longer text is a batch of its own.
+SLICE = 1 << 18
 # Words of the index and words that a query needs.
 PIECES = T.StructType([T.StructField(name, T.ArrayType(T.StringType())) for name in ("words", "inner")])
 
@@ -119,13 +122,27 @@ def _ideograph(letter: str) -> bool:
     return "一" <= letter <= "鿿"
 
 
-def _frame(cut: Iterable[tuple[list[str], list[str]]]) -> pd.DataFrame:
-    return pd.DataFrame(list(cut), columns=["words", "inner"])
+_CUT = pa.struct([pa.field(name, pa.list_(pa.string())) for name in ("words", "inner")])
+
+
+def _slices(texts: pa.Array, *more: pa.Array) -> Iterator[list[pa.Array]]:
+    """Arrays of the same rows in stretches of about ``SLICE`` bytes of the texts."""
+    begin = size = 0
+    for end, one in enumerate(pc.binary_length(texts).fill_null(0).to_pylist(), 1):
+        size += one
+        if size >= SLICE or end == len(texts):
+            yield [x.slice(begin, end - begin) for x in (texts, *more)]
+            begin, size = end, 0
+
+
+def _struct(cut: Iterable[tuple[list[str], list[str]]]) -> pa.Array:
+    words, inner = zip(*cut)
+    return pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.string())) for c in (words, inner)], fields=list(_CUT))
 
 
 def _automaton(held):
-    @F.pandas_udf(PIECES)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(PIECES)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick  # only where a dictionary is used
 
         known = ahocorasick.Automaton()
@@ -137,11 +154,19 @@ def _automaton(held):
             return [(last - size + 1, size) for last, size in known.iter(value)] if len(known) else []
 
         for batch in batches:
-            yield _frame(pieces(v, found(v)) if v else ([], []) for v in batch)
+            if not len(batch):
+                yield pa.array([], _CUT)
+            for (some,) in _slices(batch):
+                yield _struct(pieces(v, found(v)) if v else ([], []) for v in some.to_pylist())
 
     return cut
 
 
-@F.pandas_udf(PIECES)
-def _given(values: pd.Series, places: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-    return _frame(pieces(v or "", zip(p, s)) for v, p, s in zip(values, places, sizes))
+@F.arrow_udf(PIECES)
+def _given(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        if not len(batch[0]):
+            yield pa.array([], _CUT)
+        for some in _slices(*batch):
+            values, places, sizes = (x.to_pylist() for x in some)
+            yield _struct(pieces(v or "", zip(p, s)) for v, p, s in zip(values, places, sizes))

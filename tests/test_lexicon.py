@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,14 @@ def test_search_finds_words_and_no_false_pairs(spark, documents, new_index, way)
         assert found(corpus, "研究") == {1, 3, 4}
         assert found(corpus, "研究生院") == {3}
         assert found(corpus, "open 起源") == {1, 3}
+
+
+def test_texts_are_cut_in_bounded_stretches(spark, monkeypatch):
+    many = module.SLICE // 3 + 1
+    texts = pa.array(["生" * many, None, "研究", "生" * many, "", "生"])
+    stretches = [x.to_pylist() for (x,) in module._slices(texts)]
+    assert [len(x) for x in stretches] == [1, 3, 2]
+    assert sum(stretches, []) == texts.to_pylist()
+    rows = spark.createDataFrame(list(enumerate(texts.to_pylist())), "n int, t string").coalesce(1)
+    found = {r.n: r.t_terms for r in dictionary(spark).with_index_terms(rows, "t").collect()}
+    assert found == {0: ["生"] * many, 1: [], 2: ["研究"], 3: ["生"] * many, 4: [], 5: ["生"]}
