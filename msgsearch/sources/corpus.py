@@ -153,13 +153,16 @@ class IndexCorpus:
     def placed(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Stored postings of any number of terms with their slab, and ``field, term, df`` of these.
 
-        The postings are read once. The terms' own table is compared with that of the frequencies; of
-        the postings, those of frequent terms stay where they are, as there are few such terms, and
+        The postings are read once. The terms' own table is compared with that of the frequencies. Up to
+        ``MOST_FREQUENT`` terms are sent to the postings, which then stay where they are. For more terms, those of frequent terms stay where they are, as there are few such terms, and
         those of rare ones meet their terms by key, so no task holds a hot term.
         """
         on = ["field", "term"]
         counts = self.index.term_stats().join(terms, on, "left_semi").groupBy(*on).agg(F.sum("df").alias("df"))
         frequencies = stored(counts, "frequencies")
+        if frequencies.limit(MOST_FREQUENT + 1).count() <= MOST_FREQUENT:
+            few = F.broadcast(frequencies.select(*on))
+            return stored(self.index.postings().join(few, on, "left_semi"), "found"), frequencies
         total = frequencies.agg(F.sum("df")).first()[0] or 0
         # At most MOST_FREQUENT terms can have this share of all postings.
         hot = frequencies.filter(F.col("df") * MOST_FREQUENT >= F.lit(total)).select(*on, F.lit(True).alias("hot"))

@@ -246,3 +246,24 @@ def test_a_chat_scope_reaches_the_postings(spark, new_index, documents):
     assert [r.chat_id for r in frame.collect()] == [5]
     found, _ = IndexCorpus(index).lookup(matching.clauses(searches), True)
     assert "EqualTo(chat_id,5)" in details(found)
+
+
+def test_postings_of_few_terms_are_not_shuffled(spark, monkeypatch, new_index, documents):
+    from msgsearch.sources import corpus as module
+
+    index = new_index()
+    index.append(documents(*[dict(message_id=n, text=f"common rare{n}") for n in range(1, 41)]))
+    terms = spark.createDataFrame([("text", "common"), ("text", "rare7"), ("text", "none")], "field string, term string")
+    plans = []
+    keep = module.stored
+    monkeypatch.setattr(module, "stored", lambda rows, label: (plans.append((label, rows._jdf.queryExecution().toString())), keep(rows, label))[1])
+
+    def placed():
+        plans.clear()
+        found, frequencies = IndexCorpus(index.at()).placed(terms)
+        return sorted(map(tuple, found.collect())), sorted(map(tuple, frequencies.collect()))
+
+    few = placed()
+    assert "xxhash64" not in dict(plans)["found"] and len(few[0]) == 41
+    monkeypatch.setattr(module, "MOST_FREQUENT", 1)
+    assert placed() == few
