@@ -11,6 +11,7 @@ from msgsearch.schemas import DOCUMENT, DOCUMENT_COLUMNS, ENTITY, RAW_MESSAGE
 from msgsearch.sources import commits
 from msgsearch.sources.corpus import IndexCorpus
 from msgsearch.sources.index_store import _TABLES, MessageIndex
+from workload import registry
 
 
 def ids(frame):
@@ -341,3 +342,12 @@ def test_counts(spark, documents):
     }
     assert ingest.filter_documents(frame, "north", chat_id=7).count() == 1
     assert ingest.document_count(spark.createDataFrame([], DOCUMENT)).first()[0] == 0
+
+
+def test_workload_indexes_have_buckets_in_proportion(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "ROWS_PER_BUCKET", 10)
+    for name, many, least in (("few", 25, 8), ("many", 95, 10)):
+        spark.range(many).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+        index = registry._new_index(spark, f"{tmp_path}/{name}")
+        assert index.buckets == least
+    assert registry._buckets(spark, f"{tmp_path}/few", "conversations", 3) == 3

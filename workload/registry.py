@@ -24,7 +24,7 @@ from msgsearch.schemas import DOCUMENT_COLUMNS, RAW_MESSAGE
 from msgsearch.session import scratch_dir, stored
 from msgsearch.sources import readers
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
-from msgsearch.sources.index_store import MessageIndex
+from msgsearch.sources.index_store import DEFAULT_BUCKETS, MessageIndex
 from msgsearch.streaming import live
 
 from . import oracle as o, views as v
@@ -382,15 +382,25 @@ def _(spark, sf_dir):
 # --- the stored index -----------------------------------------------------------------------
 
 
-def _new_index(spark: SparkSession) -> MessageIndex:
-    return MessageIndex(spark, scratch_dir(spark, "index"), f"msgs_{uuid.uuid4().hex}").open()
+# Rows of a given table for a bucket: a task holds about one bucket of an index.
+ROWS_PER_BUCKET = 10_000
+
+
+def _buckets(spark: SparkSession, sf_dir: str, table: str, least: int = DEFAULT_BUCKETS) -> int:
+    """Buckets in proportion to a table, so that what a task holds does not grow with it."""
+    return max(least, -(-v.table(spark, sf_dir, table).count() // ROWS_PER_BUCKET))
+
+
+def _new_index(spark: SparkSession, sf_dir: str, table: str = "conversations") -> MessageIndex:
+    buckets = _buckets(spark, sf_dir, table)
+    return MessageIndex(spark, scratch_dir(spark, "index"), f"msgs_{uuid.uuid4().hex}", buckets).open()
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> MessageIndex:
     """The archive, indexed in two runs of which the second sees everything again."""
 
     def build() -> MessageIndex:
-        index, documents = _new_index(spark), v.messages(spark, sf_dir)
+        index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
         index.append(documents.filter(BEGINNING), "first")
         index.append(documents, "second")
         return index
@@ -402,7 +412,7 @@ def indexed_documents(spark: SparkSession, sf_dir: str) -> MessageIndex:
     """The larger corpus, indexed in one run."""
 
     def build() -> MessageIndex:
-        index = _new_index(spark)
+        index = _new_index(spark, sf_dir, "documents")
         index.append(v.documents(spark, sf_dir), "all")
         return index
 
@@ -411,7 +421,7 @@ def indexed_documents(spark: SparkSession, sf_dir: str) -> MessageIndex:
 
 @register("index_append", M)
 def _(spark, sf_dir):
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     index.append(documents.filter(HOLES), "first")
     index.append(documents, "second")
     index.append(documents, "second")
@@ -428,9 +438,9 @@ def _reopened(spark: SparkSession, index: MessageIndex) -> MessageIndex:
     o.query(["m"], f"SELECT {o.HIT_COLUMNS} FROM hits", searches=o.fixed_searches([("a", "the", "acct0"), ("b", "que la"), ("c", "group me", "acct1", 5031)]), **o.search_ctes("m", 20)),
 )
 def _(spark, sf_dir):
-    """Written with three buckets, searched with whatever the files say."""
+    """Written with three buckets or as many as the rows ask for, searched with whatever the files say."""
     path, name = scratch_dir(spark, "index"), f"three_{uuid.uuid4().hex}"
-    index = MessageIndex(spark, path, name, buckets=3).open()
+    index = MessageIndex(spark, path, name, _buckets(spark, sf_dir, "conversations", 3)).open()
     index.append(v.messages(spark, sf_dir), "all")
     searches = searches_frame(spark, [("a", "the", "acct0"), ("b", "que la"), ("c", "group me", "acct1", 5031)])
     return plans.ranked_searches(IndexCorpus(_reopened(spark, index)), searches, 20, bounded=True)
@@ -443,7 +453,7 @@ def _posting_rows(index: MessageIndex) -> DataFrame:
 @register("append_after_failure", o.query(["m"], "SELECT field, term, id, session_name, chat_id, sender_id, dl, tf FROM post", **o.postings_ctes("m")))
 def _(spark, sf_dir):
     """Deriving postings fails once; the same rows come again, without a batch id."""
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     derive, index._derive = index._derive, None
     try:
         index.append(documents)
@@ -457,7 +467,7 @@ def _(spark, sf_dir):
 @register("index_compacted", o.query(["m"], "SELECT field, term, id, session_name, chat_id, sender_id, dl, tf FROM post", **o.postings_ctes("m")))
 def _(spark, sf_dir):
     """Two batches, merged, their files removed, and a third one."""
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     index.append(documents.filter(HOLES), "first")
     index.append(documents.filter(BEGINNING), "second")
     index.compact()
@@ -470,7 +480,7 @@ def _(spark, sf_dir):
 @register("index_retry", M)
 def _(spark, sf_dir):
     """A committed batch comes again with other rows and a failing derivation; it stays as it was."""
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     index.append(documents, "only")
     derive, index._derive = index._derive, None
     again = index.append(documents.filter(HOLES).withColumn("message_id", F.col("message_id") + 1_000_000), "only")
@@ -491,7 +501,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Between looking up and fetching, the rest is appended and everything merged."""
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     index.append(documents.filter(BEGINNING).filter(HOLES), "holes")
     index.append(documents.filter(BEGINNING), "beginning")
     searches = searches_frame(spark, [("a", "the"), ("b", "que la"), ("c", "group me", "acct1", 5031)])
@@ -509,7 +519,7 @@ def _(spark, sf_dir):
 @register("index_two_writers", M)
 def _(spark, sf_dir):
     """Two threads append the same messages at once, in different batches, while a third merges."""
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     parts = [documents.filter(F.col("message_id") % 3 != n) for n in (0, 1)]
     with ThreadPoolExecutor(3) as pool:
         done = [pool.submit(index.append, part, f"writer-{n}") for n, part in enumerate(parts)]
@@ -522,7 +532,7 @@ def _(spark, sf_dir):
 
 @register("index_reset_then_append", M)
 def _(spark, sf_dir):
-    index, documents = _new_index(spark), v.messages(spark, sf_dir)
+    index, documents = _new_index(spark, sf_dir), v.messages(spark, sf_dir)
     index.append(documents.filter(BEGINNING), "first")
     index.reset(confirm=True)
     index.append(documents, "first")
@@ -1144,7 +1154,7 @@ def _dims(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 @register("live_ingest", M)
 def _(spark, sf_dir):
     """Two micro-batches or more; every message comes twice."""
-    index = _new_index(spark)
+    index = _new_index(spark, sf_dir)
     raw = readers.stream_messages(spark, _feed(spark, sf_dir), max_files=3)
     live.start_ingest(
         raw, index, *_dims(spark, sf_dir), checkpoint=scratch_dir(spark, "ckpt")
@@ -1155,7 +1165,7 @@ def _(spark, sf_dir):
 @register("live_two_feeds", M)
 def _(spark, sf_dir):
     """One feed per account, each on its own checkpoint, into one index with default arguments."""
-    index, raw = _new_index(spark), v.raw_messages(spark, sf_dir)
+    index, raw = _new_index(spark, sf_dir), v.raw_messages(spark, sf_dir)
     for account in ("acct0", "acct1", "acct2"):
         path = scratch_dir(spark, "feed")
         raw.filter(F.col("session_name") == account).coalesce(1).write.parquet(path)
@@ -1169,7 +1179,7 @@ def _(spark, sf_dir):
 @register("backfill_then_live", M)
 def _(spark, sf_dir):
     """History first, then newer files, on one checkpoint."""
-    index, checkpoint, path = _new_index(spark), scratch_dir(spark, "ckpt"), scratch_dir(spark, "feed")
+    index, checkpoint, path = _new_index(spark, sf_dir), scratch_dir(spark, "ckpt"), scratch_dir(spark, "feed")
     raw = v.raw_messages(spark, sf_dir)
     for part in (raw.filter(BEGINNING), raw.filter(f"NOT ({BEGINNING})")):
         part.coalesce(1).write.mode("append").parquet(path)
@@ -1181,7 +1191,7 @@ def _(spark, sf_dir):
 @register("live_paged", M)
 def _(spark, sf_dir):
     """Pages that come while no query runs: the next one goes on at the offset of the last, page by page."""
-    index, checkpoint, path = _new_index(spark), scratch_dir(spark, "ckpt"), scratch_dir(spark, "pages")
+    index, checkpoint, path = _new_index(spark, sf_dir), scratch_dir(spark, "ckpt"), scratch_dir(spark, "pages")
     for some in ("page = 0", "page > 0"):
         stream = readers.stream_pages(spark, _paged(spark, sf_dir, path, some))
         live.start_ingest(stream, index, *_dims(spark, sf_dir), checkpoint=checkpoint).awaitTermination()
@@ -1210,7 +1220,7 @@ def _(spark, sf_dir):
     whole.unionByName(broken).write.text(path)
     stream = readers.stream_messages(spark, path, "json")
     live.start_ingest(
-        stream, _new_index(spark), *_dims(spark, sf_dir),
+        stream, _new_index(spark, sf_dir), *_dims(spark, sf_dir),
         checkpoint=scratch_dir(spark, "ckpt"), rejects=rejects,
     ).awaitTermination()
     return spark.read.parquet(rejects).groupBy("reason").agg(F.count("*").alias("n"))
@@ -1228,7 +1238,7 @@ def _(spark, sf_dir):
     raw, sink = readers.stream_messages(spark, _feed(spark, sf_dir), max_files=3), scratch_dir(spark, "alerts")
     saved = stored(alerts.saved_clauses(searches_frame(spark, _SAVED)), "saved")
     live.start_ingest(
-        raw, _new_index(spark), *_dims(spark, sf_dir), checkpoint=scratch_dir(spark, "ckpt"), saved=saved, alerts=sink
+        raw, _new_index(spark, sf_dir), *_dims(spark, sf_dir), checkpoint=scratch_dir(spark, "ckpt"), saved=saved, alerts=sink
     ).awaitTermination()
     return spark.read.parquet(sink).select("search_id", "id")
 
