@@ -2,8 +2,8 @@
 
 Both public vocabularies split a text into parts that are encoded one by one, and no part crosses from
 a letter or sign into a blank. So a text may be cut there and the ids of its pieces joined. The distinct
-pieces of a batch are looked up once; a worker keeps the ids of up to ``KEPT`` of them and then starts anew.
-A worker that has not encoded for ``IDLE`` seconds, such as one that works on another stage, gives them back.
+pieces of a batch are looked up once; a worker keeps those of the last two rounds, and a round ends with
+``KEPT`` pieces, so what recurs stays. A worker that has not encoded for ``IDLE`` seconds, such as one that works on another stage, gives them back.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from msgsearch.llm.common import IS_SEPARATOR, LOWER
 
-KEPT = 1_500_000
+KEPT = 300_000
 IDLE = 5.0
 #: Pieces that are encoded in one call.
 TOGETHER = 20_000
@@ -44,6 +44,7 @@ class PieceIds:
         self.split = Tokenizer.from_file(path)
         self.end = self.split.token_to_id(END)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
         """Encode pieces, many in one call with the end token between them."""
@@ -64,11 +65,13 @@ class PieceIds:
     def of(self, pieces: list[str]) -> list[bytes]:
         """The ids of each of some distinct pieces."""
         if len(self.known) > KEPT:
-            self.known = {}
-        known = self.known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         found = list(map(known.get, pieces))
         if None in found:
-            self._learn([x for x, ids in zip(pieces, found) if ids is None], known)
+            missing = [x for x, ids in zip(pieces, found) if ids is None]
+            known.update((x, before[x]) for x in missing if x in before)
+            self._learn([x for x in missing if x not in known], known)
             found = list(map(known.__getitem__, pieces))
         return found
 

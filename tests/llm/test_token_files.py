@@ -2,11 +2,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
 from msgsearch.llm import histogram_packing as hp
-from msgsearch.llm import token_files as tf
+from msgsearch.llm import token_bytes, token_files as tf
 from msgsearch.llm.queries import vocabulary
 from msgsearch.llm.token_bytes import piece_ids
 from msgsearch.session import scratch_dir
@@ -137,3 +138,17 @@ def test_patterns_use_every_piece(counts):
         for n, k in pattern:
             used[n] = used.get(n, 0) + k * count
     assert used == {n: c for n, c in counts.items() if c}
+
+
+def test_what_a_worker_keeps_is_bounded_and_what_recurs_stays(monkeypatch):
+    monkeypatch.setattr(token_bytes, "KEPT", 10)
+    coder = token_bytes.PieceIds(BYTES)
+    learned = []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda pieces, known: (learned.extend(pieces), learn(pieces, known)))
+    for n in range(0, 60, 3):
+        texts = [f"always word{n + k}" for k in range(3)]
+        expected = [coder.plain.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.blanks(pa.array(texts))] == expected
+        assert len(coder.known) + len(coder.before) <= 2 * (10 + 4)
+    assert learned.count("always") == 1
