@@ -14,27 +14,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsearch.llm import histogram_packing, host_rules, jaccard_groups, language_spans, repeat_removal
+from msgsearch.llm.common import small_batches
 from msgsearch.llm.queries import vocabulary
 from msgsearch.session import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of an Arrow batch, unless the session sets a size of its own: what a task's worker and its JVM hold
-#: of the texts at once.
-BATCH = 4 << 20
 #: A document goes when less than this share of its words is in its main language.
 LEAST_SHARE = 0.4
 
 
-def _batches(spark: SparkSession) -> None:
-    """Keep batches small from here on, also where a stage is run by itself."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark._jsparkSession.conf().contains(name):
-        spark.conf.set(name, str(BATCH))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; ``lang`` becomes the predicted one."""
-    _batches(spark)
+    small_batches(spark)
     own = docs.select(COLUMNS)
     found = language_spans.identify(own, language_spans.fit(own.select("text", "lang", "doc_id")))
     kept = found.where((F.col("lang_pred") != language_spans.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
@@ -43,19 +34,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host does not fail as a whole."""
-    _batches(spark)
+    small_batches(spark)
     return host_rules.passing(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    _batches(spark)
+    small_batches(spark)
     return jaccard_groups.one_of_each(docs.select(COLUMNS), shingle=5, percent=80).select(COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that occur again; those with no word left go."""
-    _batches(spark)
+    small_batches(spark)
     own = docs.select(COLUMNS)
     found = repeat_removal.remove_repeats(own).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     length = F.length("text").cast(own.schema["n_chars"].dataType)
@@ -64,7 +55,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1,024 tokens."""
-    _batches(spark)
+    small_batches(spark)
     return histogram_packing.packed_documents(docs.select(COLUMNS), vocabulary("byte_bpe_50k.json"))
 
 

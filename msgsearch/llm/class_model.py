@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from msgsearch.llm.common import Words, crc32_of_id, text_slices
+from msgsearch.llm.common import Words, crc32_of_id, small_batches, text_slices
 from msgsearch.session import stored
 
 #: Words of the core, classes for them, passes over all of them: the model's dimensions.
@@ -38,6 +38,8 @@ HELD = 1 << 20
 #: Occurrences from which a held word outside the core gets a class by its neighbours.
 LEAST_CLASSED = 5
 SHAPES = 16
+#: Keys that a counting task holds beside their sums before it sums them up.
+TALLIED = 1 << 20
 TRANSITION = 0.1
 #: Steps per doubling in which word counts are grouped to find a cut.
 BINS = 64
@@ -116,19 +118,19 @@ class Tally:
     """Counts by key that are summed up whenever much has been added."""
 
     def __init__(self):
-        self.keys, self.sums, self.waits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.keys, self.sums, self.waits, self.held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
 
     def add(self, keys: np.ndarray) -> None:
         found, times = np.unique(keys, return_counts=True)
         self.keys.append(found)
         self.sums.append(times)
         self.waits += len(found)
-        if self.waits > 1 << 22:
+        if self.waits > max(TALLIED, self.held):
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         found, sums = _summed(self.keys, self.sums)
-        self.keys, self.sums, self.waits = [found], [sums], 0
+        self.keys, self.sums, self.waits, self.held = [found], [sums], 0, len(found)
         return found, sums
 
 
@@ -351,7 +353,7 @@ def joined_classes(training: DataFrame, tables: Tables, classes: np.ndarray, pai
                 hit = np.flatnonzero(sought[place] == spelled.hashes) if len(sought) else np.zeros(0, np.int64)
                 base = place[hit] * (2 * many)
                 tally.add(np.concatenate((base + tokens[at[hit] + 1], base + many + before[at[hit]])))
-                if tally.waits > 1 << 21:
+                if tally.held + tally.waits > 2 * TALLIED:
                     yield from rows_of(tally)
                     tally = Tally()
         yield from rows_of(tally)
@@ -558,6 +560,7 @@ def held_out() -> Column:
 
 def scored_documents(documents: DataFrame) -> DataFrame:
     """Every document with its scores; the model learns from those not held out."""
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", held_out().alias("held_out"), "text")
     model = fit(rows.where("NOT held_out").select("text"))
     found = score(rows, model)

@@ -164,3 +164,13 @@ def test_nothing_to_learn_from(texts):
     (row,) = cm.score(texts((1, "a b")), model).collect()
     assert row.n_known == 0 and row.train_tokens == 0 and math.isfinite(row.score)
     assert cm.score(texts((1, "a")).where("false"), model).count() == 0
+
+
+def test_a_tally_holds_little_beside_its_sums(monkeypatch):
+    monkeypatch.setattr(cm, "TALLIED", 100)
+    tally = cm.Tally()
+    for _ in range(50):
+        tally.add(np.arange(60).repeat(2))
+        assert sum(map(len, tally.keys)) <= 60 + 100 + 60
+    found, sums = tally.total()
+    assert found.tolist() == list(range(60)) and set(sums.tolist()) == {100} and tally.held == 60
