@@ -84,7 +84,8 @@ def saturation(tf, dl, avg_len):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len))
 
 
-def _weight():
+def weight():
+    """What a posting adds to the score of its document, in whole millionths."""
     tf, dl = F.col("tf"), F.col("dl")
     norm = tf + K1 * (1 - B + B * dl / F.col("avg_len"))
     return F.round(F.col("idf") * tf * (K1 + 1) / norm * MICRO).cast("bigint")
@@ -128,7 +129,7 @@ def scores(rows: DataFrame, match: str = "any") -> DataFrame:
         in_scope(rows)
         .groupBy("search_id", "part_no", "field", *at)
         .agg(
-            F.sum(_weight()).alias("micro"),
+            F.sum(weight()).alias("micro"),
             F.count("*").alias("n_found"),
             F.first("n_terms").alias("n_terms"),
             *needed,

@@ -3,9 +3,10 @@ from functools import partial
 import pytest
 
 from msgsearch.operators import matching
-from msgsearch.plans import requests, search as plans, skipping
+from msgsearch.plans import grid, requests, search as plans, skipping
 from msgsearch.plans.search import batch_search, ranked_searches, search
 from msgsearch.schemas import DOCUMENT_COLUMNS
+from msgsearch.session import stored
 from msgsearch.sources import corpus as corpora
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 from msgsearch.sources.index_store import Snapshot
@@ -209,3 +210,26 @@ def test_scope_comes_before_the_cut(corpus, documents):
 def test_unknown_options(documents):
     with pytest.raises(ValueError):
         search(ScanCorpus(documents({})), "a", match="some")
+
+
+@pytest.mark.parametrize("match", ["any", "all"])
+def test_cells_make_no_row_for_a_search_and_a_document(spark, documents, monkeypatch, match):
+    """Ties, rows of one key, scopes, parts of several words: as from one bounded table, and only the best leave a cell."""
+    rows = [dict(text=f"common word{i % 3} item{i % 11} red-car", message_id=i // 2 * 2 if i < 20 else i, chat_id=i % 2, sender_id=i % 3, session_name="n:1" if i % 4 else "north") for i in range(120)]
+    source = ScanCorpus(documents(*rows))
+    asked = [(i, f"common red-car word{i % 3}-item{i % 11} garden common", None, i % 2 if i % 3 else None, i % 3 if i % 5 == 0 else None) for i in range(60)] + [(97, "club", "n:1", None, None), (98, "absent", None, None, None)]
+    searches = spark.createDataFrame(asked, "search_id string, query string, scope_session_name string, scope_chat_id bigint, scope_sender_id bigint")
+
+    def found(bounded):
+        hits = ranked_searches(source, searches, 4, match, bounded).collect()
+        return sorted((r.search_id, r.id, r.text, r.sender_id, r.score) for r in hits)
+
+    written = {}
+
+    def keep(rows, label):
+        written[label] = rows._jdf.queryExecution().executedPlan().toString()
+        return stored(rows, label)
+
+    monkeypatch.setattr(grid, "stored", keep)
+    assert found(False) == found(True) != []
+    assert "FlatMapCoGroupsInArrow" in written["best"] and "search_id" not in "".join(x for x in written["best"].splitlines() if "Join" in x)
