@@ -8,22 +8,31 @@ of a stream is one number for each chat. Tasks get stretches of pages, of severa
 
     spark.dataSource.register(PagedExport)
     spark.read.format("paged_export").option("path", ...).load()        # account, chat, page, line
+    write_pages(rows, path)                                             # the same columns
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import unquote
+from itertools import groupby
+from operator import itemgetter
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 FORMAT = "paged_export"
 LINE = "account string, chat string, page bigint, line string"
 PAGES_PER_TASK = 64
+# Tasks of one read; a larger one has more pages in each, unless the reader is told how many.
+MOST_TASKS = 1_000
+# The folder of a missing account or chat, as Spark names it.
+MISSING = "__HIVE_DEFAULT_PARTITION__"
 # Chats that are probed at a time, and bytes of one batch of lines.
 PROBES = 32
 BATCH = 1 << 22
@@ -124,6 +133,35 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS.types)], schema=_KINDS)
 
 
+def write_pages(rows: DataFrame, path: str) -> None:
+    """Write ``account, chat, page, line`` as an export, each page as one file.
+
+    A page is written elsewhere and renamed by the task that has its rows, so nothing is left to be moved by the
+    driver. A page that is there already stays, and one that is tried again comes from the same rows.
+    """
+    keys = ["account", "chat", "page"]
+    dealt = rows.select(*keys, "line").repartition(*keys).sortWithinPartitions(*keys)
+    dealt.foreachPartition(lambda part: _write_partition(path, part))
+
+
+def _write_partition(path: str, rows: Iterator) -> None:
+    export, made = Export(path), set()
+    own = f"{export.root}/_writing/{uuid.uuid4().hex}"
+    for (account, chat, page), lines in groupby(rows, itemgetter(0, 1, 2)):
+        folder = "/".join(f"{k}={quote(str(v), safe='') if v not in (None, '') else MISSING}" for k, v in (("account", account), ("chat", chat)))
+        if export.has(folder, page):
+            continue
+        if folder not in made:
+            export.files.create_dir(f"{export.root}/{folder}", recursive=True)
+            made.add(folder)
+        written = f"{own}/page={page}"
+        export.files.create_dir(written, recursive=True)
+        with export.files.open_output_stream(f"{written}/lines.json") as stream:
+            for row in lines:
+                stream.write(row[3].encode() + b"\n")
+        export.files.move(written, f"{export.root}/{folder}/page={page}")
+
+
 class PagedExport(DataSource):
     """Options: ``path``, and ``pages_per_task``."""
 
@@ -144,10 +182,14 @@ class PagedExport(DataSource):
 class _Reader:
     def __init__(self, options):
         self.path = options["path"]
-        self.most = int(options.get("pages_per_task", PAGES_PER_TASK))
-        if self.most < 1:
+        self.most = int(options["pages_per_task"]) if "pages_per_task" in options else None
+        if self.most is not None and self.most < 1:
             raise ValueError("pages_per_task is 1 or more")
 
+    def tasks(self, start: dict[str, int], end: dict[str, int]) -> list[Pages]:
+        pages = sum(end.values()) - sum(start.get(chat, 0) for chat in end)
+        return stretches(start, end, self.most or max(PAGES_PER_TASK, -(-pages // MOST_TASKS)))
+
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         return read_stretches(self.path, partition)
 
@@ -155,7 +197,7 @@ class _Reader:
 class _Batch(_Reader, DataSourceReader):
     def partitions(self) -> list[Pages]:
         # Spark reads a source without partitions as one that does not say which it has.
-        return stretches({}, Export(self.path).counts({}), self.most) or [Pages([])]
+        return self.tasks({}, Export(self.path).counts({})) or [Pages([])]
 
 
 class _Stream(_Reader, DataSourceStreamReader):
@@ -173,4 +215,4 @@ class _Stream(_Reader, DataSourceStreamReader):
         return self.known
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
-        return stretches(start, end, self.most)
+        return self.tasks(start, end)

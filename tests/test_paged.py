@@ -93,3 +93,24 @@ def test_a_stream_goes_on_at_its_offset(spark, export):
     export("north", 1, 5, message(5))
     export("south", 2, 0, message(1), message(2))
     assert drain(path) == [*first, (1, 5), (2, 1), (2, 2)]
+
+
+def test_pages_are_written_by_the_tasks_that_have_them(spark, tmp_path):
+    rows = [("no/rth %=1", "7", n // 2, json.dumps(message(n, text="天\n"))) for n in range(9)]
+    rows += [(None, None, 0, json.dumps(message(50))), ("", "a:b", 0, json.dumps(message(60)))]
+    path = str(tmp_path / "written")
+    for _ in range(2):  # a second writing finds its pages there
+        paged.write_pages(spark.createDataFrame(rows, paged.LINE).repartition(3), path)
+    export = Export(path)
+    assert sorted(export.counts({}).values()) == [1, 1, 5]
+    spark.dataSource.register(paged.PagedExport)
+    found = sorted((r.account, r.chat, r.page, r.line) for r in spark.read.format(paged.FORMAT).option("path", path).load().collect())
+    assert found == sorted((a or paged.MISSING, c or paged.MISSING, p, x) for a, c, p, x in rows)
+
+
+def test_the_tasks_of_one_read_are_bounded(monkeypatch, tmp_path):
+    monkeypatch.setattr(paged, "MOST_TASKS", 10)
+    many = {"a": 5_000, "b": 1}
+    assert len(paged._Batch({"path": str(tmp_path)}).tasks({}, many)) == 10
+    assert len(paged._Batch({"path": str(tmp_path)}).tasks({"a": 4_936, "b": 1}, many)) == 1
+    assert len(paged._Batch({"path": str(tmp_path), "pages_per_task": "50"}).tasks({}, many)) == 101

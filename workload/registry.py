@@ -25,6 +25,7 @@ from msgsearch.session import scratch_dir, stored
 from msgsearch.sources import readers
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 from msgsearch.sources.index_store import DEFAULT_BUCKETS, MessageIndex
+from msgsearch.sources.paged import write_pages
 from msgsearch.streaming import live
 
 from . import oracle as o, views as v
@@ -92,9 +93,9 @@ def _paged(spark: SparkSession, sf_dir: str, path: str, condition: str = "true")
     rows = v.raw_messages(spark, sf_dir).withColumn("page", ((F.row_number().over(chat) - 1) / 3).cast("bigint"))
     said = [c for c in RAW_MESSAGE.fieldNames() if c not in ("session_name", "chat_id")]
     lines = rows.filter(condition).select(
-        F.col("session_name").alias("account"), F.col("chat_id").alias("chat"), "page", F.to_json(F.struct(*said)).alias("value")
+        F.col("session_name").alias("account"), F.col("chat_id").alias("chat"), "page", F.to_json(F.struct(*said)).alias("line")
     )
-    lines.repartition("account", "chat").write.mode("append").partitionBy("account", "chat", "page").text(path)
+    write_pages(lines, path)
     return path
 
 
