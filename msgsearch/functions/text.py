@@ -13,6 +13,8 @@ CJK = r"[\x{4e00}-\x{9fff}]"
 WORD = r"[\p{L}\p{N}]+"
 BLANKS = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 
+# The same without ideographs, whose runs end a word.
+_PLAIN_WORD = r"[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"
 _PAIR = rf"(?=({CJK}{{2}}))"
 _LONE = rf"(?<!{CJK}){CJK}(?!{CJK})"
 
@@ -23,10 +25,8 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def tokens(text: Column, *ideographs: Column) -> Column:
     """Words and tokens of ideographs; a text without any is passed over once."""
-    words = _all(F.regexp_replace(F.lower(text), f"{CJK}+", " "), WORD)
-    return F.when(text.rlike(CJK), F.concat(words, *ideographs)).otherwise(
-        _all(F.lower(text), WORD)
-    )
+    lower = F.lower(text)
+    return F.when(text.rlike(CJK), F.concat(_all(lower, _PLAIN_WORD), *ideographs)).otherwise(_all(lower, WORD))
 
 
 def index_tokens(text: Column) -> Column:

@@ -34,8 +34,8 @@ def _field_tokens(documents: DataFrame) -> dict[str, Column]:
     }
 
 
-def token_occurrences(documents: DataFrame) -> DataFrame:
-    """One row per token occurrence: ``field, term, dl`` with the document's key and sender."""
+def field_tokens(documents: DataFrame) -> DataFrame:
+    """One row per document and field: ``field, dl, tokens`` with the document's key and sender."""
     keep = [*KEY, "sender_id"] + [c for c in ("slab",) if c in documents.columns]
     fields = F.array(
         *[
@@ -44,9 +44,31 @@ def token_occurrences(documents: DataFrame) -> DataFrame:
         ]
     )
     per_field = documents.select(*keep, F.inline(fields).alias("field", "tokens"))
-    return per_field.select(
-        *keep, "field", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term")
-    )
+    return per_field.select(*keep, "field", F.size("tokens").cast("bigint").alias("dl"), "tokens")
+
+
+def token_occurrences(documents: DataFrame) -> DataFrame:
+    """One row per token occurrence: ``field, term, dl`` with the document's key and sender."""
+    return exploded(field_tokens(documents))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c != "tokens"], F.explode("tokens").alias("term"))
+
+
+def with_only(rows: DataFrame, terms: list) -> DataFrame:
+    """Rows of :func:`field_tokens` with no other tokens than some terms, rows with ``field, term``; ``dl`` stays."""
+    named = {name: sorted({t.term for t in terms if t.field == name}) for name in (TEXT, SENDER, TITLE)}
+    kept = F.array().cast("array<string>")
+    for name, some in named.items():
+        if some:
+            kept = F.when(F.col("field") == name, F.filter("tokens", lambda token: token.isin(some))).otherwise(kept)
+    return rows.withColumn("tokens", kept)
+
+
+def total_lengths(rows: DataFrame) -> DataFrame:
+    """:func:`field_stats` from the rows of :func:`field_tokens`."""
+    return rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_len"))
 
 
 def count_terms(occurrences: DataFrame) -> DataFrame:

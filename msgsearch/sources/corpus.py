@@ -51,7 +51,15 @@ class ScanCorpus:
         self, wanted: DataFrame, bounded: bool = False, asked: list | None = None
     ) -> tuple[DataFrame, DataFrame]:
         """Postings of the wanted terms, and the weights of those terms."""
-        counted = self._counted(matching.vocabulary(wanted), bounded)
+        terms = matching.vocabulary(wanted)
+        few = terms.limit(PUSHED_TERMS + 1).collect() if bounded else []
+        if 0 < len(few) <= PUSHED_TERMS and None not in {t.term for t in few}:
+            # The texts are passed over once, for the wanted terms and for all lengths.
+            rows = stored(postings.with_only(postings.field_tokens(self._analysed()), few), "tokens")
+            counted = postings.count_terms(postings.exploded(rows))
+            weights = matching.term_weights(postings.term_stats(counted), postings.total_lengths(rows))
+            return counted.repartition(*postings.KEY), weights
+        counted = self._counted(terms, bounded)
         weights = matching.term_weights(
             postings.term_stats(counted), postings.field_stats(self._analysed())
         )

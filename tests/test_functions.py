@@ -250,3 +250,11 @@ def test_functions_in_sql_agree(spark):
     want = [(t, i + 1, c) for t, (cs,) in zip(texts, frame.select(render.chunks(F.col("t"), 10)).collect()) for i, c in enumerate(cs or [])]
     assert sorted(map(tuple, lines), key=str) == sorted(want, key=str)
     assert spark.sql("SELECT term_rarity(1L, 10L) > term_rarity(5L, 10L) AND term_saturation(2L, 5L, 9D) > term_saturation(1L, 5L, 9D)").first()[0]
+
+
+def test_words_between_ideographs_take_one_pass(spark):
+    rows = spark.createDataFrame([("Ab1天气c-É今x_9",), ("天",), ("İ x²",), (None,), ("",)], "t string")
+    one = F.coalesce(text.tokens(F.col("t")), F.array().cast("array<string>"))
+    words = F.regexp_extract_all(F.regexp_replace(F.lower("t"), f"{text.CJK}+", " "), F.lit(text.WORD), F.lit(0))
+    assert "regexp_replace" not in str(text.tokens(F.col("t")))
+    assert [r[0] for r in rows.select(one).collect()] == [r[0] or [] for r in rows.select(words).collect()]

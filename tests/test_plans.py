@@ -267,3 +267,14 @@ def test_postings_of_few_terms_are_not_shuffled(spark, monkeypatch, new_index, d
     assert "xxhash64" not in dict(plans)["found"] and len(few[0]) == 41
     monkeypatch.setattr(module, "MOST_FREQUENT", 1)
     assert placed() == few
+
+
+def test_a_scan_passes_over_the_texts_once(spark, many):
+    """Lengths come from the pass that finds the wanted terms."""
+    searches = spark.createDataFrame([("a", "common word2"), ("b", "天气")], "search_id string, query string")
+    found, weights = ScanCorpus(many).lookup(matching.clauses(searches), True)
+    assert "regexp_extract_all" not in plan(found) + plan(weights)
+    slow_found, slow = ScanCorpus(many).lookup(matching.clauses(searches), False)
+    assert sorted(weights.collect()) == sorted(slow.collect()) != []
+    columns = sorted(found.columns)
+    assert sorted(found.select(columns).collect(), key=repr) == sorted(slow_found.select(columns).collect(), key=repr)
