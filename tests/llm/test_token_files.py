@@ -152,3 +152,29 @@ def test_what_a_worker_keeps_is_bounded_and_what_recurs_stays(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in coder.blanks(pa.array(texts))] == expected
         assert len(coder.known) + len(coder.before) <= 2 * (10 + 4)
     assert learned.count("always") == 1
+
+
+def learned_by(path, way, texts, monkeypatch):
+    coder = token_bytes.PieceIds(path)
+    learned = []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda pieces, known: (learned.extend(pieces), learn(pieces, known)))
+    expected = [coder.plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in getattr(coder, way)(pa.array(texts))] == expected
+    return sorted(learned)
+
+
+def test_blanks_learns_a_word_once_whatever_signs_and_lines_touch_it(monkeypatch):
+    texts = ["a Größe, (Größe).\nGröße!\nGröße 12Größe? Größe. Größe, Größe"]
+    assert learned_by(BYTES, "blanks", texts, monkeypatch) == sorted(["a", " Größe", "Größe", ",", " (", ").", "\n", "!", " 12", "?", "."])
+
+
+LATIN = [chr(x) for x in range(0xC0, 0x180)]
+MARKS = "\u0301\u0307\u0338"
+TOUCHING = [f"{c}, {c}'s.{c}1{c}\n{c}\n\n{c} \n {c}\t{c}\xa0 {c}\u2009 ({c}{m}={m}{c}" for c in [*LATIN, "Σ", "日"] for m in MARKS]
+
+
+def test_blanks_of_every_letter_signs_and_spaces_equal_whole_texts():
+    coder = token_bytes.PieceIds(BYTES)
+    expected = [coder.plain.encode(x, add_special_tokens=False).ids for x in TOUCHING]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.blanks(pa.array(TOUCHING))] == expected
