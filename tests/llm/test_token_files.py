@@ -178,3 +178,14 @@ def test_blanks_of_every_letter_signs_and_spaces_equal_whole_texts():
     coder = token_bytes.PieceIds(BYTES)
     expected = [coder.plain.encode(x, add_special_tokens=False).ids for x in TOUCHING]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.blanks(pa.array(TOUCHING))] == expected
+
+
+def test_words_learns_a_word_once_whatever_case_and_signs_it_has(monkeypatch):
+    texts = ["Große (große), GROßE. große!\nGroße 12große 'große don't Große"]
+    assert learned_by(WORDS, "words", texts, monkeypatch) == sorted(["große", "(", "),", ".", "!", "12", "'große", "don", "'t"])
+
+
+def test_words_of_every_letter_signs_and_spaces_equal_whole_texts():
+    coder = token_bytes.PieceIds(WORDS)
+    expected = [coder.plain.encode(x, add_special_tokens=False).ids for x in TOUCHING]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.words(pa.array(TOUCHING))] == expected
