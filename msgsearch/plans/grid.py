@@ -20,6 +20,7 @@ from ..operators import matching
 from ..operators.postings import KEY
 from ..operators.topk import top_k
 from ..session import stored
+from ..sources import corpus as corpora
 
 # Postings, or clauses, of a cell. A worker holds about 100 bytes for each.
 CELL_ROWS = 1_000_000
@@ -39,16 +40,16 @@ def grid_search(corpus, searches: DataFrame, limit: int, order: list, match: str
     found, frequencies = corpus.placed(matching.vocabulary(wanted))
     weights = matching.term_weights(frequencies, corpus.field_stats(), "df")
     weights = stored(weights.withColumn("term_no", F.monotonically_increasing_id()), "weights")
-    by_share, by_ask = _shares(searches, weights, wanted)
+    postings = weights.agg(F.sum("df")).first()[0] or 0
+    by_share, by_ask = _shares(searches, postings, wanted.count())
     share = F.pmod(F.xxhash64(*KEY), F.lit(by_share))
     ask = F.pmod(F.xxhash64("search_id"), F.lit(by_ask))
 
-    # The weights go to every share, so a hot term's postings meet them in as many places.
-    everywhere = weights.drop("df").withColumn("share", F.explode(_numbers(F.lit(0), by_share)))
-    located = found.withColumn("share", share).join(everywhere, ["share", "field", "term"])
-    rows = located.select("share", "term_no", *KEY, "sender_id", matching.weight().alias("micro"))
+    rows = _with_terms(found, weights, postings)
+    rows = rows.select(share.alias("share"), "term_no", *KEY, "sender_id", matching.weight().alias("micro"))
     rows = rows.withColumn("cell", F.explode(_numbers(F.col("share") * by_ask, by_ask))).drop("share")
-    asked = wanted.join(weights.select("field", "term", F.col("term_no").alias("named_no")), ["field", "term"]).drop("term")
+    numbers = weights.select("field", "term", "df", F.col("term_no").alias("named_no"))
+    asked = _with_terms(wanted, numbers, postings).drop("term", "df")
     asked = asked.withColumn("cell", F.explode(_numbers(ask, by_share, by_ask)))
     scored = rows.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_scorer(limit, match), _BEST)
     return stored(top_k(scored, ["search_id"], order, limit, "id").drop("position"), "best")
@@ -59,9 +60,25 @@ def _numbers(first, many: int, step: int = 1):
     return F.sequence(first, first + (many - 1) * step, F.lit(step).cast("bigint"))
 
 
-def _shares(searches: DataFrame, weights: DataFrame, wanted: DataFrame) -> tuple[int, int]:
+def _with_terms(rows: DataFrame, weights: DataFrame, postings: int) -> DataFrame:
+    """Inner join of postings or clauses with the weights of their terms.
+
+    Of many terms only the frequent ones are sent to every task. The others meet their rows by key, however small
+    their compressed file looks to Spark: the driver never holds them, and none has many postings. Clauses of a term
+    that only searches have often are split by adaptive execution.
+    """
+    on = ["field", "term"]
+    if weights.limit(corpora.MOST_FREQUENT + 1).count() <= corpora.MOST_FREQUENT:
+        return rows.join(weights, on)
+    # At most MOST_FREQUENT terms can have this share of all postings.
+    frequent = F.col("df") * corpora.MOST_FREQUENT >= F.lit(postings)
+    hot = weights.filter(frequent)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(weights.filter(~frequent).hint("merge"), on))
+
+
+def _shares(searches: DataFrame, postings: int, clauses: int) -> tuple[int, int]:
     """Shares of the documents and of the searches: bounded, enough for all cores, with few copies of rows."""
-    postings, clauses = weights.agg(F.sum("df")).first()[0] or 0, wanted.count()
     cells = CELLS_PER_CORE * searches.sparkSession.sparkContext.defaultParallelism
     by_share = max(1, -(-postings // CELL_ROWS), isqrt(cells * postings // max(1, clauses)))
     return min(by_share, max(cells, -(-postings // CELL_ROWS))), max(1, -(-clauses // CELL_ROWS), -(-cells // by_share))

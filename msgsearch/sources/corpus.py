@@ -23,6 +23,9 @@ PUSHED_IDS = 50
 PUSHED_SCOPES = 100
 # Terms of a table of any size that are sent to every task as the frequent ones, at most.
 MOST_FREQUENT = 10_000
+# Hits of a table of any size that Spark may send to every task, about 200 bytes each. It goes by the size of a
+# compressed file, and the driver holds some ten times that.
+SENT_HITS = 50_000
 
 
 @dataclass(frozen=True)
@@ -178,7 +181,7 @@ class IndexCorpus:
         # Rows of hot terms need no second look: their key is a hash of their slab, which spreads them.
         key = F.when(F.col("hot"), F.xxhash64("slab")).otherwise(F.xxhash64(*on))
         rare = frequencies.join(F.broadcast(hot), on, "left_anti").select(*on, F.xxhash64(*on).alias("key"), F.lit(True).alias("rare"))
-        kept = rows.withColumn("key", key).join(rare, ["key", *on], "left").filter(F.col("hot") | F.col("rare"))
+        kept = rows.withColumn("key", key).join(rare.hint("merge"), ["key", *on], "left").filter(F.col("hot") | F.col("rare"))
         return stored(kept.drop("key", "hot", "rare"), "found"), frequencies
 
     def field_stats(self) -> DataFrame:
@@ -201,9 +204,10 @@ class IndexCorpus:
             kept = self.spark.createDataFrame(rows, located.schema)
             return _only(documents, rows).join(F.broadcast(kept), ["slab", "id"])
         kept = stored(located, "hits")
+        many = kept.count()
         if not bounded:
-            return documents.join(kept, ["slab", "id"])
-        if kept.count() <= PUSHED_KEYS:
+            return documents.join(kept if many <= SENT_HITS else kept.hint("merge"), ["slab", "id"])
+        if many <= PUSHED_KEYS:
             documents = _only(documents, kept.select("id", "slab").distinct().collect())
         return documents.join(F.broadcast(kept), ["slab", "id"])
 

@@ -14,6 +14,7 @@ from msgsearch.plans import grid, requests as rq
 from msgsearch.plans.search import batch_search, ranked_searches, search
 from msgsearch.schemas import ENTITY, REQUEST, SESSION
 from msgsearch.session import scratch_dir, stored
+from msgsearch.sources import corpus as corpora
 from msgsearch.sources.corpus import IndexCorpus, ScanCorpus
 
 
@@ -159,6 +160,31 @@ def test_cells_meet_without_another_shuffle(spark, monkeypatch, index):
     assert plans["best"].count("WindowGroupLimit") == 2
 
 
+def test_a_large_vocabulary_is_not_sent_to_tasks(spark, monkeypatch, index):
+    """Files of terms and hits look small to Spark; only frequent terms and few hits are broadcast."""
+    searches = spark.createDataFrame([("a", "word1 common"), ("b", "common-word2"), ("c", "word5")], "search_id string, query string")
+    plans = {}
+
+    def keep(rows, label):
+        plans[label] = plan(rows)
+        return stored(rows, label)
+
+    def found():
+        hits = ranked_searches(IndexCorpus(index), searches, 5)
+        text = plan(hits)
+        return sorted((r.search_id, r.id, r.score) for r in hits.collect()), text
+
+    monkeypatch.setattr(grid, "stored", keep)
+    few, text = found()
+    assert len(few) == 15 and "SortMergeJoin" not in plans["best"] + text
+    monkeypatch.setattr(corpora, "MOST_FREQUENT", 2)
+    monkeypatch.setattr(corpora, "SENT_HITS", 14)
+    many, text = found()
+    assert many == few
+    # Postings and clauses each meet the rare terms by key, and hits their documents.
+    assert plans["best"].count("SortMergeJoin") == 2 and text.count("SortMergeJoin") == 1
+
+
 def test_a_hot_sender_is_split(spark):
     """One sender, and the missing sender, hold most rows; the join still spreads them."""
     conf = {
