@@ -220,3 +220,31 @@ def test_workers_hold_the_most_frequent_contexts(spark, monkeypatch):
     for (contexts, totals, kinds), all_contexts in zip(cut.contexts, whole.contexts):
         place = np.searchsorted(all_contexts[0], contexts)
         assert (all_contexts[0][place] == contexts).all() and (all_contexts[1][place] == totals).all() and (all_contexts[2][place] == kinds).all()
+
+
+@pytest.mark.parametrize("held", [0, 300, 2000])
+def test_contexts_that_workers_do_not_hold_count_too(spark, monkeypatch, held):
+    """The same scores as with all contexts in each worker, over several cells, with repeats and nulls."""
+    rows = corpus()
+    frame = pages(spark, rows, ["1 AS _cell", "2 AS context"]).repartition(3)
+    whole = sorted(map(tuple, uf.judge(frame).collect()), key=str)
+    monkeypatch.setattr(uf, "HELD", held)
+    monkeypatch.setattr(uf, "SLICE", 2000)
+    found = uf.fit(spark.createDataFrame([(u, i % 2 == 0) for i, u in rows if i], "text string, allowed boolean"))
+    assert found.rest is not None and sum(len(keys) for keys, _ in found.grams) <= held
+    assert sorted(map(tuple, uf.judge(frame).collect()), key=str) == whole
+    got = sorted(map(tuple, uf.url_verdicts(frame).collect()), key=str)
+    assert got == sorted(by_hand(spark, rows), key=str)
+
+
+def test_missing_contexts(monkeypatch):
+    """Longer contexts of one that was never seen are not looked for."""
+    keys = np.unique(np.concatenate([uf._grams(w, k) for _, w in uf.Spelled(pa.array(["abc"])).chunks() for k in range(uf.ORDER + 1)]))
+    models = uf.Models.of(keys.astype(np.int64), np.ones((len(keys), 2), np.int64))
+    assert len(models.missing(pa.array(["abc", "zzz"]))) == 0
+    models = uf.Models(models.grams[:2] + [(k[:0], c[:0]) for k, c in models.grams[2:]], models.contexts[:2] + [tuple(x[:0] for x in c) for c in models.contexts[2:]], 2)
+    asked = models.missing(pa.array(["abc", "abz", None]))
+    whole = [uf._grams(w, k) >> np.uint64(8) for _, w in uf.Spelled(pa.array(["abc", "abz", None])).chunks() for k in range(2, uf.ORDER + 1)]
+    # All but those that end in z, which was never seen.
+    expected = {int(c) for c in np.concatenate(whole) if int(c) & 0xFF != ord("z")}
+    assert set(asked.tolist()) == expected
